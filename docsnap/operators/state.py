@@ -26,13 +26,13 @@ def last_operations(ops: DataFrame) -> DataFrame:
 def current_state(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Rows of ``ops`` that make up the current state, on top of an earlier state.
 
-    The documents join their winners on key *and* order: that key is unique, so a document
-    rewritten a million times does not meet itself in one task. ``base`` only loses the ids
-    that the operations touch.
+    The documents join their winners on key *and* order: that key is unique on both sides, so
+    a document rewritten a million times does not meet itself in one task. ``base`` only loses
+    the ids that the operations touch.
     """
     last = last_operations(ops)
     winners = last.filter(F.col("op") == "index").drop("op")
-    rows = ops.filter(F.col("op") == "index").join(winners, KEY + ORDER, "left_semi")
+    rows = ops.filter(F.col("op") == "index").join(winners, KEY + ORDER)
     if base is None:
         return rows
     kept = base.join(last.select(*KEY), KEY, "left_anti")
@@ -43,6 +43,9 @@ def documents_per_index(state: DataFrame) -> DataFrame:
     return state.groupBy("_index").agg(F.count("*").alias("documents"))
 
 
-def alias_view(docs: DataFrame, folders: DataFrame) -> DataFrame:
-    """Documents and folders under one name; ``_index`` tells them apart."""
-    return docs.unionByName(folders, allowMissingColumns=True)
+def alias_view(state: DataFrame) -> DataFrame:
+    """Documents and folders under one name; ``_index`` tells them apart.
+
+    Folders lack all but the path, so both come from one reading of the state.
+    """
+    return state.select("_index", "_id", "doc.*")

@@ -432,10 +432,7 @@ def run_summary(spark, folder):
 
 @query
 def alias_union(spark, folder):
-    current = state.current_state(_log(spark, folder))
-    docs = current.filter("doc.file is not null").select("_index", "_id", "doc.path", "doc.file")
-    folders = current.filter("doc.file is null").select("_index", "_id", "doc.path")
-    return state.alias_view(docs, folders).select(
+    return state.alias_view(state.current_state(_log(spark, folder))).select(
         "_index", "_id", "path.virtual", "file.filesize"
     )
 

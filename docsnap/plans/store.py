@@ -113,21 +113,15 @@ class DocumentStore:
         base = self._read("state").filter(F.col("run_id") == compacted)
         return current_state(self.ops(after=compacted), base)
 
+    def alias(self) -> DataFrame:
+        """Documents and folders with ``_index``, ``_id`` and their metadata typed."""
+        return alias_view(self.state()).withColumn("meta", typed_meta(F.col("meta")))
+
     def documents(self) -> DataFrame:
-        """Current documents with ``_index`` and ``_id`` and their metadata typed."""
-        rows = self.state().filter(F.col("doc.file").isNotNull())
-        meta = F.col("doc.meta")
-        return rows.select(
-            "_index", "_id", "doc.file", "doc.path", typed_meta(meta).alias("meta"),
-            "doc.content", "doc.attachment",
-        )
+        return self.alias().filter(F.col("file").isNotNull())
 
     def folders(self) -> DataFrame:
-        rows = self.state().filter(F.col("doc.file").isNull())
-        return rows.select("_index", "_id", "doc.path")
-
-    def alias(self) -> DataFrame:
-        return alias_view(self.documents(), self.folders())
+        return self.alias().filter(F.col("file").isNull()).select("_index", "_id", "path")
 
     def rejected_metadata(self) -> DataFrame:
         """Metadata fields of current documents whose text does not fit the declared type."""
