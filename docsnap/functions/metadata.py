@@ -42,7 +42,7 @@ def typed_date(text: Column) -> Column:
 
 def typed_short(text: Column) -> Column:
     """A short; a fraction is cut off, anything else out of range or not a number is null."""
-    number = text.try_cast("double")
+    number = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
     return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("smallint")
 
 
