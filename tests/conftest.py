@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "tests",
         spark__master="local[8]",
         spark__driver__memory="6g",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="3",
         spark__ui__enabled="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
