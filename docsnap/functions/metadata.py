@@ -1,4 +1,8 @@
-"""Raw extractor metadata to document fields, and their declared types."""
+"""Raw extractor metadata to document fields, and their declared types.
+
+The functions take a column as SQL text: 37 keys and 25 fields make one expression, parsed in
+one go.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,24 @@ from pyspark.sql import functions as F
 from docsnap.schema import META_DATES, META_FIELDS, RAW_KEYS
 
 
-def meta_field(metadata: Column, field: str) -> Column:
-    """First value of the winning raw key; an empty list falls through to the next key."""
+def _field(metadata: str, field: str) -> str:
     keys = [key for key, target in RAW_KEYS.items() if target == field]
-    return F.coalesce(*[F.get(F.element_at(metadata, key), F.lit(0)) for key in reversed(keys)])
+    values = [f"get(element_at({metadata}, '{key}'), 0)" for key in reversed(keys)]
+    return values[0] if len(values) == 1 else f"coalesce({', '.join(values)})"
 
 
-def meta_struct(metadata: Column) -> Column:
-    """All metadata fields, or null where not a single one is set."""
-    fields = [meta_field(metadata, name) for name in META_FIELDS]
-    return F.when(
-        F.coalesce(*fields).isNotNull(),
-        F.struct(*[field.alias(name) for field, name in zip(fields, META_FIELDS)]),
+def meta_field(metadata: str, field: str) -> Column:
+    """First value of the winning raw key; an empty list falls through to the next key."""
+    return F.expr(_field(metadata, field))
+
+
+def meta_struct(metadata: str = "metadata") -> Column:
+    """All metadata fields, or null where not a single raw key has a value."""
+    fields = ", ".join(f"'{name}', {_field(metadata, name)}" for name in META_FIELDS)
+    known = ", ".join(f"'{key}'" for key in RAW_KEYS)
+    return F.expr(
+        f"if(exists(array({known}), k -> get(element_at({metadata}, k), 0) is not null), "
+        f"named_struct({fields}), null)"
     )
 
 
@@ -28,43 +38,53 @@ _DATE_SHAPE = (
     r"\A[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}(T[0-9]{1,2}(:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?)?"
     r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?)?)?\z"
 )
+# The cast wants minutes after an hour, a colon in the offset and a dot before fractions.
+_REPAIRS = (
+    (r"(T[0-9]{1,2})(?=\z|Z|[+-])", "$1:00"),
+    (r"(T.*[+-][0-9]{2})([0-9]{2})\z", "$1:$2"),
+    (r"(T.*[+-][0-9]{2})\z", "$1:00"),
+    (",", "."),
+)
+
 
+def _date(text: str) -> str:
+    whole = text
+    for pattern, repaired in _REPAIRS:
+        whole = f"regexp_replace({whole}, r'{pattern}', '{repaired}')"
+    return f"if(rlike({text}, r'{_DATE_SHAPE}'), try_cast({whole} as timestamp), null)"
 
-def typed_date(text: Column) -> Column:
+
+def typed_date(text: str) -> Column:
     """The timestamp a date field would be stored as; null for what it would reject."""
-    # The cast wants minutes after an hour, a dot before fractions and a colon in the offset.
-    full = F.regexp_replace(text, r"(T[0-9]{1,2})(?=\z|Z|[+-])", "$1:00")
-    full = F.regexp_replace(full, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
-    full = F.when(full.contains("T"), F.regexp_replace(full, r"([+-][0-9]{2})\z", "$1:00")).otherwise(full)
-    full = F.translate(full, ",", ".")
-    return F.when(text.rlike(_DATE_SHAPE), full.try_cast("timestamp"))
+    return F.expr(_date(text))
+
 
+def _short(text: str) -> str:
+    number = f"nanvl(try_cast({text} as double), null)"
+    return f"try_cast(if({number} >= 0, floor({number}), ceil({number})) as smallint)"
 
-def typed_short(text: Column) -> Column:
+
+def typed_short(text: str) -> Column:
     """A short; a fraction is cut off, anything else out of range or not a number is null."""
-    number = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
-    return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("smallint")
+    return F.expr(_short(text))
+
 
+def _typed(name: str, value: str) -> str:
+    if name in META_DATES:
+        return _date(value)
+    return _short(value) if name == "rating" else value
 
-def typed_meta(meta: Column) -> Column:
+
+def typed_meta(meta: str = "meta") -> Column:
     """The metadata struct with dates as timestamps and the rating as a short."""
-    typed = []
-    for name in META_FIELDS:
-        value = meta.getField(name)
-        if name in META_DATES:
-            value = typed_date(value)
-        elif name == "rating":
-            value = typed_short(value)
-        typed.append(value.alias(name))
-    return F.when(meta.isNotNull(), F.struct(*typed))
-
-
-def rejected_fields(meta: Column) -> Column:
+    fields = ", ".join(f"'{name}', {_typed(name, f'{meta}.{name}')}" for name in META_FIELDS)
+    return F.expr(f"if({meta} is null, null, named_struct({fields}))")
+
+
+def rejected_fields(meta: str = "meta") -> Column:
     """Names of the fields whose text does not fit the declared type."""
     checks = [
-        F.when(meta.getField(n).isNotNull() & typed_date(meta.getField(n)).isNull(), F.lit(n))
-        for n in META_DATES
+        f"if({meta}.{name} is not null and {_typed(name, f'{meta}.{name}')} is null, '{name}', null)"
+        for name in (*META_DATES, "rating")
     ]
-    rating = meta.getField("rating")
-    checks.append(F.when(rating.isNotNull() & typed_short(rating).isNull(), F.lit("rating")))
-    return F.array_compact(F.array(*checks))
+    return F.expr(f"array_compact(array({', '.join(checks)}))")

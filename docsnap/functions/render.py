@@ -20,7 +20,7 @@ def iso_utc(moment: Column) -> Column:
 
 def base64_text(data: Column) -> Column:
     """Base64 on one line."""
-    return F.translate(F.base64(data), "\r\n", "")
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def document_json(doc: Column) -> Column:

@@ -54,7 +54,7 @@ def with_document(files: DataFrame, options: CrawlOptions, indexed_at: Column) -
             F.col("path").alias("url"),
         ).alias("file"),
         path_struct(F.col("path"), options.root).alias("path"),
-        meta_struct(F.col("metadata")).alias("meta"),
+        meta_struct("metadata").alias("meta"),
         content.alias("content"),
         raw.alias("attachment"),
     ).cast(DOCUMENT)
@@ -96,7 +96,7 @@ def with_upload_document(
             F.lit(options.root).alias("root"),
             F.concat(F.lit("/"), name).alias("virtual"),
         ).alias("path"),
-        meta_struct(F.col("metadata")).alias("meta"),
+        meta_struct("metadata").alias("meta"),
         content.alias("content"),
         nothing.alias("attachment"),
     ).cast(DOCUMENT)

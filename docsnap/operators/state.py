@@ -39,8 +39,14 @@ def current_state(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
-def documents_per_index(state: DataFrame) -> DataFrame:
-    return state.groupBy("_index").agg(F.count("*").alias("documents"))
+def documents_per_index(ops: DataFrame) -> DataFrame:
+    """Size of each index; the last operations tell it without touching a document."""
+    return (
+        last_operations(ops)
+        .filter(F.col("op") == "index")
+        .groupBy("_index")
+        .agg(F.count("*").alias("documents"))
+    )
 
 
 def alias_view(state: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def doc_id_content_hash(spark, folder):
 @query
 def metadata_map(spark, folder):
     meta = derived.raw_metadata(spark, folder).select(
-        "doc_id", metadata.meta_struct(F.col("metadata")).alias("meta")
+        "doc_id", metadata.meta_struct("metadata").alias("meta")
     )
     return meta.select(
         "doc_id", "meta.author", "meta.date", "meta.title", "meta.language", "meta.rating",
@@ -233,14 +233,16 @@ def metadata_map(spark, folder):
 @query
 def typed_meta(spark, folder):
     meta = derived.raw_metadata(spark, folder).select(
-        "doc_id", metadata.meta_struct(F.col("metadata")).alias("meta")
+        "doc_id", metadata.meta_struct("metadata").alias("meta")
     )
-    typed = metadata.typed_meta(F.col("meta"))
-    return meta.select(
+    typed = meta.select(
         "doc_id",
-        F.unix_micros(typed.getField("date")).alias("date_us"),
-        typed.getField("rating").cast("bigint").alias("rating"),
-        F.array_join(metadata.rejected_fields(F.col("meta")), ",").alias("rejected"),
+        metadata.typed_meta("meta").alias("typed"),
+        F.array_join(metadata.rejected_fields("meta"), ",").alias("rejected"),
+    )
+    return typed.selectExpr(
+        "doc_id", "unix_micros(typed.date) as date_us", "cast(typed.rating as bigint) as rating",
+        "rejected",
     )
 
 
@@ -253,7 +255,7 @@ def attachment_b64(spark, folder):
 
 def _documents(spark, folder, options: CrawlOptions) -> DataFrame:
     """Built documents of all files, with their metadata."""
-    texts = derived.files(spark, folder).join(derived.raw_metadata(spark, folder), "doc_id")
+    texts = derived.texts(spark, folder).join(derived.raw_metadata(spark, folder), "doc_id")
     rows = texts.select(
         "doc_id", "path", "length", "mtime", "metadata",
         F.array("text").alias("text"),
@@ -422,7 +424,7 @@ def current_state(spark, folder):
 
 @query
 def index_counts(spark, folder):
-    return state.documents_per_index(state.current_state(_log(spark, folder)))
+    return state.documents_per_index(_log(spark, folder))
 
 
 @query
@@ -473,12 +475,12 @@ def path_tree_counts(spark, folder):
 
 @query
 def term_postings(spark, folder):
-    return terms.term_postings(derived.files(spark, folder), "doc_id", "text")
+    return terms.term_postings(derived.texts(spark, folder), "doc_id", "text")
 
 
 @query
 def term_document_frequency(spark, folder):
-    return terms.document_frequency(derived.files(spark, folder), "text")
+    return terms.document_frequency(derived.texts(spark, folder), "text")
 
 
 # -- events -------------------------------------------------------------------------------

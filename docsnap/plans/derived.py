@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsnap.schema import CONTENT_TYPE_KEY, RAW_METADATA
+from docsnap.schema import CONTENT_TYPE_KEY
+from docsnap.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The files for steps that work hard on each text."""
+    return spread(files(spark, folder))
+
+
 def previous(spark: SparkSession, folder: str) -> DataFrame:
     now = files(spark, folder)
     kept = now.filter("doc_id % 10 <> 3").selectExpr(
@@ -55,18 +61,14 @@ RAW_TEXTS = {
 
 def raw_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` and the raw map; some keys hold an empty list, as an extractor may send."""
-    entries = [
-        F.when(
-            F.expr(f"({text}) is not null"),
-            F.struct(F.lit(key).alias("key"), F.array(F.expr(text)).alias("value")),
-        ).when(
-            F.expr("doc_id % 17 = 4"),
-            F.struct(F.lit(key).alias("key"), F.array().cast("array<string>").alias("value")),
-        )
+    entries = ", ".join(
+        f"""case when ({text}) is not null then struct('{key}' as key, array({text}) as value)
+             when doc_id % 17 = 4 then struct('{key}' as key, cast(array() as array<string>) as value) end"""
         for key, text in RAW_TEXTS.items()
-    ]
-    metadata = F.map_from_entries(F.array_compact(F.array(*entries))).cast(RAW_METADATA)
-    return table(spark, folder, "documents").select("doc_id", metadata.alias("metadata"))
+    )
+    return table(spark, folder, "documents").selectExpr(
+        "doc_id", f"map_from_entries(array_compact(array({entries}))) as metadata"
+    )
 
 
 def events_from(rows: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ class DocumentStore:
 
     def alias(self) -> DataFrame:
         """Documents and folders with ``_index``, ``_id`` and their metadata typed."""
-        return alias_view(self.state()).withColumn("meta", typed_meta(F.col("meta")))
+        return alias_view(self.state()).withColumn("meta", typed_meta("meta"))
 
     def documents(self) -> DataFrame:
         return self.alias().filter(F.col("file").isNotNull())
@@ -125,9 +125,8 @@ class DocumentStore:
 
     def rejected_metadata(self) -> DataFrame:
         """Metadata fields of current documents whose text does not fit the declared type."""
-        fields = rejected_fields(F.col("doc.meta"))
-        return self.state().filter(F.col("doc.meta").isNotNull()).select(
-            "_index", "_id", F.explode(fields).alias("field")
+        return self.state().filter("doc.meta is not null").select(
+            "_index", "_id", F.explode(rejected_fields("doc.meta")).alias("field")
         )
 
     # -- upkeep ---------------------------------------------------------------------------

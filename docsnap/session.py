@@ -50,3 +50,13 @@ def materialised(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores where it comes in fewer pieces than that.
+
+    For steps that cost much per row on small or badly split inputs; a scan with enough
+    pieces is returned as it is. Not for plans that shuffle: counting their pieces runs them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

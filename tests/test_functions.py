@@ -161,7 +161,7 @@ def test_last_listed_key_wins(spark):
         samples.append({k: [f"{k}!", "second"] for k in keys})
     rows = [Row(i=i, m=m) for i, m in enumerate(samples)]
     frame = spark.createDataFrame(rows, "i int, m map<string,array<string>>")
-    got = frame.select("i", metadata.meta_struct(F.col("m")).alias("meta")).orderBy("i").collect()
+    got = frame.select("i", metadata.meta_struct("m").alias("meta")).orderBy("i").collect()
     for sample, row in zip(samples, got):
         expected = {}
         for key, field in RAW_KEYS.items():
@@ -175,7 +175,7 @@ def test_last_listed_key_wins(spark):
 
 def test_empty_list_falls_through(spark):
     frame = spark.createDataFrame([({"Author": [], "dc:creator": ["x"]},)], "m map<string,array<string>>")
-    assert frame.select(metadata.meta_field(F.col("m"), "author")).first()[0] == "x"
+    assert frame.select(metadata.meta_field("m", "author")).first()[0] == "x"
 
 
 def test_typed_metadata(spark):
@@ -189,14 +189,14 @@ def test_typed_metadata(spark):
         "2024-02-03T04:05:06-02:30": datetime(2024, 2, 3, 6, 35, 6),
         "not a date": None, "2024-13-01": None, "T04:05": None, " 2024": None, "2024-02-03 04:05": None,
     }
-    micros = F.unix_micros(metadata.typed_date(F.col("v")))
+    micros = F.unix_micros(metadata.typed_date("v"))
     expected = [
         None if d is None else int(d.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
         for d in dates.values()
     ]
     assert column(spark, list(dates), micros) == expected
     ratings = {"5": 5, "-1.9": -1, "3.7": 3, "high": None, "40000": None, "": None, "NaN": None}
-    assert column(spark, list(ratings), metadata.typed_short(F.col("v"))) == list(ratings.values())
+    assert column(spark, list(ratings), metadata.typed_short("v")) == list(ratings.values())
 
 
 def test_units(spark):
