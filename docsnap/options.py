@@ -13,7 +13,7 @@ class CrawlOptions:
 
     ``indexed_chars <= 0`` stores the whole text. ``ignore_above`` is in bytes and keeps
     files of exactly that size. ``read_partitions`` fixes the number of tasks that open
-    files; unset, it follows ``spark.sql.shuffle.partitions``.
+    files; unset, it follows from their number and size.
     """
 
     root: str

@@ -16,7 +16,7 @@ from docsnap.operators.ops import delete_ops, file_ops, folder_delete_ops, folde
 from docsnap.options import CrawlOptions
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import DOCUMENT
-from docsnap.session import materialised
+from docsnap.session import WorkTables
 from docsnap.sources.content import read_and_extract
 from docsnap.sources.tree import list_names, with_stats
 
@@ -30,7 +30,7 @@ def list_eligible(names: DataFrame, options: CrawlOptions) -> DataFrame:
     wanted = names.filter("not is_dir and error is null").filter(
         passes_patterns(file_name(F.col("path")), options.includes, options.excludes)
     )
-    stats = with_stats(wanted.select("path"), options.follow_symlinks, options.read_partitions)
+    stats = with_stats(wanted.select("path"), options.follow_symlinks)
     return size_guard(stats, options.ignore_above)
 
 
@@ -72,42 +72,59 @@ def crawl(
     the commit come after the operations: a run that fails before leaves no trace.
     """
     run_id, done = store.begin(source, batch_id)
-    if done:
-        return run_id
-    indexed_at = datetime.now(timezone.utc)
+    if not done:
+        with WorkTables(spark) as work:
+            feed = _write_ops(spark, options, store, extractor, run_id, work)
+            failed = store.written_ops(run_id).filter("op = 'error'").select("path")
+            store.write_snapshot(run_id, next_snapshot(feed, failed, options.retry_failed))
+        store.commit(run_id, source, "crawl", batch_id)
+    return run_id
 
+
+def _write_ops(
+    spark: SparkSession,
+    options: CrawlOptions,
+    store: DocumentStore,
+    extractor: Extractor,
+    run_id: int,
+    work: WorkTables,
+) -> DataFrame:
+    """Write the operations of a run; returns the comparison they came from."""
+    indexed_at = datetime.now(timezone.utc)
     names = list_names(
-        spark, options.root, options.follow_symlinks, options.continue_on_error,
-        options.read_partitions,
+        spark, options.root, options.follow_symlinks, options.continue_on_error, work.keep
     )
-    feed = materialised(change_feed(list_eligible(names, options), store.snapshot()))
+    feed = work.keep(change_feed(list_eligible(names, options), store.snapshot()))
     changed = feed.filter(F.col("status").isin("new", "modified"))
-    ops = file_ops(extracted_documents(changed, extractor, options, indexed_at), options)
+    documents = extracted_documents(changed, extractor, options, indexed_at)
     unlisted = names.filter("error is not null").select(
         "path",
         "error",
         F.lit(None).cast("string").alias("_id"),
         F.lit(None).cast(DOCUMENT).alias("doc"),
     )
-    ops = ops.unionByName(file_ops(unlisted, options))
+    if not options.continue_on_error:
+        documents, unlisted = _no_errors(documents), _no_errors(unlisted)
+    ops = file_ops(documents, options).unionByName(file_ops(unlisted, options))
     if options.index_folders:
         folders = names.filter("is_dir and error is null").select("path")
         ops = ops.unionByName(folder_ops(folders, options))
         if options.prune_folders:
-            gone = store.folders().filter(F.col("_index") == options.folder_index).select(
-                F.col("_id").alias("path")
-            ).join(folders, "path", "left_anti")
+            known = store.folders().filter(F.col("_index") == options.folder_index)
+            gone = known.select(F.col("_id").alias("path")).join(folders, "path", "left_anti")
             ops = ops.unionByName(folder_delete_ops(gone, options))
     if options.remove_deleted:
         ops = ops.unionByName(delete_ops(feed.filter("status = 'deleted'"), options))
-
-    store.write_ops(run_id, ops)
-    failed = store.written_ops(run_id).filter("op = 'error'").select("path", "error")
-    if not options.continue_on_error:
-        first = failed.limit(3).collect()
-        if first:
-            raise CrawlError("; ".join(f"{row.path}: {row.error}" for row in first))
-    store.write_snapshot(run_id, next_snapshot(feed, failed, options.retry_failed))
-    store.commit(run_id, source, "crawl", batch_id)
-    return run_id
-
+    try:
+        store.write_ops(run_id, ops)
+    except Exception as problem:
+        if "USER_RAISED_EXCEPTION" in str(problem):
+            raise CrawlError(str(problem)) from problem
+        raise
+    return feed
+
+
+def _no_errors(rows: DataFrame) -> DataFrame:
+    """Fail the task at the first row with an error."""
+    message = F.concat("path", F.lit(": "), "error")
+    return rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(message)))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from docsnap.functions.metadata import rejected_fields, typed_meta
 from docsnap.operators.state import alias_view, current_state
 from docsnap.schema import COMMITS, OPS, SNAPSHOT
+from docsnap.session import filesystem
 
 TABLES = {"ops": OPS, "snapshot": SNAPSHOT, "state": OPS, "commits": COMMITS}
 
@@ -35,16 +36,10 @@ class DocumentStore:
         part = "" if run_id is None else f"/run_id={run_id}"
         return f"{self.location}/{table}{part}"
 
-    def _filesystem(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return target.getFileSystem(conf), target
-
     def _ensure(self) -> None:
         """Create what is missing: each table starts with an empty run 0."""
         for table, schema in TABLES.items():
-            files, target = self._filesystem(self._path(table))
+            files, target = filesystem(self.spark, self._path(table))
             if not files.exists(target):
                 empty = self.spark.createDataFrame([], schema)
                 empty.coalesce(1).write.mode("overwrite").parquet(self._path(table, 0))
@@ -142,25 +137,29 @@ class DocumentStore:
         return run_id
 
     def prune(self, keep: int = 2) -> None:
-        """Delete snapshots and states but the last ``keep``, and the log that those cover."""
+        """Delete snapshots and states but the last ``keep``, and the log that those cover.
+
+        Commits go as well once neither a kept table nor the last batch of any source needs
+        them.
+        """
+        commits = self._read("commits")
+        oldest = {}
         for table, kind in (("snapshot", "crawl"), ("state", "compact")):
-            runs = [
-                row[0]
-                for row in self._read("commits")
-                .filter(F.col("kind") == kind)
-                .select("run_id")
-                .orderBy(F.desc("run_id"))
-                .limit(keep)
-                .collect()
-            ]
-            if len(runs) < keep:
-                continue
-            self._delete_before(table, runs[-1])
-            if table == "state":
-                self._delete_before("ops", runs[-1])
+            runs = commits.filter(F.col("kind") == kind).select("run_id")
+            newest = [row[0] for row in runs.orderBy(F.desc("run_id")).limit(keep).collect()]
+            if len(newest) == keep:
+                oldest[table] = newest[-1]
+        for table, run_id in oldest.items():
+            self._delete_before(table, run_id)
+        if "state" in oldest:
+            self._delete_before("ops", oldest["state"])
+        if len(oldest) == 2:
+            last_of_source = commits.groupBy("source").agg(F.max("run_id").alias("run_id"))
+            needed = last_of_source.agg(F.min("run_id")).first()[0]
+            self._delete_before("commits", min(needed, *oldest.values()))
 
     def _delete_before(self, table: str, run_id: int) -> None:
-        files, target = self._filesystem(self._path(table))
+        files, target = filesystem(self.spark, self._path(table))
         for entry in files.listStatus(target):
             name = entry.getPath().getName()
             if name.startswith("run_id=") and 0 < int(name.split("=")[1]) < run_id:

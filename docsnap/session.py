@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a folder of its own.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="docsnap-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -48,10 +49,47 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filesystem(spark: SparkSession, location: str):
+    """The Hadoop file system of a location, and the location as its path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+class WorkTables:
+    """Intermediate tables of one run in the shared folder, deleted when the run is over.
+
+    Unlike a checkpoint, a written table has a size the planner knows, so a join with it is
+    broadcast only if it is small.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.location = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        place = f"{self.location}/{self.tables}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def __enter__(self) -> WorkTables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        files, target = filesystem(self.spark, self.location)
+        files.delete(target, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
+    """Tasks for that many items: more than the shuffle width only where each has a full load."""
+    return max(1, min(items, max(shuffle_width(spark), -(-items // per_task))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan over all cores where it comes in fewer pieces than that.
 

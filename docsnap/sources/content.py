@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from docsnap.operators.extract import Extractor, PythonExtractor
 from docsnap.schema import EXTRACTED
-from docsnap.session import shuffle_width
+from docsnap.session import tasks_for
 
 _BATCH_BYTES = 32 * 1024 * 1024
 _BATCH_ROWS = 1_000
+_BYTES_PER_TASK = 512 * 1024 * 1024
+_FILES_PER_TASK = 20_000
 
 
 def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool) -> DataFrame:
@@ -50,6 +52,16 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
     return files.mapInPandas(read, schema)
 
 
+def read_tasks(files: DataFrame) -> int:
+    """Tasks to read the files with, by their number and their total ``length``."""
+    load = files.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    ).first()
+    by_bytes = -(-load["bytes"] // _BYTES_PER_TASK)
+    spark = files.sparkSession
+    return max(tasks_for(spark, load["files"], _FILES_PER_TASK), min(by_bytes, load["files"]))
+
+
 def read_and_extract(
     files: DataFrame, extractor: Extractor, keep_data: bool, tasks: int | None = None
 ) -> DataFrame:
@@ -59,7 +71,7 @@ def read_and_extract(
     partitions. A Python extractor runs in the pass that reads, so bytes that no later step
     needs never leave the worker.
     """
-    dealt = files.repartition(tasks or shuffle_width(files.sparkSession))
+    dealt = files.repartition(tasks or read_tasks(files))
     if isinstance(extractor, PythonExtractor):
         return _read(dealt, extractor, keep_data)
     extracted = extractor(_read(dealt, None, True))

@@ -9,7 +9,7 @@ taken out what is not wanted.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 
 from docsnap.functions.paths import clean_root
 from docsnap.schema import NAMES, STATS
-from docsnap.session import materialised, shuffle_width
+from docsnap.session import materialised, tasks_for
 
 _ROWS = 10_000
+_FOLDERS_PER_TASK = 500
+_FILES_PER_TASK = 50_000
 
 
 def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -85,17 +87,16 @@ def list_names(
     root: str,
     follow_symlinks: bool = False,
     continue_on_error: bool = False,
-    tasks: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = materialised,
 ) -> DataFrame:
     """Every directory and file below the root: ``path, is_dir, is_symlink, error``.
 
     The root is the first row. An unreadable directory fails the listing, or adds a row with
-    an ``error`` where ``continue_on_error`` is set.
+    an ``error`` where ``continue_on_error`` is set. ``keep`` stores each level.
     """
     base = clean_root(root)
     if not os.path.isabs(base):
         raise ValueError("the root must be an absolute path")
-    width = tasks or shuffle_width(spark)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -109,20 +110,23 @@ def list_names(
 
     top = [_identity(base)] if follow_symlinks else []
     level = spark.createDataFrame([(base, True, False, top, None)], NAMES)
-    listed = level
-    while True:
+    listed, waiting = level, 1
+    while waiting:
         directories = level.filter("is_dir and error is null").select("path", "lineage")
-        if directories.isEmpty():
-            break
-        level = materialised(directories.repartition(width).mapInPandas(scan, NAMES))
+        tasks = tasks_for(spark, waiting, _FOLDERS_PER_TASK)
+        level = keep(directories.repartition(tasks).mapInPandas(scan, NAMES))
         listed = listed.unionByName(level)
+        waiting = level.filter("is_dir and error is null").count()
     return listed.drop("lineage")
 
 
 def with_stats(
     files: DataFrame, follow_symlinks: bool = False, tasks: int | None = None
 ) -> DataFrame:
-    """Add size and times; a file that is gone by now drops out."""
+    """Add size and times; a file that is gone by now drops out.
+
+    Without ``tasks`` the rows are counted to choose their number.
+    """
     columns = files.columns
     schema = T.StructType(files.schema.fields + STATS.fields)
 
@@ -140,8 +144,9 @@ def with_stats(
 
         yield from _frames(rows(), [*columns, *STATS.fieldNames()])
 
-    width = tasks or shuffle_width(files.sparkSession)
-    return files.repartition(width).mapInPandas(look, schema)
+    if tasks is None:
+        tasks = tasks_for(files.sparkSession, files.count(), _FILES_PER_TASK)
+    return files.repartition(tasks).mapInPandas(look, schema)
 
 
 def binary_file_listing(spark: SparkSession, root: str) -> DataFrame:

@@ -18,7 +18,6 @@ from docsnap.options import CrawlOptions
 from docsnap.plans.crawl import crawl
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import EVENTS
-from docsnap.session import materialised
 from docsnap.sources.content import read_and_extract
 from docsnap.sources.tree import with_stats
 
@@ -36,7 +35,7 @@ def file_loader(extractor: Extractor, options: CrawlOptions) -> Loader:
     """Rows with a ``path`` to rows with size, times, text and metadata; gone files drop out."""
 
     def load(paths: DataFrame) -> DataFrame:
-        stats = with_stats(paths, options.follow_symlinks, options.read_partitions)
+        stats = with_stats(paths, options.follow_symlinks)
         return read_and_extract(stats, extractor, options.needs_bytes, options.read_partitions)
 
     return load
@@ -59,12 +58,15 @@ def apply_batch(
     run_id, done = store.begin(source, batch_id)
     if done:
         return
-    last = materialised(latest_events(accepted_events(events, options, pauses)))
-    loaded = load(last.filter("op = 'index'").select("path"))
-    indexed_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-    ops = file_ops(with_document(loaded, options, indexed_at), options)
-    ops = ops.unionByName(delete_ops(last.filter("op = 'delete'"), options))
-    store.write_ops(run_id, ops)
+    last = latest_events(accepted_events(events, options, pauses)).persist()
+    try:
+        loaded = load(last.filter("op = 'index'").select("path"))
+        indexed_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+        ops = file_ops(with_document(loaded, options, indexed_at), options)
+        ops = ops.unionByName(delete_ops(last.filter("op = 'delete'"), options))
+        store.write_ops(run_id, ops)
+    finally:
+        last.unpersist()
     store.commit(run_id, source, "events", batch_id)
 
 

@@ -161,7 +161,7 @@ def test_damaged_json_snapshot_is_empty(spark, tmp_path, text):
 def test_listing_rows_are_spread_over_tasks(spark, tree):
     for n in range(40):
         tree(f"hot/{n}.txt")
-    names = list_names(spark, tree.root, tasks=4).filter(~F.col("is_dir"))
+    names = list_names(spark, tree.root).filter(~F.col("is_dir"))
     stats = with_stats(names.select("path"), tasks=4)
     used = stats.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(used) == 4 and max(r["count"] for r in used) <= 20
