@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,32 @@ def current_state(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
+def settled_state(
+    ops: DataFrame, base: DataFrame | None, keep: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The current state with as few documents shuffled as possible, for writing it out.
+
+    The narrow work comes first: which operations were last, and which ``index`` operations
+    were superseded. ``keep`` stores both, so their true sizes are known when the documents
+    meet them. Usually few are superseded; then the planner broadcasts those and the documents
+    stay where they are, else it falls back to a shuffle on a unique key.
+    """
+    last = keep(last_operations(ops))
+    indexed = ops.filter(F.col("op") == "index")
+    winners = last.filter(F.col("op") == "index").drop("op")
+    superseded = keep(_without(indexed.select(*KEY, *ORDER), winners, KEY + ORDER))
+    rows = _without(indexed, superseded, KEY + ORDER)
+    if base is None:
+        return rows
+    return _without(base, last.select(*KEY), KEY).unionByName(rows, allowMissingColumns=True)
+
+
+def _without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that have no partner; as an outer join, which stays above unions of runs."""
+    marked = rows.join(others.withColumn("_partner", F.lit(True)), key, "left")
+    return marked.filter(F.col("_partner").isNull()).drop("_partner")
+
+
 def documents_per_index(ops: DataFrame) -> DataFrame:
     """Size of each index; the last operations tell it without touching a document."""
     return (

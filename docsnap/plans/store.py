@@ -3,6 +3,7 @@
     ops/run_id=N        operations of run N
     snapshot/run_id=N   the snapshot run N ended with
     state/run_id=N      current documents as of run N, written by ``compact``
+    responses/run_id=N  what became of the uploads of run N
     commits/run_id=N    one row, written last
 
 A run counts once its commit is there. Run ids rise by one, and a run that failed leaves its
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsnap.functions.metadata import rejected_fields, typed_meta
-from docsnap.operators.state import alias_view, current_state
-from docsnap.schema import COMMITS, OPS, SNAPSHOT
-from docsnap.session import filesystem
+from docsnap.operators.state import alias_view, current_state, settled_state
+from docsnap.schema import COMMITS, OPS, RESPONSES, SNAPSHOT
+from docsnap.session import WorkTables, filesystem
 
-TABLES = {"ops": OPS, "snapshot": SNAPSHOT, "state": OPS, "commits": COMMITS}
+TABLES = {
+    "ops": OPS, "snapshot": SNAPSHOT, "state": OPS, "responses": RESPONSES, "commits": COMMITS,
+}
 
 
 class DocumentStore:
@@ -73,6 +76,11 @@ class DocumentStore:
             self._path("snapshot", run_id)
         )
 
+    def write_responses(self, run_id: int, responses: DataFrame) -> None:
+        responses.select(*RESPONSES.fieldNames()).write.mode("overwrite").parquet(
+            self._path("responses", run_id)
+        )
+
     def commit(self, run_id: int, source: str, kind: str, batch_id: int | None = None) -> None:
         row = self.spark.range(1).select(
             F.lit(source).alias("source"),
@@ -95,18 +103,28 @@ class DocumentStore:
     def errors(self) -> DataFrame:
         return self.ops().filter(F.col("op") == "error").select("run_id", "path", "error")
 
+    def responses(self, run_id: int) -> DataFrame:
+        return self._read("responses").filter(F.col("run_id") == run_id).drop("run_id")
+
     def snapshot(self) -> DataFrame:
         """The snapshot of the newest committed crawl; empty before the first."""
         newest = self._last("crawl")
         return self._read("snapshot").filter(F.col("run_id") == newest).drop("run_id")
 
-    def state(self) -> DataFrame:
-        """Index operations that make up the current documents and folders."""
+    def _since_compaction(self) -> tuple[DataFrame, DataFrame | None]:
         compacted = self._last("compact")
         if not compacted:
-            return current_state(self.ops())
+            return self.ops(), None
         base = self._read("state").filter(F.col("run_id") == compacted)
-        return current_state(self.ops(after=compacted), base)
+        return self.ops(after=compacted), base
+
+    def state(self) -> DataFrame:
+        """Index operations that make up the current documents and folders."""
+        return current_state(*self._since_compaction())
+
+    def counts(self) -> DataFrame:
+        """Documents per index."""
+        return self.state().groupBy("_index").agg(F.count("*").alias("documents"))
 
     def alias(self) -> DataFrame:
         """Documents and folders with ``_index``, ``_id`` and their metadata typed."""
@@ -130,9 +148,10 @@ class DocumentStore:
         """Write the current state as a table of its own, for later reads to build on."""
         run_id, _ = self.begin("compact")
         self.write_ops(run_id, self.spark.createDataFrame([], OPS))
-        self.state().select(*OPS.fieldNames()).write.mode("overwrite").parquet(
-            self._path("state", run_id)
-        )
+        ops, base = self._since_compaction()
+        with WorkTables(self.spark) as work:
+            state = settled_state(ops, base, work.keep).select(*OPS.fieldNames())
+            state.write.mode("overwrite").parquet(self._path("state", run_id))
         self.commit(run_id, "compact", "compact")
         return run_id
 

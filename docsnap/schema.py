@@ -94,6 +94,10 @@ OPS = struct(
     error=_TEXT, doc=DOCUMENT,
 )
 
+RESPONSES = struct(
+    upload_id=_LONG, filename=_TEXT, ok=_FLAG, error=_TEXT, url=_TEXT, doc=DOCUMENT
+)
+
 # Phases of one pass, in the order the operations apply.
 PHASE_FOLDER, PHASE_FILE, PHASE_DELETE = 0, 1, 2
 

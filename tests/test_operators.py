@@ -15,6 +15,8 @@ from docsnap.operators.extract import PythonExtractor, text_extractor
 from docsnap.operators.ops import upload_ops
 from docsnap.operators.position import with_position
 from docsnap.options import CrawlOptions
+from docsnap.plans.requests import apply_deletes, apply_uploads
+from docsnap.plans.store import DocumentStore
 from docsnap.schema import EVENTS, STRINGS, struct
 
 
@@ -109,6 +111,14 @@ def test_current_state_equals_a_replay(spark, seed):
     base = state.current_state(log_frame(spark, early))
     stepped = state.current_state(log_frame(spark, late), base)
     assert {(r._index, r._id): r.doc for r in stepped.collect()} == replay(rows)
+    counts = {r._index: r.documents for r in state.documents_per_index(log).collect()}
+    assert counts == Counter(index for index, _ in replay(rows))
+    settled = state.settled_state(log_frame(spark, late), base, lambda df: df)
+    assert sorted((r._index, r._id, r.doc) for r in settled.collect()) == sorted(
+        (*key, doc) for key, doc in replay(rows).items()
+    )
+    whole = state.settled_state(log, None, lambda df: df)
+    assert {(r._index, r._id): r.doc for r in whole.collect()} == replay(rows)
 
 
 def test_change_feed_statuses(spark):
@@ -198,7 +208,7 @@ UPLOADS = struct(
 )
 
 
-def test_uploads(spark):
+def test_uploads(spark, tmp_path):
     rows = [
         (1, "dir/a.TXT", "text/x; q=1", None, None, False, True, b" one "),
         (2, "b.txt", "", "id-2", "other", False, False, b"two"),
@@ -232,6 +242,20 @@ def test_uploads(spark):
     current = {(r._index, r._id): r.doc.content for r in state.current_state(log).collect()}
     assert current == {("job_docs", "dir/a.TXT"): "newer", ("other", "id-2"): "two"}
     built.unpersist()
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    frame = spark.createDataFrame(rows, UPLOADS)
+    run = apply_uploads(frame, store, options, PythonExtractor(fails), batch_id=0)
+    assert apply_uploads(frame.limit(0), store, options, PythonExtractor(fails), batch_id=0) == run
+    answers = {r.upload_id: (r.ok, r.error, r.doc is not None) for r in store.responses(run).collect()}
+    assert answers == {
+        1: (True, None, True), 2: (True, None, False), 3: (True, None, True),
+        4: (True, None, False), 5: (False, "ValueError: no", False),
+    }
+    assert {(r._index, r._id): r.content for r in store.documents().collect()} == current
+    wanted = struct(key=T.StringType(), index=T.StringType())
+    requests = spark.createDataFrame([("dir/a.TXT", None), ("dir/a.TXT", ""), ("x", "other")], wanted)
+    apply_deletes(requests, store, options)
+    assert [tuple(r) for r in store.counts().collect()] == [("other", 1)]
     plain = text_extractor(spark.createDataFrame(rows[:1], UPLOADS)).first()
     assert plain.text == [" one "] and plain.error is None
 
