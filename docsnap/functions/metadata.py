@@ -38,11 +38,16 @@ _DATE_SHAPE = (
     r"\A[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}(T[0-9]{1,2}(:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?)?"
     r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?)?)?\z"
 )
-# The cast wants minutes after an hour, a colon in the offset and a dot before fractions.
+# Filled up to a full date, time and zone, which the cast reads alike in every session.
 _REPAIRS = (
+    (r"\A([0-9]{4})\z", "$1-01"),
+    (r"\A([0-9]{4}-[0-9]{1,2})\z", "$1-01"),
+    (r"\A([^T]*)\z", "$1T00"),
     (r"(T[0-9]{1,2})(?=\z|Z|[+-])", "$1:00"),
+    (r"(T[0-9]{1,2}:[0-9]{2})(?=\z|Z|[+-])", "$1:00"),
     (r"(T.*[+-][0-9]{2})([0-9]{2})\z", "$1:$2"),
     (r"(T.*[+-][0-9]{2})\z", "$1:00"),
+    (r"(T[^Z+-]*)\z", "$1Z"),
     (",", "."),
 )
 

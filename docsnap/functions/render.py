@@ -9,12 +9,15 @@ from docsnap.schema import FILE, PATH
 
 
 def iso_utc(moment: Column) -> Column:
-    """ISO text in UTC; a fraction only where there is one. Needs a session in UTC."""
-    fraction = F.when(F.unix_micros(moment) % 1_000_000 != 0, F.date_format(moment, ".SSSSSS"))
+    """ISO text in UTC, whatever the zone of the session; a fraction only where there is one."""
+    micros = F.unix_micros(moment)
+    seconds = F.make_dt_interval(secs=F.floor(micros / 1_000_000))
+    wall = (F.expr("timestamp_ntz '1970-01-01 00:00:00'") + seconds).cast("string")
+    fraction = F.pmod(micros, F.lit(1_000_000)).cast("string")
     return F.concat(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.coalesce(fraction, F.lit("")),
-        F.when(moment.isNotNull(), F.lit("+00:00")),
+        F.translate(wall, " ", "T"),
+        F.when(fraction != "0", F.concat(F.lit("."), F.lpad(fraction, 6, "0"))).otherwise(""),
+        F.lit("+00:00"),
     )
 
 

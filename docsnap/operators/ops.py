@@ -10,61 +10,46 @@ from docsnap.functions.paths import walk_order
 from docsnap.functions.render import action_json, document_json
 from docsnap.operators.folders import folder_documents
 from docsnap.options import CrawlOptions
-from docsnap.schema import DOCUMENT, OPS, PHASE_DELETE, PHASE_FILE, PHASE_FOLDER
-
-
-def _conform(ops: DataFrame) -> DataFrame:
-    return ops.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OPS.fields])
+from docsnap.schema import OPS, PHASE_DELETE, PHASE_FILE, PHASE_FOLDER
 
 
 def file_ops(documents: DataFrame, options: CrawlOptions) -> DataFrame:
     """``index`` rows; a row with an ``error`` becomes an ``error`` row without a document."""
     failed = F.col("error").isNotNull()
-    return _conform(
-        documents.select(
-            F.lit(PHASE_FILE).alias("phase"),
-            walk_order(F.col("path")).alias("ord"),
-            F.when(failed, "error").otherwise("index").alias("op"),
-            F.lit(options.index).alias("_index"),
-            F.when(~failed, F.col("_id")).alias("_id"),
-            "path",
-            "error",
-            F.when(~failed, F.col("doc")).alias("doc"),
-        )
-    )
+    return documents.select(
+        F.lit(PHASE_FILE).alias("phase"),
+        walk_order(F.col("path")).alias("ord"),
+        F.when(failed, "error").otherwise("index").alias("op"),
+        F.lit(options.index).alias("_index"),
+        F.when(~failed, F.col("_id")).alias("_id"),
+        "path",
+        "error",
+        F.when(~failed, F.col("doc")).alias("doc"),
+    ).to(OPS)
 
 
 def folder_ops(folders: DataFrame, options: CrawlOptions) -> DataFrame:
-    doc = F.struct(F.col("path_info").alias("path"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in DOCUMENT.fields]
-    empty[DOCUMENT.fieldNames().index("path")] = doc.getField("path").alias("path")
-    return _conform(
-        folder_documents(folders, options.root).select(
-            F.lit(PHASE_FOLDER).alias("phase"),
-            walk_order(F.col("_id")).alias("ord"),
-            F.lit("index").alias("op"),
-            F.lit(options.folder_index).alias("_index"),
-            "_id",
-            F.col("_id").alias("path"),
-            F.lit(None).alias("error"),
-            F.struct(*empty).alias("doc"),
-        )
-    )
+    """``index`` rows of documents that have only a path."""
+    return folder_documents(folders, options.root).select(
+        F.lit(PHASE_FOLDER).alias("phase"),
+        walk_order(F.col("_id")).alias("ord"),
+        F.lit("index").alias("op"),
+        F.lit(options.folder_index).alias("_index"),
+        "_id",
+        F.col("_id").alias("path"),
+        F.struct(F.col("path_info").alias("path")).alias("doc"),
+    ).to(OPS)
 
 
 def _deletes(rows: DataFrame, index: Column, doc_id: Column) -> DataFrame:
-    return _conform(
-        rows.select(
-            F.lit(PHASE_DELETE).alias("phase"),
-            walk_order(F.col("path")).alias("ord"),
-            F.lit("delete").alias("op"),
-            index.alias("_index"),
-            doc_id.alias("_id"),
-            "path",
-            F.lit(None).alias("error"),
-            F.lit(None).alias("doc"),
-        )
-    )
+    return rows.select(
+        F.lit(PHASE_DELETE).alias("phase"),
+        walk_order(F.col("path")).alias("ord"),
+        F.lit("delete").alias("op"),
+        index.alias("_index"),
+        doc_id.alias("_id"),
+        "path",
+    ).to(OPS)
 
 
 def delete_ops(deleted: DataFrame, options: CrawlOptions) -> DataFrame:
@@ -90,18 +75,16 @@ def requested_deletes(requests: DataFrame, options: CrawlOptions) -> DataFrame:
 
 def upload_ops(uploads: DataFrame, options: CrawlOptions) -> DataFrame:
     """``index`` rows of built uploads, in the order of ``upload_id``; simulated ones stay out."""
-    return _conform(
-        uploads.filter(~F.coalesce("simulate", F.lit(False)) & F.col("error").isNull()).select(
-            F.lit(PHASE_FILE).alias("phase"),
-            F.array(F.lpad(F.col("upload_id").cast("string"), 20, "0")).alias("ord"),
-            F.lit("index").alias("op"),
-            "_index",
-            "_id",
-            F.col("filename").alias("path"),
-            F.lit(None).alias("error"),
-            "doc",
-        )
-    )
+    written = ~F.coalesce("simulate", F.lit(False)) & F.col("error").isNull()
+    return uploads.filter(written).select(
+        F.lit(PHASE_FILE).alias("phase"),
+        F.array(F.lpad(F.col("upload_id").cast("string"), 20, "0")).alias("ord"),
+        F.lit("index").alias("op"),
+        "_index",
+        "_id",
+        F.col("filename").alias("path"),
+        "doc",
+    ).to(OPS)
 
 
 def run_summary(ops: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from docsnap.functions.paths import walk_order
 from docsnap.plans import derived
 from docsnap.plans.crawl import next_snapshot
 from docsnap.plans.store import DocumentStore
-from docsnap.session import shared_folder
+from docsnap.session import shared_folder, spread
 from docsnap.streaming.events import follow_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,7 +319,7 @@ def html_title_lang(spark, folder):
 
 @query
 def html_text(spark, folder):
-    return derived.table(spark, folder, "pages").select(
+    return spread(derived.table(spark, folder, "pages")).select(
         "page_id", extract.html_text(F.col("html")).alias("text")
     )
 

@@ -13,7 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets the runtime use a hash join after a shuffle where the partitions proved small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    "spark.sql.parquet.aggregatePushdown": "true",
+    # Call sites in error messages cost several round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

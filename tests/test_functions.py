@@ -4,7 +4,7 @@ import itertools
 import json
 import random
 from base64 import b64encode
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from pathlib import PurePosixPath
 
 import pytest
@@ -194,7 +194,9 @@ def test_typed_metadata(spark):
         None if d is None else int(d.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
         for d in dates.values()
     ]
-    assert column(spark, list(dates), micros) == expected
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert column(spark, list(dates), micros) == expected
     ratings = {"5": 5, "-1.9": -1, "3.7": 3, "high": None, "40000": None, "": None, "NaN": None}
     assert column(spark, list(ratings), metadata.typed_short("v")) == list(ratings.values())
 
@@ -221,6 +223,18 @@ def test_units(spark):
             column(spark, ["bad"], parse(F.col("v")))
 
 
+def test_iso_text_does_not_depend_on_the_session_zone(spark):
+    micros = [0, -1, 1710054000_000000, 1710055800_000500, 1730620800_123456, -62135596800_000000]
+    expected = [
+        (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=m)).isoformat()
+        for m in micros
+    ]
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert column(spark, micros, render.iso_utc(F.timestamp_micros("v")), "bigint") == expected
+    assert column(spark, [None], render.iso_utc(F.timestamp_micros("v")), "bigint") == [None]
+
+
 def test_document_json(spark):
     moment = datetime(2024, 1, 2, 3, 4, 5, 67, tzinfo=timezone.utc)
     file = {

@@ -170,6 +170,10 @@ def test_events_pauses_and_last_event(spark):
         got = {r.event_id for r in filters.outside_pauses(frame, closed).collect()}
         assert got == {r[0] for r in open_}
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    middle = rows[1000][1]
+    unended = closed.unionByName(spark.createDataFrame([(middle, None)], closed.schema))
+    got = {r.event_id for r in filters.outside_pauses(frame, unended).collect()}
+    assert got == {r[0] for r in open_ if r[1] < middle}
     taken = [r for r in open_ if not r[4] and (r[2] == "deleted" or not r[3].endswith(".tmp"))]
     accepted = events.accepted_events(frame, options, closed)
     assert {r.event_id for r in accepted.collect()} == {r[0] for r in taken}
