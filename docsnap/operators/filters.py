@@ -41,21 +41,27 @@ def file_events(events: DataFrame, options: CrawlOptions) -> DataFrame:
 def outside_pauses(events: DataFrame, pauses: DataFrame) -> DataFrame:
     """Drop events with ``start_ts <= ts < end_ts`` of any pause; one without an end goes on.
 
-    Pauses are cut into days, so the interval condition rides on an equality on the day.
-    Whether the pauses are broadcast is left to their measured size; if they are shuffled, a
-    day that holds many events is split by the adaptive skew join. Of the pauses without an
+    Pauses are cut into hours, so the interval condition rides on an equality on the hour.
+    Whether the pauses are broadcast is left to their measured size; if they are shuffled, an
+    hour that holds many events is split by the adaptive skew join. Of the pauses without an
     end only the earliest start matters.
     """
-    days = pauses.filter("start_ts < end_ts").select(
+    hours = pauses.filter("start_ts < end_ts").select(
         "start_ts",
         "end_ts",
-        F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))).alias("day"),
+        F.explode(
+            F.sequence(
+                F.date_trunc("hour", "start_ts"),
+                F.date_trunc("hour", "end_ts"),
+                F.expr("interval 1 hour"),
+            )
+        ).alias("hour"),
     )
     closed_out = events.join(
-        days,
-        (F.to_date(events["ts"]) == days["day"])
-        & (events["ts"] >= days["start_ts"])
-        & (events["ts"] < days["end_ts"]),
+        hours,
+        (F.date_trunc("hour", events["ts"]) == hours["hour"])
+        & (events["ts"] >= hours["start_ts"])
+        & (events["ts"] < hours["end_ts"]),
         "left_anti",
     )
     since = pauses.filter("end_ts is null").agg(F.min("start_ts")).scalar()

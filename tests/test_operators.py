@@ -184,6 +184,22 @@ def test_events_pauses_and_last_event(spark):
     assert {r.path: (r.event_id, r.op) for r in got} == last
 
 
+@pytest.mark.parametrize("day", [datetime(2024, 3, 10), datetime(2024, 11, 3)])
+def test_pauses_where_the_session_zone_skips_or_repeats_an_hour(spark, day):
+    rows = [(i, day + timedelta(minutes=10 * i), "created", f"/d/{i}", False) for i in range(60)]
+    pauses = [(day + timedelta(minutes=a), day + timedelta(minutes=b)) for a, b in ((55, 125), (150, 155), (178, 245))]
+    schema = struct(start_ts=T.TimestampNTZType(), end_ts=T.TimestampNTZType())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        kept = filters.outside_pauses(
+            spark.createDataFrame(rows, EVENTS), spark.createDataFrame(pauses, schema)
+        )
+        got = {r.event_id for r in kept.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {r[0] for r in rows if not any(s <= r[1] < e for s, e in pauses)}
+
+
 def test_facets_equal_counting_every_ancestor(spark):
     rng = random.Random(9)
     paths = {f"/r/{'hot' if rng.random() < 0.5 else rng.choice('abc')}/{rng.choice('xyz')}/{i}" for i in range(200)}
