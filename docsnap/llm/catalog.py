@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import mixing, records
+from docsnap.llm import mixing, ngram_join, records
 from docsnap.llm.common import table
 
 
@@ -10,13 +10,17 @@ def op2_mixing(spark, folder):
     return mixing.mixed_words(table(spark, folder, "documents"))
 
 
+def op8_ngram_join(spark, folder):
+    return ngram_join.ngram_links(table(spark, folder, "documents"))
+
+
 def op10_token_records(spark, folder):
     return records.token_records(table(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op10_token_records)}
+    return {f.__name__: f for f in (op2_mixing, op8_ngram_join, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op8_ngram_join": ngram_join.SQL}
