@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import mixing, ngram_join, records
+from docsnap.llm import decontaminate, mixing, ngram_join, records
 from docsnap.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op2_mixing(spark, folder):
     return mixing.mixed_words(table(spark, folder, "documents"))
 
 
+def op5_decontaminate(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_ngram_join(spark, folder):
     return ngram_join.ngram_links(table(spark, folder, "documents"))
 
@@ -19,7 +23,7 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op8_ngram_join, op10_token_records)}
+    return {f.__name__: f for f in (op2_mixing, op5_decontaminate, op8_ngram_join, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
