@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docsnap.llm import decontaminate, mixing, ngram_join, records
+from docsnap.llm import decontaminate, language, mixing, ngram_join, records
 from docsnap.llm.common import table
 
 
+def op1_language(spark, folder):
+    return language.predicted_languages(table(spark, folder, "documents"))
+
+
 def op2_mixing(spark, folder):
     return mixing.mixed_words(table(spark, folder, "documents"))
 
@@ -23,7 +27,7 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op5_decontaminate, op8_ngram_join, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op5_decontaminate, op8_ngram_join, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
