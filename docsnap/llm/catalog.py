@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import decontaminate, language, mixing, ngram_join, records
+from docsnap.llm import decontaminate, language, mixing, ngram_join, records, substrings
 from docsnap.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark, folder):
     return mixing.mixed_words(table(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark, folder):
+    return substrings.without_repeats(table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -27,7 +31,7 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op5_decontaminate, op8_ngram_join, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op5_decontaminate, op8_ngram_join, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docsnap.session import shared_folder
+from docsnap.session import filesystem, shared_folder
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -75,3 +75,10 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = values[start]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes a kept table that nothing will read again."""
+    for place in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+        files, target = filesystem(kept.sparkSession, place)
+        files.delete(target, True)
