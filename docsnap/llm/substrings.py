@@ -256,14 +256,16 @@ def _counted_strings(rows: DataFrame) -> DataFrame:
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """``r``, ``low``, ``high``: stretches of the texts of ``docs`` (r, text) that repeat."""
     every = keep(_anchor_rows(docs), "anchors")
-    again = every.groupBy("g").count().filter("count > 1").select("g")
+    # Written, so that the join below may split a gram of very many anchors.
+    again = keep(every.groupBy("g").count().filter("count > 1").select("g"), "shared-grams")
     shared = keep(every.join(again, "g", "left_semi"), "shared-anchors")
     discard(every)
     kinds = keep(
         shared.groupBy("g", "fp").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("at").alias("at")),
         "kinds",
     )
-    settled = shared.join(kinds.filter("n > 1").select("g", "fp"), ["g", "fp"], "left_semi").select(
+    equal = keep(kinds.filter("n > 1").select("g", "fp"), "equal-surroundings")
+    settled = shared.join(equal, ["g", "fp"], "left_semi").select(
         "r",
         ((F.shiftright("at", 16)) - (F.shiftright("at", 8).bitwiseAND(255))).cast("int").alias("low"),
         ((F.shiftright("at", 16)) + (F.col("at").bitwiseAND(255))).cast("int").alias("high"),
