@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def remembered(name: str, key, make: Callable):
+    """What ``make`` gives for the key, kept in this process until another key is asked for.
+
+    Functions travel to Python workers by value, so module variables start anew with every task;
+    this memory outlives them.
+    """
+    memory = vars(sys.modules.setdefault("docsnap_remembered", types.ModuleType("docsnap_remembered")))
+    if name not in memory or memory[name][0] != key:
+        memory[name] = (key, make())
+    return memory[name][1]
+
+
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is derived from one at a time stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def text_pieces(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a string column in pieces of about ``most_bytes``: first row, end row, their
     UTF-8 bytes end to end, and the row offsets in them. Nulls are empty."""

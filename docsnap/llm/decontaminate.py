@@ -23,7 +23,6 @@ document id count as one document; null ids make a row of their own. Empty table
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import text_pieces
+from docsnap.llm.common import parts, remembered, text_pieces
 
 MAX_DISTANCE, TARGET_DISTANCE = 0.2, 0.1
 WALKS, STEPS, SAMPLES, EARLY = 6, 40, 20, 8
@@ -47,7 +46,7 @@ PLAIN[97:123] = PLAIN[65:91] = np.arange(97, 123)
 PLAIN[128:] = np.arange(128, 256)
 
 _RANDOM = np.random.Generator(np.random.PCG64(5))
-MOVES = _RANDOM.integers(0, 2, (WALKS, STEPS, 256), np.int32)
+MOVES = _RANDOM.integers(0, 2, (WALKS, STEPS, 256), np.int8)
 #: Steps whose notes go into the key; the first few decide early whether a window goes on.
 SAMPLED = np.array(
     [
@@ -205,9 +204,8 @@ class Items:
                 yield row, self.items[number][0], distance
 
 
-@lru_cache(maxsize=1)
 def _prepared(rows: tuple, max_distance: float) -> Items:
-    return Items(list(rows), max_distance)
+    return remembered("items", (rows, max_distance), lambda: Items(list(rows), max_distance))
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple]:
@@ -230,7 +228,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_distance: float = MAX_DI
 
         def find(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = _prepared(sent.value, max_distance)
-            for batch in batches:
+            for batch in parts(batches):
                 rows = list(block.matches(batch["text"]))
                 if rows:
                     at, ids, distances = zip(*rows, strict=True)
@@ -252,7 +250,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, max_distance: float = MAX
 
         def clean(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = _prepared(sent.value, max_distance)
-            for batch in batches:
+            for batch in parts(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _, _ in block.matches(batch["text"])]] = False
                 yield batch.filter(pa.array(keep))

@@ -18,14 +18,13 @@ alike. Extra columns do not matter. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import text_pieces
+from docsnap.llm.common import parts, remembered, text_pieces
 
 UNKNOWN = "und"
 SAMPLE, LANDMARKS = 1_200, 128
@@ -40,9 +39,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Of each code point its small letter, or a space if it is no letter."""
+    return remembered("letters", 0, _letters)
+
+
+def _letters() -> np.ndarray:
     table = np.full(0x110000, 32, np.int32)
     for code in range(0x30000):
         character = chr(code)
@@ -72,6 +74,13 @@ def exact_grams(text: np.ndarray) -> np.ndarray:
 class Model:
     """What is learned: alphabet, columns, landmarks and weights; small enough to send along."""
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """The model whose attributes these are; plain values need no import where they arrive."""
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        return model
+
     def __init__(self, languages: list[str], grams: list[np.ndarray]) -> None:
         """``grams`` are the distinct grams of the sample texts, languages[i] that of text i."""
         self.names = sorted(set(languages))
@@ -123,7 +132,7 @@ class Model:
         return (presence @ self.landmarks) / np.sqrt(np.maximum(own, 1))[:, None]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        table, width = _symbols(self), ALPHABET + 2
+        table, width = self.symbols(), ALPHABET + 2
         step = width * (width + 1)
         seen = np.zeros(step * (width + 1), bool)
         names, scores = [], []
@@ -151,11 +160,6 @@ class Model:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-@lru_cache(maxsize=1)
-def _symbols(model: Model) -> np.ndarray:
-    return model.symbols()
-
-
 def sample_grams(docs: DataFrame) -> DataFrame:
     """``lang``, ``draw`` and the grams of about ``SAMPLE`` labelled texts, alike by language.
 
@@ -199,19 +203,20 @@ def fit(docs: DataFrame) -> Model | None:
 
 def languages(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs`` as a struct ``doc``, with ``lang_pred`` and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if sent.value is None:
+        known = sent.value and Model.of(sent.value)
+        for batch in parts(batches):
+            if known is None:
                 names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             else:
-                names, scores = sent.value.predict(batch["text"])
+                names, scores = known.predict(batch["doc"].field("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"], pa.array(names, pa.string()), pa.array(scores)], names=["doc", "lang_pred", "score"]
             )
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
     kind = rows.schema["doc"].dataType.simpleString()
     return rows.mapInArrow(predict, f"doc {kind}, lang_pred string, score double")
 

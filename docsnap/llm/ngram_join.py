@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import keep, mix, runs, shuffle_width, text_pieces
+from docsnap.llm.common import keep, mix, parts, runs, shuffle_width, text_pieces
 from docsnap.llm.graph import components
 from docsnap.llm.words import PLACE, shingle_sets
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, the key of its shingle set, its size, and its band keys."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for row, end, data, offsets in text_pieces(batch["text"], PIECE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for _, _, data, offsets in text_pieces(batch["text"], PIECE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)

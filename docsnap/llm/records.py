@@ -24,7 +24,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import keep, shuffle_width, work_folder
+from docsnap.llm.common import keep, remembered, shuffle_width, work_folder
 
 MAGIC, VERSION = b"TOKREC\x00\x00", 1
 HEADER, LENGTH, CRC, DOC = "<8sII", "<Q", "<I", "<Bq"
 HEADER_SIZE, LENGTH_SIZE, CRC_SIZE, DOC_SIZE = map(struct.calcsize, (HEADER, LENGTH, CRC, DOC))
 INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u8")])
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: A small Latin-1 letter and the punctuation after it, but for what special tokens are made of.
 BORDER = re.compile(r"([a-zß-öø-ÿ])([!-&(-/:;=?@\[-`{}~])")
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -67,7 +66,6 @@ class Words(dict):
         return ids
 
 
-@lru_cache(maxsize=1)
 def encoder(tokenizer: str, end_id: int) -> tuple[Callable[[str], bytes], int]:
     """A function from a text to its ids as bytes, end id included, and the bytes per id.
 
@@ -110,7 +108,7 @@ def write_records(
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, width = encoder(tokenizer, end_id)
+        encode, width = remembered("encoder", (tokenizer, end_id), lambda: encoder(tokenizer, end_id))
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         name = f"{top}/part-{part:06d}-{uuid.uuid4().hex}"
@@ -143,10 +141,10 @@ def write_records(
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "tie")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    parts = keep(ordered.select("doc_id", "text").mapInArrow(write, PARTS), "record-parts")
+    written = keep(ordered.select("doc_id", "text").mapInArrow(write, PARTS), "record-parts")
     # One row per part; its start is the number of ids in the parts before it.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def frames(stream) -> Iterator[tuple[int | None, np.ndarray]]:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
-from docsnap.llm.common import mix
+from docsnap.llm.common import mix, remembered
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -16,7 +14,6 @@ BASE = 0x9E3779B97F4A7C15
 PLACE = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**k and its inverse modulo 2**64, for k below ``size``."""
     both = []
@@ -28,7 +25,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 20, 1 << (size - 1).bit_length() if size else 1))
+    """At least ``size`` of them; a longer table than the usual one replaces it."""
+    size = max(1 << 20, 1 << (size - 1).bit_length() if size else 1)
+    return remembered("powers", size, lambda: _powers(size))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
