@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import decontaminate, language, mixing, ngram_join, records, substrings
+from docsnap.llm import decontaminate, embeddings, language, mixing, ngram_join, records, substrings
 from docsnap.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op8_ngram_join(spark, folder):
     return ngram_join.ngram_links(table(spark, folder, "documents"))
 
 
+def op9_embeddings(spark, folder):
+    return embeddings.vector_links(table(spark, folder, "embeddings"))
+
+
 def op10_token_records(spark, folder):
     return records.token_records(table(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op5_decontaminate, op8_ngram_join, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op5_decontaminate, op8_ngram_join, op9_embeddings, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
