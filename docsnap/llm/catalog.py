@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import decontaminate, embeddings, language, mixing, ngram_join, records, substrings
+from docsnap.llm import decontaminate, embeddings, language, mixing, ngram_join, personal, records, substrings
 from docsnap.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_suffix_dedup(spark, folder):
     return substrings.without_repeats(table(spark, folder, "documents"))
 
 
+def op4_personal_data(spark, folder):
+    return personal.personal_data(table(spark, folder, "documents"))
+
+
 def op5_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -35,7 +39,7 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op5_decontaminate, op8_ngram_join, op9_embeddings, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op8_ngram_join, op9_embeddings, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
