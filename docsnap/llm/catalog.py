@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import decontaminate, embeddings, language, mixing, ngram_join, personal, records, substrings
+from docsnap.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, personal, records, substrings
 from docsnap.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_chat_format(spark, folder):
+    return chat.conversation_digests(table(spark, folder, "conversations"))
+
+
 def op8_ngram_join(spark, folder):
     return ngram_join.ngram_links(table(spark, folder, "documents"))
 
@@ -39,8 +43,8 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op8_ngram_join, op9_embeddings, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op7_chat_format, op8_ngram_join, op9_embeddings, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op8_ngram_join": ngram_join.SQL}
+    return {"op2_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_ngram_join": ngram_join.SQL}
