@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsnap.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, personal, records, substrings
+from docsnap.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, personal, quality, records, substrings
 from docsnap.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_quality(spark, folder):
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_chat_format(spark, folder):
     return chat.conversation_digests(table(spark, folder, "conversations"))
 
@@ -43,7 +47,7 @@ def op10_token_records(spark, folder):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op7_chat_format, op8_ngram_join, op9_embeddings, op10_token_records)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op6_quality, op7_chat_format, op8_ngram_join, op9_embeddings, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
