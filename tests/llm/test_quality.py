@@ -32,8 +32,8 @@ def bucket_of(word):
 def test_contexts_by_hand():
     texts = ["The cat, the 12 DOGS!! and iPod", "", " ", "cat cat 345 the", "end"]
     bucket, shape, bounds = quality.words(*raw(texts))
-    assert np.diff(bounds).tolist() == [8, 0, 0, 4, 1]
-    assert shape[:8].tolist() == [4, 2, 1, 2, 0, 3, 1, 2] and shape[-1] == 2
+    assert np.diff(bounds).tolist() == [9, 0, 0, 4, 1]
+    assert shape[:9].tolist() == [4, 2, 1, 2, 0, 3, 1, 2, 5] and shape[-1] == 2
     table = quality.contexts(bucket, shape, bounds)
     expected = np.zeros_like(table)
     for word, uses in by_hand(texts).items():
