@@ -15,8 +15,8 @@ WHITE_SPACE = (
 )
 
 
-def content_text(parts: Column, indexed_chars: int = 100_000) -> Column:
-    """Joined, stripped at both ends, then cut to the first ``indexed_chars`` characters."""
+def content_text(parts: Column, indexed_chars: int = -1) -> Column:
+    """Joined and stripped at both ends; cut to ``indexed_chars`` characters only if that is positive."""
     text = F.trim(F.coalesce(F.array_join(parts, "\n"), F.lit("")), F.lit(WHITE_SPACE))
     return F.substring(text, 1, indexed_chars) if indexed_chars > 0 else text
 

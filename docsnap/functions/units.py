@@ -15,7 +15,7 @@ _NUMBER = r"\A\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 def _or_invalid(valid: Column, value: Column, text: Column, what: str, on_invalid: str) -> Column:
     if on_invalid not in ("raise", "null"):
         raise ValueError("on_invalid must be 'raise' or 'null'")
-    chosen = F.when(valid, value)
+    chosen = F.when(valid & value.isNotNull(), value)  # null: too large for its type
     if on_invalid == "raise":
         message = F.concat(F.lit(f"not a {what}: "), text)
         chosen = chosen.when(text.isNotNull(), F.raise_error(message))
@@ -40,11 +40,11 @@ def parse_duration(text: Column, on_invalid: str = "raise") -> Column:
 def parse_byte_size(text: Column, on_invalid: str = "raise") -> Column:
     """Whole bytes; fractions are cut off."""
     valid, value = _scaled(text, BYTES, "b")
-    return _or_invalid(valid, value.cast("bigint"), text, "byte size", on_invalid)
+    return _or_invalid(valid, value.try_cast("bigint"), text, "byte size", on_invalid)
 
 
 def parse_indexed_chars(text: Column, on_invalid: str = "raise") -> Column:
     """A whole number from float text such as ``100000.0`` or ``-1``."""
     valid = text.rlike(_NUMBER)
-    value = F.trim(text).try_cast("double").cast("bigint")
+    value = F.trim(text).try_cast("double").try_cast("bigint")
     return _or_invalid(valid, value, text, "number of characters", on_invalid)

@@ -7,10 +7,12 @@ ones are column expressions; ``PythonExtractor`` wraps a function on bytes.
 
 from __future__ import annotations
 
+import json
 import signal
 import threading
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
+from html.entities import html5
 from typing import Any
 
 import pandas as pd
@@ -23,16 +25,8 @@ from docsnap.schema import CONTENT_TYPE_KEY, EXTRACTED, RAW_METADATA, TEXT_KEY
 
 Extractor = Callable[[DataFrame], DataFrame]
 
-def _metadata(**values: Column) -> Column:
-    """A raw metadata map that holds only the keys with a value."""
-    keys = {"content_type": CONTENT_TYPE_KEY, "title": "dc:title", "language": "dc:language"}
-    entries = F.array(
-        *[
-            F.when(v.isNotNull(), F.struct(F.lit(keys[k]).alias("key"), F.array(v).alias("value")))
-            for k, v in values.items()
-        ]
-    )
-    return F.map_from_entries(F.array_compact(entries)).cast(RAW_METADATA)
+def _plain_metadata() -> Column:
+    return F.create_map(F.lit(CONTENT_TYPE_KEY), F.array(F.lit("text/plain"))).cast(RAW_METADATA)
 
 
 def decoded(data: Column) -> Column:
@@ -40,11 +34,57 @@ def decoded(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
 
+# Labels under which Web pages declare the Western single-byte encoding, and the
+# characters it has where Latin-1 has control codes (a space where it has none).
+_WESTERN = ("iso-8859-1", "iso8859-1", "latin1", "l1", "us-ascii", "ascii", "windows-1252", "cp1252", "x-cp1252")
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WESTERN_MARKS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def decoded_html(data: Column) -> Column:
+    """The page in the encoding its first kilobyte declares; UTF-8 without a known one."""
+    head = F.decode(F.substring(data, 1, 1024), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"""(?is)<meta\b[^>]*?charset\s*=\s*["']?\s*([a-z0-9_-]+)""", 1))
+    western = F.translate(F.decode(data, "ISO-8859-1"), _CONTROLS, _WESTERN_MARKS)
+    return F.when(declared.isin(*_WESTERN), western).otherwise(decoded(data))
+
+
+# The names are those of the standard library; legacy ones also count without a semicolon.
+_NAMED = json.dumps({f"&{name}": character for name, character in html5.items()})
+_LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+
+
+def _character(reference: Column) -> Column:
+    """What one character reference stands for; itself where it is none."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    start = F.regexp_extract(reference, rf"\A&(?:{_LEGACY})", 0)
+    digits = F.regexp_extract(reference, r"\A&#([0-9]+)", 1)
+    code = F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(-1))).otherwise(
+        F.conv(F.regexp_extract(reference, r"\A&#[xX]([0-9a-fA-F]+)", 1), 16, 10).try_cast("bigint")
+    )
+    bad = code.isNull() | (code <= 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    known = F.when(bad, 0xFFFD).otherwise(code)
+    character = F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+    return F.when(F.startswith(reference, F.lit("&#")), F.translate(character, _CONTROLS, _WESTERN_MARKS)).otherwise(
+        F.coalesce(
+            F.element_at(named, reference),
+            F.when(start != "", F.concat(F.element_at(named, start), F.substr(reference, F.length(start) + 1))),
+            reference,
+        )
+    )
+
+
 def unescaped(text: Column) -> Column:
-    """The five character references HTML text cannot do without; ``&amp;`` comes last."""
-    for entity, char in zip(("&lt;", "&gt;", "&quot;", "&nbsp;", "&amp;"), '<>" &'):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All named and numeric character references of HTML, each decoded once."""
+    references = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    between = F.split(text, _REFERENCE, -1)
+    pairs = F.zip_with(between, references, lambda t, r: F.concat(t, F.when(r.isNotNull(), _character(r)).otherwise("")))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pairs, "")).otherwise(text)
+
+
+def _one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s\x{a0}]+", " "))
 
 
 def _first_group(text: Column, pattern: str) -> Column:
@@ -53,8 +93,11 @@ def _first_group(text: Column, pattern: str) -> Column:
 
 def html_title(html: Column) -> Column:
     """Text of the first title element with white space collapsed; null without one."""
-    title = unescaped(_first_group(html, r"(?is)<title[^>]*>(.*?)</title\s*>"))
-    return F.nullif(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(""))
+    return F.nullif(_one_line(unescaped(_raw_title(html))), F.lit(""))
+
+
+def _raw_title(html: Column) -> Column:
+    return _first_group(html, r"(?is)<title[^>]*>(.*?)</title\s*>")
 
 
 def html_language(html: Column) -> Column:
@@ -63,32 +106,67 @@ def html_language(html: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """The text between tags, without scripts, styles and comments."""
+    """The text between tags, without scripts, styles and comments; an unclosed one of these
+    takes the rest of the page."""
     bare = F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "
+        html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", " "
     )
-    bare = unescaped(F.regexp_replace(bare, r"<[^>]*>", " "))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return _one_line(unescaped(F.regexp_replace(bare, r"<[^>]*>", " ")))
+
+
+# Names of <meta> tags that stand for a raw metadata key; others keep their name.
+_META_NAMES = {
+    "author": "Author", "keywords": "Keywords", "description": "dc:description", "title": "title",
+    "date": "dc:date", "language": "dc:language", "og:title": "dc:title", "og:description": "dc:description",
+}
+
+
+def html_metadata(html: Column) -> Column:
+    """Raw metadata of a page: type, title, language, then its named ``<meta>`` tags.
+
+    Of entries with one key the first with a text counts.
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+
+    def attribute(tag: Column, names: str) -> Column:
+        pattern = rf"""(?is)\s(?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+
+    def entry(tag: Column) -> Column:
+        name = attribute(tag, "name|property")
+        known = F.lower(name)
+        # dc.title and dcterms.created are the same names with another mark.
+        key = F.regexp_replace(name, r"(?i)\A(dc|dcterms)\.", "$1:")
+        for plain, raw in _META_NAMES.items():
+            key = F.when(known == plain, raw).otherwise(key)
+        return F.struct(key.alias("key"), attribute(tag, "content").alias("value"))
+
+    fixed = {CONTENT_TYPE_KEY: F.lit("text/html"), "dc:title": _raw_title(html), "dc:language": html_language(html)}
+    own = F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(v, F.lit("")).alias("value")) for k, v in fixed.items()))
+    entries = F.filter(F.concat(own, F.transform(tags, entry)), lambda e: (e["key"] != "") & (F.trim(e["value"]) != ""))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def first(key: Column) -> Column:
+        return F.get(F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"]), F.lit(0))
+
+    named = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array(_one_line(unescaped(first(k))))))
+    return F.map_filter(named, lambda _, v: F.get(v, F.lit(0)) != "").cast(RAW_METADATA)
 
 
 def text_extractor(files: DataFrame) -> DataFrame:
     return files.select(
         "*",
-        _metadata(content_type=F.lit("text/plain")).alias("metadata"),
+        _plain_metadata().alias("metadata"),
         F.array(decoded(F.col("data"))).alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
 
 
 def html_extractor(files: DataFrame) -> DataFrame:
-    html = decoded(F.col("data"))
+    html = decoded_html(F.col("data"))
     return files.select(
         "*",
-        _metadata(
-            content_type=F.lit("text/html"),
-            title=html_title(html),
-            language=html_language(html),
-        ).alias("metadata"),
+        html_metadata(html).alias("metadata"),
         F.array(html_text(html)).alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -97,18 +175,12 @@ def html_extractor(files: DataFrame) -> DataFrame:
 def default_extractor(files: DataFrame) -> DataFrame:
     """HTML by file extension, everything else as UTF-8 text; ``path`` decides."""
     is_html = extension(file_name(F.col("path"))).isin("html", "htm", "xhtml")
-    html = decoded(F.col("data"))
+    plain = decoded(F.col("data"))
+    html = F.when(is_html, decoded_html(F.col("data")))
     return files.select(
         "*",
-        F.when(
-            is_html,
-            _metadata(
-                content_type=F.lit("text/html"),
-                title=html_title(html),
-                language=html_language(html),
-            ),
-        ).otherwise(_metadata(content_type=F.lit("text/plain"))).alias("metadata"),
-        F.array(F.when(is_html, html_text(html)).otherwise(html)).alias("text"),
+        F.when(is_html, html_metadata(html)).otherwise(_plain_metadata()).alias("metadata"),
+        F.array(F.when(is_html, html_text(html)).otherwise(plain)).alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
 
@@ -143,7 +215,7 @@ class PythonExtractor:
     def __init__(
         self,
         function: Callable[[bytes], Mapping[str, Any] | list[Mapping[str, Any]]],
-        time_limit: float | None = 30.0,
+        time_limit: float | None = None,
     ) -> None:
         self.function = function
         self.time_limit = time_limit

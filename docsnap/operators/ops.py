@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docsnap.functions.hashing import path_id
 from docsnap.functions.paths import walk_order
 from docsnap.functions.render import action_json, document_json
+from docsnap.operators.batches import bulk_batches
 from docsnap.operators.folders import folder_documents
 from docsnap.options import CrawlOptions
 from docsnap.schema import OPS, PHASE_DELETE, PHASE_FILE, PHASE_FOLDER
@@ -94,18 +95,44 @@ def run_summary(ops: DataFrame) -> DataFrame:
 
 def bulk_lines(ops: DataFrame) -> DataFrame:
     """Action and body lines of a bulk request, each with its place within its operation."""
-    body = F.when(F.col("op") == "index", document_json(F.col("doc")))
-    lines = F.array_compact(
-        F.array(action_json(F.col("op"), F.col("_index"), F.col("_id")), body)
-    )
     return ops.filter(F.col("op").isin("index", "delete")).select(
         *[c for c in ("run_id", "phase", "ord") if c in ops.columns],
-        F.posexplode(lines).alias("pos", "line"),
+        F.posexplode(_request_lines()).alias("pos", "line"),
     )
 
 
-def write_bulk_lines(ops: DataFrame, target: str) -> None:
-    """Text files of bulk requests; files and lines follow the order of the operations."""
+def _request_lines() -> Column:
+    body = F.when(F.col("op") == "index", document_json(F.col("doc")))
+    return F.array_compact(F.array(action_json(F.col("op"), F.col("_index"), F.col("_id")), body))
+
+
+def bulk_requests(ops: DataFrame, options: CrawlOptions) -> DataFrame:
+    """``batch, operations, bytes, body``: bulk requests of at most ``bulk_size`` operations.
+
+    A request closes once it holds ``bulk_size`` operations or ``byte_size`` bytes of lines, as
+    the operations come in their order; so it exceeds the bytes by one document at most.
+    """
     keys = [c for c in ("run_id", "phase", "ord") if c in ops.columns]
-    ordered = ops.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    bulk_lines(ordered).select("line").write.mode("overwrite").text(target)
+    # One row per operation: its lines together, each with its end.
+    lines = ops.filter(F.col("op").isin("index", "delete")).select(
+        *keys, "_index", "_id", F.concat_ws("\n", _request_lines()).alias("lines")
+    )
+    order = [*keys, "_index", "_id"]
+    sizes = lines.select(*order, (F.octet_length("lines") + 1).alias("bytes"))
+    batches = bulk_batches(sizes, order, options.bulk_size, options.byte_size)
+    named = lines.join(batches.select(*order, "position", "batch", "bytes"), order)
+    # Bounded by the size of a request.
+    return named.groupBy("batch").agg(
+        F.count("*").alias("operations"),
+        F.sum("bytes").alias("bytes"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("position", "lines"))), lambda r: r["lines"]), "\n"
+        ).alias("body"),
+    )
+
+
+def write_bulk_lines(ops: DataFrame, target: str, options: CrawlOptions) -> None:
+    """Text files of bulk requests in their order; no file begins or ends within a request."""
+    requests = bulk_requests(ops, options)
+    ordered = requests.repartitionByRange("batch").sortWithinPartitions("batch")
+    ordered.select("body").write.mode("overwrite").text(target)

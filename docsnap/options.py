@@ -27,7 +27,7 @@ class CrawlOptions:
     index_folders: bool = True
     prune_folders: bool = False
     index_content: bool = True
-    indexed_chars: int = 100_000
+    indexed_chars: int = -1
     store_source: bool = False
     checksum: str | None = None
     id_mode: str = "path"

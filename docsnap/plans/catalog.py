@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsnap.functions import content, hashing, metadata, render, units
@@ -32,7 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = CrawlOptions(root="/data", name="job", excludes=("*.tmp",))
 INCLUDES = ("*.txt", "doc_1*", "*[2-4].MD")
 EXCLUDES = ("*.tmp", "doc_?5*")
-BULK_SIZE, BYTE_SIZE, SLICE_ROWS = 10, 20_000, 250
+BULK_SIZE, BYTE_SIZE = 10, 20_000
 
 
 def _indexed_at():
@@ -43,11 +43,7 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return function(spark, folder)
-
-    _QUERIES[function.__name__] = run
+    _QUERIES[function.__name__] = function
     return function
 
 
@@ -55,6 +51,18 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _file_rows(files: DataFrame, metadata: Column | None = None) -> DataFrame:
+    """Files as read and extracted: text, bytes, metadata, no error."""
+    empty = F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>")
+    return files.select(
+        "doc_id", "path", "length", "mtime",
+        (empty if metadata is None else metadata).alias("metadata"),
+        F.array("text").alias("text"),
+        F.col("text").cast("binary").alias("data"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 # -- filters ------------------------------------------------------------------------------
 
 
@@ -206,16 +214,11 @@ def doc_id_path_hash(spark, folder):
 @query
 def doc_id_content_hash(spark, folder):
     """Ids by content; of equal contents the last path of the walk stays."""
-    ids = derived.files(spark, folder).select(
-        hashing.content_hash(F.col("text").cast("binary"), None).alias("_id"), "path"
-    )
-    return (
-        ids.groupBy("_id")
-        .agg(
-            F.max(F.struct(walk_order(F.col("path")).alias("ord"), "path")).alias("last"),
-            F.count("*").alias("copies"),
-        )
-        .select("_id", "last.path", "copies")
+    options = CrawlOptions(root="/data", id_mode="content")
+    rows = _file_rows(derived.files(spark, folder))
+    log = ops.file_ops(with_document(rows, options, _indexed_at()), options)
+    return state.current_state(log.withColumn("run_id", F.lit(1))).select(
+        "_id", "path", F.md5(F.col("doc.content")).alias("content_md5")
     )
 
 
@@ -224,10 +227,7 @@ def metadata_map(spark, folder):
     meta = derived.raw_metadata(spark, folder).select(
         "doc_id", metadata.meta_struct("metadata").alias("meta")
     )
-    return meta.select(
-        "doc_id", "meta.author", "meta.date", "meta.title", "meta.language", "meta.rating",
-        "meta.keywords",
-    )
+    return meta.select("doc_id", "meta.*")
 
 
 @query
@@ -255,19 +255,13 @@ def attachment_b64(spark, folder):
 
 def _documents(spark, folder, options: CrawlOptions) -> DataFrame:
     """Built documents of all files, with their metadata."""
-    texts = derived.texts(spark, folder).join(derived.raw_metadata(spark, folder), "doc_id")
-    rows = texts.select(
-        "doc_id", "path", "length", "mtime", "metadata",
-        F.array("text").alias("text"),
-        F.col("text").cast("binary").alias("data"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    rows = _file_rows(derived.files_with_metadata(spark, folder), F.col("metadata"))
     return with_document(rows, options, _indexed_at())
 
 
 @query
 def doc_json(spark, folder):
-    options = CrawlOptions(root="/data", checksum="SHA-1", store_source=True, indexed_chars=500)
+    options = CrawlOptions(root="/data", checksum="SHA-1", store_source=True)
     return _documents(spark, folder, options).select(
         "doc_id", render.document_json(F.col("doc")).alias("json")
     )
@@ -276,8 +270,8 @@ def doc_json(spark, folder):
 @query
 def parse_duration(spark, folder):
     text = F.expr(
-        """concat(' ', cast(doc_id % 90 as string), case when doc_id % 3 = 0 then '.5' else '' end,
-             case doc_id % 7 when 0 then 'ms' when 1 then ' s' when 2 then 'M' when 3 then 'h'
+        """concat(' ', cast(n_chars % 90 as string), case when n_chars % 3 = 0 then '.5' else '' end,
+             case n_chars % 7 when 0 then 'ms' when 1 then ' s' when 2 then 'M' when 3 then 'h'
                              when 4 then 'd' when 5 then '' else 'weeks' end)"""
     )
     return derived.table(spark, folder, "documents").select(
@@ -288,8 +282,8 @@ def parse_duration(spark, folder):
 @query
 def parse_byte_size(spark, folder):
     text = F.expr(
-        """concat(cast(doc_id % 90 as string), case when doc_id % 3 = 0 then '.7' else '' end,
-             case doc_id % 7 when 0 then 'b' when 1 then ' kb' when 2 then 'MB' when 3 then 'gb'
+        """concat(cast(n_chars % 90 as string), case when n_chars % 3 = 0 then '.7' else '' end,
+             case n_chars % 7 when 0 then 'b' when 1 then ' kb' when 2 then 'MB' when 3 then 'gb'
                              when 4 then 'tb ' when 5 then '' else 'pb' end)"""
     )
     return derived.table(spark, folder, "documents").select(
@@ -300,8 +294,8 @@ def parse_byte_size(spark, folder):
 @query
 def parse_indexed_chars(spark, folder):
     text = F.expr(
-        """concat(case when doc_id % 4 = 0 then '-' else '' end, cast(doc_id as string),
-             case doc_id % 3 when 0 then '.9' when 1 then '' else 'x' end)"""
+        """concat(case when n_chars % 4 = 0 then '-' else '' end, cast(n_chars as string),
+             case n_chars % 3 when 0 then '.9' when 1 then '' else 'x' end)"""
     )
     return derived.table(spark, folder, "documents").select(
         "doc_id", units.parse_indexed_chars(text, on_invalid="null").alias("chars")
@@ -450,9 +444,7 @@ def bulk_batches_by_size(spark, folder):
     rows = derived.files(spark, folder).select(
         walk_order(F.col("path")).alias("ord"), "path", F.col("length").alias("bytes")
     )
-    return bulk_batches(rows, ["ord"], BULK_SIZE, BYTE_SIZE, SLICE_ROWS).select(
-        "path", "slice", "batch"
-    )
+    return bulk_batches(rows, ["ord"], BULK_SIZE, BYTE_SIZE).select("path", "batch")
 
 
 @query
@@ -461,7 +453,7 @@ def bulk_lines(spark, folder):
     log = _log(spark, folder).filter("run_id = 2 and phase <> 0")
     return ops.bulk_lines(log).select(
         F.array_join("ord", "/").alias("path"), "phase", "pos",
-        F.when(F.col("pos") == 0, F.col("line")).alias("action"),
+        "line",
     )
 
 

@@ -1,7 +1,7 @@
 """Frames the registered queries work on, derived from the shared tables.
 
 The tables hold no file tree, so paths, times, metadata and events are computed from their
-columns; every row of the table takes part.
+columns; every row of the tables takes part.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsnap.schema import CONTENT_TYPE_KEY
+from docsnap.schema import CONTENT_TYPE_KEY, RAW_KEYS
 from docsnap.session import spread
 
 
@@ -18,7 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr(
+    return _files(table(spark, folder, "documents"))
+
+
+def _files(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.selectExpr(
         "doc_id",
         """concat('/data/', source, '/', lang, '/doc_', cast(doc_id as string),
              case doc_id % 5 when 0 then '.txt' when 1 then '.pdf' when 2 then '.MD'
@@ -26,9 +30,16 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         "cast(octet_length(text) as bigint) as length",
         "1700000000 + doc_id * 37 as mtime",
         "text",
+        *more,
     )
 
 
+def files_with_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The files and their raw metadata, from one scan."""
+    rows = table(spark, folder, "documents").selectExpr("*", f"{raw_map()} as metadata")
+    return _files(rows, "metadata")
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """The files for steps that work hard on each text."""
     return spread(files(spark, folder))
@@ -56,19 +67,37 @@ RAW_TEXTS = {
     "Content-Language": "case when doc_id % 12 = 5 then 'xx' end",
     CONTENT_TYPE_KEY: "case doc_id % 3 when 0 then 'text/html; charset=UTF-8' when 1 then 'application/pdf' end",
     "xmpMM:Rating": "case doc_id % 6 when 0 then '5' when 1 then 'high' end",
+    "dcterms:modified": "case when n_chars % 10 = 3 then '2022-03-04T05:06:07Z' end",
+    "meta:last-modified": "case when n_chars % 14 = 5 then '2022-07' end",
+    "Last-Save-Date": "case when n_chars % 16 = 7 then 'yesterday' end",
+    "Creation-Date": "case when n_chars % 5 = 1 then '2021-01-02' end",
+    "created": "case when n_chars % 4 = 1 then '2021-02-03T04:05:06Z' end",
+    "dcterms:created": "case when n_chars % 6 = 2 then '2020' end",
+    "Print-Date": "case when n_chars % 7 = 1 then '2019-09-10' end",
+    "meta:print-date": "case when n_chars % 9 = 2 then '2019-10-11T12:13Z' end",
+    "xmp:MetadataDate": "case when n_chars % 11 = 3 then '2018' end",
+}
+# The other keys hold a text of their own for three documents in five.
+RAW_TEXTS |= {
+    key: f"case when (n_chars + {at}) % 5 < 3 then concat(source, ' {key} ', lang) end"
+    for at, key in enumerate(RAW_KEYS)
+    if key not in RAW_TEXTS
 }
 
 
 def raw_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` and the raw map; some keys hold an empty list, as an extractor may send."""
+    return table(spark, folder, "documents").selectExpr("doc_id", f"{raw_map()} as metadata")
+
+
+def raw_map() -> str:
+    """The raw map of a row of ``documents`` as SQL."""
     entries = ", ".join(
         f"""case when ({text}) is not null then struct('{key}' as key, array({text}) as value)
              when doc_id % 17 = 4 then struct('{key}' as key, cast(array() as array<string>) as value) end"""
         for key, text in RAW_TEXTS.items()
     )
-    return table(spark, folder, "documents").selectExpr(
-        "doc_id", f"map_from_entries(array_compact(array({entries}))) as metadata"
-    )
+    return f"map_from_entries(array_compact(array({entries})))"
 
 
 def events_from(rows: DataFrame) -> DataFrame:
@@ -90,18 +119,17 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pauses(spark: SparkSession, folder: str) -> DataFrame:
-    """One pause of six hours from the first event of every tenth user on."""
+    """Pauses of some minutes from the first event of each user on; many overlap."""
     return (
         table(spark, folder, "events")
-        .filter("user_id % 10 = 0")
         .groupBy("user_id")
         .agg(F.min("ts").cast("timestamp_ntz").alias("start_ts"))
-        .selectExpr("start_ts", "start_ts + interval 6 hours as end_ts")
+        .selectExpr("start_ts", "start_ts + interval 20 minutes as end_ts")
     )
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("doc_id % 2 = 0").selectExpr(
+    return table(spark, folder, "documents").selectExpr(
         "doc_id as upload_id",
         "concat('up_', cast(doc_id % 400 as string), '.txt') as filename",
         "case when doc_id % 3 = 0 then 'text/plain; charset=utf-8' end as content_type",
@@ -116,6 +144,6 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 def delete_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Deletions by file name and by id, some of them repeated."""
-    return uploads(spark, folder).filter("upload_id % 3 <> 1").selectExpr(
+    return uploads(spark, folder).selectExpr(
         "coalesce(nullif(doc_id, ''), filename) as key", "index"
     )

@@ -6,7 +6,8 @@ Independent statements of the results: none of them is used by a Spark job.
 from __future__ import annotations
 
 from docsnap.functions.content import WHITE_SPACE
-from docsnap.plans.catalog import BULK_SIZE, BYTE_SIZE, SLICE_ROWS
+from docsnap.plans.catalog import BULK_SIZE, BYTE_SIZE
+from docsnap.plans.derived import RAW_TEXTS
 
 FILES = """files as (
   select doc_id, concat('/data/', source, '/', lang, '/doc_', cast(doc_id as varchar),
@@ -32,17 +33,41 @@ FEED = """feed as (
     f.mtime as mtime, p.mtime as previous_mtime, f.doc_id as doc_id
   from files f full outer join prev p on f.path = p.path)"""
 
-RAW = """raw as (
+# Which raw keys make up a field, strongest first; the texts of the keys are input.
+FIELDS = {
+    "author": ["meta:author", "Author", "dc:creator"],
+    "date": ["Last-Save-Date", "meta:last-modified", "Last-Modified", "dcterms:modified", "dc:date"],
+    "keywords": ["meta:keyword", "Keywords"],
+    "title": ["title", "dc:title"],
+    "language": ["Content-Language", "dc:language"],
+    "format": ["dc:format"],
+    "identifier": ["dc:identifier"],
+    "contributor": ["dc:contributor"],
+    "coverage": ["dc:coverage"],
+    "modifier": ["meta:last-author"],
+    "creator_tool": ["xmp:CreatorTool"],
+    "publisher": ["dc:publisher"],
+    "relation": ["dc:relation"],
+    "rights": ["dc:rights"],
+    "source": ["dc:source"],
+    "type": ["dc:type"],
+    "description": ["dc:description"],
+    "created": ["dcterms:created", "created", "Creation-Date"],
+    "print_date": ["meta:print-date", "Print-Date"],
+    "metadata_date": ["xmp:MetadataDate"],
+    "latitude": ["geo:lat"],
+    "longitude": ["geo:long"],
+    "altitude": ["geo:alt"],
+    "rating": ["xmpMM:Rating"],
+    "comments": ["usercomment"],
+}
+
+_FIELDS = ",\n    ".join(
+    f"coalesce({', '.join(RAW_TEXTS[k] for k in keys)}) as {name}" for name, keys in FIELDS.items()
+)
+RAW = f"""raw as (
   select doc_id, lang,
-    case when doc_id % 5 = 0 then concat('meta ', cast(doc_id % 7 as varchar))
-         when doc_id % 3 = 0 then concat('author ', cast(doc_id % 11 as varchar))
-         when doc_id % 2 = 0 then concat('creator ', cast(doc_id % 13 as varchar)) end as author,
-    case when doc_id % 9 = 0 then '2023-05-06T07:08:09Z' when doc_id % 4 = 0 then '2024-01-01T00:00:00Z'
-         when doc_id % 4 = 1 then 'not a date' end as date,
-    case when doc_id % 8 = 3 then concat('page ', cast(doc_id as varchar))
-         when doc_id % 6 < 4 then concat('doc ', cast(doc_id as varchar)) end as title,
-    case when doc_id % 12 = 5 then 'xx' else lang end as language,
-    case doc_id % 6 when 0 then '5' when 1 then 'high' end as rating,
+    {_FIELDS},
     case doc_id % 3 when 0 then 'text/html' when 1 then 'application/pdf'
                     else 'application/octet-stream' end as content_type
   from documents)"""
@@ -55,8 +80,8 @@ EVENTS = """fs_events as (
     event_id % 9 = 0 as is_directory
   from events),
 pauses as (
-  select min(ts) as start_ts, min(ts) + interval 6 hours as end_ts
-  from events where user_id % 10 = 0 group by user_id),
+  select min(ts) as start_ts, min(ts) + interval 20 minutes as end_ts
+  from events group by user_id),
 accepted as (
   select *, case when kind = 'deleted' then 'delete' else 'index' end as op
   from fs_events where not is_directory and (kind = 'deleted' or src_path not like '%.tmp')),
@@ -74,7 +99,7 @@ UPLOADS = """uploads as (
              concat('up_', cast(doc_id % 400 as varchar), '.txt')) as _id,
     case when doc_id % 6 = 0 then 'other_docs' else 'job_docs' end as _index,
     doc_id % 10 = 0 as simulate, doc_id % 14 = 0 as debug, text
-  from documents where doc_id % 2 = 0)"""
+  from documents)"""
 
 FOLDERS = """folders as (
   select distinct unnest(['/data', concat('/data/', source), directory]) as path from files)"""
@@ -82,8 +107,8 @@ FOLDERS = """folders as (
 _WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
 
 
-def _content(text: str, limit: int = 100_000) -> str:
-    return f"substr(trim({text}, {_WS}), 1, {limit})"
+def _content(text: str) -> str:
+    return f"trim({text}, {_WS})"
 
 
 LOG = f"""log as (
@@ -136,15 +161,16 @@ _ISO = "strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 
 
 def _unescaped(html: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    """The references that the pages hold; a bare ampersand comes last and once."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
         html = f"replace({html}, '{entity}', '{char}')"
-    return html
+    return f"regexp_replace({html}, '&amp;?', '&', 'g')"
 
 
-_META = [(k, k) for k in ("author", "date", "title", "language")]
+_META = [(k, f"r.{k}") for k in FIELDS]
 
-_DURATION = """concat(' ', cast(doc_id % 90 as varchar), case when doc_id % 3 = 0 then '.5' else '' end)"""
-_SIZE = """concat(cast(doc_id % 90 as varchar), case when doc_id % 3 = 0 then '.7' else '' end)"""
+_DURATION = """concat(' ', cast(n_chars % 90 as varchar), case when n_chars % 3 = 0 then '.5' else '' end)"""
+_SIZE = """concat(cast(n_chars % 90 as varchar), case when n_chars % 3 = 0 then '.7' else '' end)"""
 
 ORACLES = {
     "include_filter": _with(FILES) + f"select path from files where {_INCLUDED}",
@@ -189,16 +215,18 @@ ORACLES = {
     "doc_id_path": _with(FILES) + "select doc_id, path as _id from files",
     "doc_id_path_hash": _with(FILES) + "select doc_id, sha256(path) as _id from files",
     "doc_id_content_hash": _with(FILES)
-    + """select sha256(text) as _id, arg_max(path, string_split(path, '/')) as path,
-      count(*) as copies from files group by 1""",
+    + f"""select sha256(text) as _id, arg_max(path, string_split(path, '/')) as path,
+      md5(any_value({_content('text')})) as content_md5 from files group by 1""",
     "metadata_map": _with(RAW)
-    + """select doc_id, author, date, title, language, rating, cast(null as varchar) as keywords from raw""",
+    + f"select doc_id, {', '.join(FIELDS)} from raw",
     "typed_meta": _with(RAW)
     + """select doc_id,
       case date when '2023-05-06T07:08:09Z' then epoch_us(timestamp '2023-05-06 07:08:09')
-                when '2024-01-01T00:00:00Z' then epoch_us(timestamp '2024-01-01 00:00:00') end as date_us,
+                when '2024-01-01T00:00:00Z' then epoch_us(timestamp '2024-01-01 00:00:00')
+                when '2022-03-04T05:06:07Z' then epoch_us(timestamp '2022-03-04 05:06:07')
+                when '2022-07' then epoch_us(timestamp '2022-07-01 00:00:00') end as date_us,
       cast(try_cast(rating as smallint) as bigint) as rating,
-      concat_ws(',', case when date = 'not a date' then 'date' end,
+      concat_ws(',', case when date in ('not a date', 'yesterday') then 'date' end,
                      case when rating = 'high' then 'rating' end) as rejected
     from raw""",
     "attachment_b64": "select doc_id, base64(encode(text)) as attachment from documents",
@@ -208,32 +236,32 @@ ORACLES = {
           ("filename", "name"),
           ("extension", "case f.doc_id % 5 when 0 then 'txt' when 1 then 'pdf' when 2 then 'md' when 3 then 'tmp' else '' end"),
           ("filesize", "length"),
-          ("indexed_chars", f"length({_content('text', 500)})"),
+          ("indexed_chars", f"length({_content('text')})"),
           ("indexing_date", "'2024-02-01T00:00:00+00:00'"),
           ("last_modified", _ISO),
           ("checksum", "sha1(text)"),
           ("url", "path"),
       )}
       || '}},"path":{{"real":' || to_json(path) || {_optional(("root", "'/data'"), ("virtual", _virtual('/data')))}
-      || '}}' || ',"meta":{{' || substr({_optional(*_META)} || {_optional(("rating", "rating"))}, 2) || '}}'
-      || {_optional(("content", _content("text", 500)), ("attachment", "base64(encode(text))"))} || '}}' as json
+      || '}}' || ',"meta":{{' || substr({_optional(*_META)}, 2) || '}}'
+      || {_optional(("content", _content("text")), ("attachment", "base64(encode(text))"))} || '}}' as json
     from files f join raw r on f.doc_id = r.doc_id""",
-    "parse_duration": f"""select doc_id, cast({_DURATION} as double) * case doc_id % 7
+    "parse_duration": f"""select doc_id, cast({_DURATION} as double) * case n_chars % 7
         when 0 then 0.001e0 when 1 then 1e0 when 2 then 60e0 when 3 then 3600e0 when 4 then 86400e0
         when 5 then 1e0 end as seconds from documents""",
-    "parse_byte_size": f"""select doc_id, cast(trunc(cast({_SIZE} as double) * case doc_id % 7
+    "parse_byte_size": f"""select doc_id, cast(trunc(cast({_SIZE} as double) * case n_chars % 7
         when 0 then 1e0 when 1 then 1024e0 when 2 then 1048576e0 when 3 then 1073741824e0
         when 4 then 1099511627776e0 when 5 then 1e0 end) as bigint) as bytes from documents""",
-    "parse_indexed_chars": """select doc_id, case when doc_id % 3 < 2 then
-        case when doc_id % 4 = 0 then -doc_id else doc_id end end as chars from documents""",
+    "parse_indexed_chars": """select doc_id, case when n_chars % 3 < 2 then
+        case when n_chars % 4 = 0 then -n_chars else n_chars end end as chars from documents""",
     "html_title_lang": f"""select page_id,
       nullif(trim(regexp_replace({_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")},
-        '\\s+', ' ', 'g')), '') as title,
+        '[\\s\\x{{00A0}}]+', ' ', 'g')), '') as title,
       nullif(regexp_extract(html, '(?is)<html[^>]*?\\slang\\s*=\\s*["'']?([a-z0-9-]+)', 1), '') as lang
     from pages""",
     "html_text": f"""select page_id, trim(regexp_replace({_unescaped(
-        "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-      )}, '\\s+', ' ', 'g')) as text from pages""",
+        "regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+      )}, '[\\s\\x{{00A0}}]+', ' ', 'g')) as text from pages""",
     "upload_docs": _with(UPLOADS)
     + f"""select upload_id, _index, _id, concat('/', _index, '/_doc/', _id) as url,
       'text/plain' as content_type, 'txt' as extension, cast(strlen(text) as bigint) as filesize,
@@ -252,7 +280,7 @@ ORACLES = {
     + f"""select _index, _id, md5({_content('arg_max(text, upload_id)')}) as content_md5
       from uploads where not simulate group by _index, _id""",
     "delete_requests": _with(UPLOADS)
-    + "select distinct 'delete' as op, _index, _id from uploads where upload_id % 3 <> 1",
+    + "select distinct 'delete' as op, _index, _id from uploads",
     "delete_ops": _with(FILES, PREV)
     + """select 'delete' as op, 'job_docs' as _index, sha256(path) as _id, path from prev
       where path not in (select path from files where path not like '%.tmp')""",
@@ -275,24 +303,32 @@ ORACLES = {
         f"""ranked as (
       select path, length as bytes,
         row_number() over (order by string_split(path, '/')) - 1 as position from files)""",
-        f"""sliced as (
-      select *, position // {SLICE_ROWS} as slice, position % {SLICE_ROWS} as i from ranked)""",
         f"""walk as (
-      select path, slice, i, 0 as batch, 1 as n, bytes as total from sliced where i = 0
+      select path, position, 0 as batch, 1 as n, bytes as total from ranked where position = 0
       union all
-      select s.path, s.slice, s.i,
+      select s.path, s.position,
         case when w.n >= {BULK_SIZE} or w.total >= {BYTE_SIZE} then w.batch + 1 else w.batch end,
         case when w.n >= {BULK_SIZE} or w.total >= {BYTE_SIZE} then 1 else w.n + 1 end,
         case when w.n >= {BULK_SIZE} or w.total >= {BYTE_SIZE} then s.bytes else w.total + s.bytes end
-      from walk w join sliced s on s.slice = w.slice and s.i = w.i + 1)""",
+      from walk w join ranked s on s.position = w.position + 1)""",
         recursive=True,
     )
-    + "select path, slice, cast(batch as bigint) as batch from walk",
+    + "select path, cast(batch as bigint) as batch from walk",
     "bulk_lines": _with(FILES, PREV, FEED, FOLDERS, UPLOADS, LOG, """lines as (
-      select *, unnest(case when op = 'index' then [0, 1] else [0] end) as pos
-      from log where run_id = 2 and phase <> 0 and op <> 'error')""")
-    + """select path, phase, pos, case when pos = 0 then
-        '{"' || op || '":{"_index":' || to_json(_index) || ',"_id":' || to_json(_id) || '}}' end as action
+      select l.*, f.name, f.mtime, f.doc_id, unnest(case when op = 'index' then [0, 1] else [0] end) as pos
+      from log l left join files f on f.path = l.path where run_id = 2 and phase <> 0 and op <> 'error')""")
+    + f"""select path, phase, pos, case when pos = 0 then
+        '{{"' || op || '":{{"_index":' || to_json(_index) || ',"_id":' || to_json(_id) || '}}}}'
+      else '{{"file":{{"content_type":"application/octet-stream"' || {_optional(
+          ("filename", "name"),
+          ("extension", "case doc_id % 5 when 0 then 'txt' when 1 then 'pdf' when 2 then 'md' when 3 then 'tmp' else '' end"),
+          ("filesize", "filesize"),
+          ("indexed_chars", "length(content)"),
+          ("indexing_date", "'2024-02-01T00:00:00+00:00'"),
+          ("last_modified", _ISO),
+          ("url", "path"),
+      )} || '}},"path":{{"real":' || to_json(path) || {_optional(("root", "'/data'"), ("virtual", _virtual('/data')))}
+        || '}}' || {_optional(("content", "content"))} || '}}' end as line
       from lines""",
     "path_tree_counts": _with(FILES)
     + """select node, count(*) as files from (

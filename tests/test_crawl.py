@@ -7,8 +7,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from docsnap.operators.extract import PythonExtractor
-from docsnap.operators.ops import write_bulk_lines
+from docsnap.operators.extract import PythonExtractor, default_extractor
+from docsnap.operators.ops import bulk_requests, write_bulk_lines
 from docsnap.options import CrawlOptions
 from docsnap.plans.crawl import CrawlError, crawl
 from docsnap.plans.store import DocumentStore
@@ -255,6 +255,36 @@ def test_built_in_extraction(spark, job, tree, tmp_path):
     assert docs[text].meta is None
 
 
+def test_pages_are_read_whole(spark, job, tree):
+    page = (
+        b"<html><head><meta charset='windows-1252'><meta name=author content='A &amp; B'>"
+        b"<META property=\"og:title\" content=Other><meta name='DC.subject' content='x y'><title>T&#233;</title></head>"
+        b"<body>caf\xe9 \x80 &eacute;&#x41;&nbsp;&copy;&amp;lt; <!-- a --> b <script>var x = 1;</script> c <style>p { open"
+    )
+    html = tree("p.html", page)
+    job.run(default_extractor)
+    doc = job.docs()[html]
+    assert doc.content == "Té café € éA ©&lt; b c"
+    assert (doc.meta.title, doc.meta.author) == ("Té", "A & B")
+
+
+def test_bulk_requests_keep_to_their_limits(spark, job, tree):
+    for n in range(30):
+        tree(f"f{n:02}.txt", "x" * (n * 40), mtime=1_700_000_000)
+    job.run(index_folders=False)
+    options = CrawlOptions(root=tree.root, bulk_size=7, byte_size=3_000)
+    found = bulk_requests(job.store.ops(), options).orderBy("batch").collect()
+    assert [r.batch for r in found] == list(range(len(found))) and len(found) > 5
+    sizes = []
+    for r in found:
+        lines = r.body.split("\n")
+        assert r.operations <= 7 and len(lines) == 2 * r.operations and r.bytes == len(r.body.encode()) + 1
+        pairs = [len((a + "\n" + b + "\n").encode()) for a, b in zip(lines[::2], lines[1::2], strict=True)]
+        assert sum(pairs[:-1]) < 3_000
+        sizes.append(sum(pairs))
+    assert sum(r.operations for r in found) == 30
+
+
 def test_bulk_lines_alternate_in_order(spark, job, tree):
     for n in range(20):
         tree(f"d{n % 4}/f{n}.txt", f"text {n}", mtime=1_700_000_000)
@@ -262,7 +292,7 @@ def test_bulk_lines_alternate_in_order(spark, job, tree):
     os.remove(f"{tree.root}/d0/f0.txt")
     job.run(index_folders=False)
     target = job.store.location + "/lines"
-    write_bulk_lines(job.store.ops(), target)
+    write_bulk_lines(job.store.ops(), target, CrawlOptions(root=tree.root, bulk_size=3))
     lines = []
     for name in sorted(f for f in os.listdir(target) if f.startswith("part-")):
         with open(f"{target}/{name}") as handle:

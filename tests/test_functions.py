@@ -1,5 +1,6 @@
 import fnmatch
 import hashlib
+import html
 import itertools
 import json
 import random
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsnap.functions import content, hashing, metadata, names, paths, render, units
+from docsnap.operators import extract
 from docsnap.schema import DOCUMENT, META_FIELDS, RAW_KEYS, struct
 
 
@@ -210,11 +212,11 @@ def test_units(spark):
     assert got == list(durations.values())
     sizes = {
         "512mb": 536870912, "10KB": 10240, "1.5kb": 1536, "100b": 100, "1tb": 1024**4, "0": 0,
-        "0.7": 0, "1pb": None, "mb": None,
+        "0.7": 0, "1pb": None, "mb": None, "99999999tb": None, "9" * 400: None,
     }
     got = column(spark, list(sizes), units.parse_byte_size(F.col("v"), "null"))
     assert got == list(sizes.values())
-    chars = {"100000.0": 100000, "-1": -1, " 7 ": 7, "-1.9": -1, "1e3": 1000, ".5": 0, "x": None, "1d": None}
+    chars = {"100000.0": 100000, "-1": -1, " 7 ": 7, "-1.9": -1, "1e3": 1000, ".5": 0, "x": None, "1d": None, "1e300": None}
     got = column(spark, list(chars), units.parse_indexed_chars(F.col("v"), "null"))
     assert got == list(chars.values())
     for parse in (units.parse_duration, units.parse_byte_size, units.parse_indexed_chars):
@@ -262,3 +264,12 @@ def test_document_json(spark):
     }
     assert got[1] == {"file": plain, "path": path, "content": ""}
     assert got[2] == {"path": path}
+
+
+def test_references_are_decoded_like_the_standard_library(spark):
+    texts = [
+        "a &amp; b", "&amp;lt;", "&copy;&middot;&nbsp;&eacute;", "&#233;&#xe9;&#XE9", "&notit;", "&notin;", "&amp", "&am",
+        "&#128;", "&#0;", "&#xD800;", "&#99999999999999999999;", "&unknown; & &", "", "&NotEqualTilde;", "x&lt;y&gt;z&quot;", "&copyright",
+    ]
+    got = column(spark, texts, extract.unescaped(F.col("v")))
+    assert got == [html.unescape(t) for t in texts]

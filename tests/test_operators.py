@@ -32,21 +32,17 @@ def brute_batches(sizes, bulk_size, byte_size):
 
 
 @pytest.mark.parametrize("seed", range(30))
-def test_batcher_in_pieces_equals_the_plain_loop(seed):
+def test_next_starts_make_the_batches_of_the_plain_loop(seed):
     rng = random.Random(seed)
     sizes = [rng.choice([0, 1, 5, 50, 1000]) for _ in range(rng.randint(1, 300))]
     bulk, limit = rng.randint(1, 20), rng.choice([1, 10, 100, 1500])
-    cut = rng.randint(1, 120)
-    slices = [i // cut for i in range(len(sizes))]
-    expected = []
-    for start in range(0, len(sizes), cut):
-        expected += brute_batches(sizes[start : start + cut], bulk, limit)
-    batcher, got, at = batches._Batcher(bulk, limit), [], 0
+    following = batches.next_starts(np.array(sizes), bulk, limit)
+    got, at, number = [], 0, 0
     while at < len(sizes):
-        step = rng.randint(1, 40)
-        got += batcher.assign(np.array(slices[at : at + step]), np.array(sizes[at : at + step])).tolist()
-        at += step
-    assert got == expected
+        end = min(int(following[at]), len(sizes))
+        got += [number] * (end - at)
+        at, number = end, number + 1
+    assert got == brute_batches(sizes, bulk, limit)
 
 
 def test_positions_are_the_sorted_order(spark):
@@ -60,17 +56,16 @@ def test_positions_are_the_sorted_order(spark):
     assert [r.p for r in got] == sorted(paths, key=lambda p: p.split("/"))
 
 
-def test_batches_follow_the_order(spark):
+@pytest.mark.parametrize("slice_rows", [20, 33, 150, 100_000])
+def test_batches_do_not_depend_on_slices(spark, slice_rows):
     rng = random.Random(4)
     sizes = {f"/d/{i:04}": rng.choice([1, 10, 400]) for i in range(600)}
     frame = spark.createDataFrame(list(sizes.items()), "path string, bytes bigint")
-    rows = batches.bulk_batches(frame, ["path"], 20, 1000, slice_rows=150).collect()
-    got = {r.path: (r.slice, r.batch) for r in rows}
+    rows = batches.bulk_batches(frame, ["path"], 20, 1000, slice_rows).collect()
+    got = {r.path: r.batch for r in rows}
     ordered = sorted(sizes)
-    for at in range(0, 600, 150):
-        part = ordered[at : at + 150]
-        expected = brute_batches([sizes[p] for p in part], 20, 1000)
-        assert [got[p] for p in part] == [(at // 150, n) for n in expected]
+    assert [got[p] for p in ordered] == brute_batches([sizes[p] for p in ordered], 20, 1000)
+    assert batches.bulk_batches(frame.limit(0), ["path"], 20, 1000, slice_rows).collect() == []
 
 
 def log_frame(spark, rows):
