@@ -75,11 +75,19 @@ def requested_deletes(requests: DataFrame, options: CrawlOptions) -> DataFrame:
 
 
 def upload_ops(uploads: DataFrame, options: CrawlOptions) -> DataFrame:
-    """``index`` rows of built uploads, in the order of ``upload_id``; simulated ones stay out."""
+    """``index`` rows of built uploads, in the order of ``upload_id``; simulated ones stay out.
+
+    Equal ids are ordered by what they hold, and of uploads alike in all one stays: no two
+    operations on a document share a place.
+    """
     written = ~F.coalesce("simulate", F.lit(False)) & F.col("error").isNull()
-    return uploads.filter(written).select(
+    # From the lowest number on, so that text sorts like numbers.
+    number = F.col("upload_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = F.array(F.lpad(number.cast("string"), 20, "0"), F.md5(document_json(F.col("doc"))))
+    rows = uploads.filter(written).withColumn("ord", place).dropDuplicates(["_index", "_id", "ord"])
+    return rows.select(
         F.lit(PHASE_FILE).alias("phase"),
-        F.array(F.lpad(F.col("upload_id").cast("string"), 20, "0")).alias("ord"),
+        "ord",
         F.lit("index").alias("op"),
         "_index",
         "_id",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from docsnap.functions.paths import clean_root
+
 ID_MODES = ("path", "path_hash", "content")
 
 
@@ -48,6 +50,11 @@ class CrawlOptions:
         if not self.folder_index:
             object.__setattr__(self, "folder_index", f"{self.name}_folder")
 
+    @property
+    def job(self) -> str:
+        """What a snapshot belongs to: the name of the job and the root."""
+        return f"{self.name}:{clean_root(self.root)}"
+
     @property
     def needs_bytes(self) -> bool:
         """Whether the built document depends on the raw bytes, not only on the text."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsnap.functions.names import file_name, passes_patterns
+from docsnap.functions.paths import clean_root
 from docsnap.operators.diff import change_feed
 from docsnap.operators.documents import with_document
 from docsnap.operators.extract import Extractor, default_extractor
@@ -71,13 +72,14 @@ def crawl(
     and the new snapshot. Contents are read only for new and modified files. The snapshot and
     the commit come after the operations: a run that fails before leaves no trace.
     """
+    started = datetime.now(timezone.utc).replace(tzinfo=None)
     run_id, done = store.begin(source, batch_id)
     if not done:
         with WorkTables(spark) as work:
             feed = _write_ops(spark, options, store, extractor, run_id, work)
             failed = store.written_ops(run_id).filter("op = 'error'").select("path")
             store.write_snapshot(run_id, next_snapshot(feed, failed, options.retry_failed))
-        store.commit(run_id, source, "crawl", batch_id)
+        store.commit(run_id, source, "crawl", batch_id, options.job, started)
     return run_id
 
 
@@ -94,7 +96,7 @@ def _write_ops(
     names = list_names(
         spark, options.root, options.follow_symlinks, options.continue_on_error, work.keep
     )
-    feed = work.keep(change_feed(list_eligible(names, options), store.snapshot()))
+    feed = work.keep(change_feed(list_eligible(names, options), store.snapshot(options.job)))
     changed = feed.filter(F.col("status").isin("new", "modified"))
     documents = extracted_documents(changed, extractor, options, indexed_at)
     unlisted = names.filter("error is not null").select(
@@ -110,7 +112,9 @@ def _write_ops(
         folders = names.filter("is_dir and error is null").select("path")
         ops = ops.unionByName(folder_ops(folders, options))
         if options.prune_folders:
-            known = store.folders().filter(F.col("_index") == options.folder_index)
+            root = clean_root(options.root)
+            below = (F.col("_id") == root) | F.startswith("_id", F.lit(root.rstrip("/") + "/"))
+            known = store.folders().filter((F.col("_index") == options.folder_index) & below)
             gone = known.select(F.col("_id").alias("path")).join(folders, "path", "left_anti")
             ops = ops.unionByName(folder_delete_ops(gone, options))
     if options.remove_deleted:

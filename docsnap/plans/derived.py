@@ -42,7 +42,7 @@ def files_with_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """The files for steps that work hard on each text."""
-    return spread(files(spark, folder))
+    return spread(files(spark, folder), "doc_id")
 
 
 def previous(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ from docsnap.operators.ops import requested_deletes, upload_ops
 from docsnap.operators.uploads import build_uploads, upload_results
 from docsnap.options import CrawlOptions
 from docsnap.plans.store import DocumentStore
+from docsnap.session import WorkTables
 
 
 def apply_uploads(
@@ -34,12 +35,10 @@ def apply_uploads(
     if done:
         return run_id
     indexed_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-    built = build_uploads(uploads, extractor, options, indexed_at).persist()
-    try:
+    with WorkTables(uploads.sparkSession) as work:
+        built = work.keep(build_uploads(uploads, extractor, options, indexed_at))
         store.write_ops(run_id, upload_ops(built, options))
         store.write_responses(run_id, upload_results(built))
-    finally:
-        built.unpersist()
     store.commit(run_id, source, "uploads", batch_id)
     return run_id
 

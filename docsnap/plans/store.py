@@ -4,26 +4,33 @@
     snapshot/run_id=N   the snapshot run N ended with
     state/run_id=N      current documents as of run N, written by ``compact``
     responses/run_id=N  what became of the uploads of run N
+    claims/run_id=N     an empty file: the id is taken
     commits/run_id=N    one row, written last
 
-A run counts once its commit is there. Run ids rise by one, and a run that failed leaves its
-id to the next, which overwrites what was left behind; so everything up to the last commit is
-complete. One writer at a time per store.
+A run counts once its commit is there. Writers take their ids by creating a file that must not
+exist yet, so two at a time never share one; of two operations on a document that of the higher id
+counts. What a failed run left is never read, and ``prune`` deletes it. A crawl is compared with
+the newest committed crawl of the same job, which is a name and a root; a compaction lists the
+runs it covers, so that one which was committed later is still read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import datetime
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsnap.functions.metadata import rejected_fields, typed_meta
 from docsnap.operators.state import alias_view, current_state, settled_state
-from docsnap.schema import COMMITS, OPS, RESPONSES, SNAPSHOT
+from docsnap.schema import COMMITS, OPS, RESPONSES, SNAPSHOT, STATE
 from docsnap.session import WorkTables, filesystem
 
 TABLES = {
-    "ops": OPS, "snapshot": SNAPSHOT, "state": OPS, "responses": RESPONSES, "commits": COMMITS,
+    "ops": OPS, "snapshot": SNAPSHOT, "state": STATE, "responses": RESPONSES, "commits": COMMITS,
 }
 
 
@@ -51,11 +58,20 @@ class DocumentStore:
         schema = T.StructType(TABLES[table].fields + [T.StructField("run_id", T.LongType())])
         return self.spark.read.schema(schema).parquet(self._path(table))
 
-    def _last(self, *kinds: str) -> int:
-        commits = self._read("commits")
-        if kinds:
-            commits = commits.filter(F.col("kind").isin(*kinds))
-        return commits.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]
+    def _ids(self, table: str) -> list[int]:
+        """Run ids by the names of folders and files; no file is opened."""
+        files, target = filesystem(self.spark, self._path(table))
+        if not files.exists(target):
+            return []
+        names = (entry.getPath().getName() for entry in files.listStatus(target))
+        return sorted(int(name.split("=")[1]) for name in names if name.startswith("run_id="))
+
+    def _newest(self, kind: str, job: str | None = None):
+        """The newest commit of that kind, or nothing."""
+        commits = self._read("commits").filter(F.col("kind") == kind)
+        if job is not None:
+            commits = commits.filter(F.col("job") == job)
+        return commits.orderBy(F.desc("run_id")).first()
 
     # -- writing --------------------------------------------------------------------------
 
@@ -66,7 +82,20 @@ class DocumentStore:
             before = self._read("commits").filter(same).agg(F.max("run_id")).first()[0]
             if before is not None:
                 return before, True
-        return self._last() + 1, False
+        run_id = max([0, *self._ids("commits"), *self._ids("claims")]) + 1
+        while not self._claim(run_id):
+            run_id += 1
+        return run_id, False
+
+    def _claim(self, run_id: int) -> bool:
+        files, target = filesystem(self.spark, self._path("claims", run_id))
+        try:
+            files.create(target, False).close()
+        except Py4JJavaError as problem:
+            if "AlreadyExists" in str(problem.java_exception):
+                return False
+            raise
+        return True
 
     def write_ops(self, run_id: int, ops: DataFrame) -> None:
         ops.select(*OPS.fieldNames()).write.mode("overwrite").parquet(self._path("ops", run_id))
@@ -81,12 +110,17 @@ class DocumentStore:
             self._path("responses", run_id)
         )
 
-    def commit(self, run_id: int, source: str, kind: str, batch_id: int | None = None) -> None:
-        row = self.spark.range(1).select(
-            F.lit(source).alias("source"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(kind).alias("kind"),
-        )
+    def commit(
+        self,
+        run_id: int,
+        source: str,
+        kind: str,
+        batch_id: int | None = None,
+        job: str | None = None,
+        started: datetime | None = None,
+        covers: list[int] | None = None,
+    ) -> None:
+        row = self.spark.createDataFrame([(source, batch_id, kind, job, started, covers)], COMMITS)
         row.coalesce(1).write.mode("overwrite").parquet(self._path("commits", run_id))
 
     # -- reading --------------------------------------------------------------------------
@@ -97,8 +131,13 @@ class DocumentStore:
             "run_id", F.lit(run_id).cast("bigint")
         )
 
-    def ops(self, after: int = 0) -> DataFrame:
-        return self._read("ops").filter(F.col("run_id").between(after + 1, self._last()))
+    def ops(self, but: list[int] | None = None) -> DataFrame:
+        """Operations of committed runs, without those of some."""
+        # The commits are few and narrow; joined, they also choose which folders are read.
+        commits = self._read("commits").select("run_id")
+        if but:
+            commits = commits.join(self.spark.createDataFrame([(n,) for n in but], "run_id long"), "run_id", "left_anti")
+        return self._read("ops").join(commits, "run_id", "left_semi")
 
     def errors(self) -> DataFrame:
         return self.ops().filter(F.col("op") == "error").select("run_id", "path", "error")
@@ -106,17 +145,39 @@ class DocumentStore:
     def responses(self, run_id: int) -> DataFrame:
         return self._read("responses").filter(F.col("run_id") == run_id).drop("run_id")
 
-    def snapshot(self) -> DataFrame:
-        """The snapshot of the newest committed crawl; empty before the first."""
-        newest = self._last("crawl")
-        return self._read("snapshot").filter(F.col("run_id") == newest).drop("run_id")
+    def snapshot(self, job: str | None = None) -> DataFrame:
+        """The snapshot of the newest committed crawl of the job; empty before the first."""
+        newest = self._newest("crawl", job)
+        run_id = newest["run_id"] if newest else 0
+        return self._read("snapshot").filter(F.col("run_id") == run_id).drop("run_id")
+
+    def import_snapshot(self, job: str, snapshot: DataFrame) -> int:
+        """Take over a snapshot kept elsewhere as that of a job; returns the run id."""
+        run_id, _ = self.begin("import")
+        self.write_ops(run_id, self.spark.createDataFrame([], OPS))
+        self.write_snapshot(run_id, snapshot)
+        self.commit(run_id, "import", "crawl", job=job)
+        return run_id
+
+    def last_start(self, job: str) -> datetime | None:
+        """When the newest committed crawl of the job began, in UTC."""
+        newest = self._newest("crawl", job)
+        return newest["started"] if newest else None
 
     def _since_compaction(self) -> tuple[DataFrame, DataFrame | None]:
-        compacted = self._last("compact")
-        if not compacted:
+        compacted = self._newest("compact")
+        if compacted is None:
             return self.ops(), None
-        base = self._read("state").filter(F.col("run_id") == compacted)
-        return self.ops(after=compacted), base
+        covered = [*compacted["covers"], compacted["run_id"]]
+        base = self._read("state").filter(F.col("run_id") == compacted["run_id"])
+        base = base.drop("run_id").withColumnRenamed("of_run", "run_id")
+        ops = self.ops(but=covered)
+        late = [n for n in self._ids("commits") if 0 < n < compacted["run_id"] and n not in set(covered)]
+        if not late:
+            return ops, base
+        # A run older than the compaction was committed after it: its operations may be older
+        # than those of the base, so all take part alike.
+        return ops.unionByName(base, allowMissingColumns=True), None
 
     def state(self) -> DataFrame:
         """Index operations that make up the current documents and folders."""
@@ -148,38 +209,43 @@ class DocumentStore:
         """Write the current state as a table of its own, for later reads to build on."""
         run_id, _ = self.begin("compact")
         self.write_ops(run_id, self.spark.createDataFrame([], OPS))
+        covers = [n for n in self._ids("commits") if 0 < n < run_id]
         ops, base = self._since_compaction()
         with WorkTables(self.spark) as work:
-            state = settled_state(ops, base, work.keep).select(*OPS.fieldNames())
-            state.write.mode("overwrite").parquet(self._path("state", run_id))
-        self.commit(run_id, "compact", "compact")
+            state = settled_state(ops, base, work.keep).withColumnRenamed("run_id", "of_run")
+            state.select(*STATE.fieldNames()).write.mode("overwrite").parquet(self._path("state", run_id))
+        self.commit(run_id, "compact", "compact", covers=covers)
         return run_id
 
     def prune(self, keep: int = 2) -> None:
-        """Delete snapshots and states but the last ``keep``, and the log that those cover.
+        """Delete what no read needs: all but the last ``keep`` states, the last ``keep`` snapshots
+        of each job, and the log, responses and commits that a kept state covers.
 
-        Commits go as well once neither a kept table nor the last batch of any source needs
-        them.
+        Of each source the last commit stays, so that a repeated batch is still known.
         """
         commits = self._read("commits")
-        oldest = {}
-        for table, kind in (("snapshot", "crawl"), ("state", "compact")):
-            runs = commits.filter(F.col("kind") == kind).select("run_id")
-            newest = [row[0] for row in runs.orderBy(F.desc("run_id")).limit(keep).collect()]
-            if len(newest) == keep:
-                oldest[table] = newest[-1]
-        for table, run_id in oldest.items():
-            self._delete_before(table, run_id)
-        if "state" in oldest:
-            self._delete_before("ops", oldest["state"])
-        if len(oldest) == 2:
-            last_of_source = commits.groupBy("source").agg(F.max("run_id").alias("run_id"))
-            needed = last_of_source.agg(F.min("run_id")).first()[0]
-            self._delete_before("commits", min(needed, *oldest.values()))
-
-    def _delete_before(self, table: str, run_id: int) -> None:
-        files, target = filesystem(self.spark, self._path(table))
-        for entry in files.listStatus(target):
-            name = entry.getPath().getName()
-            if name.startswith("run_id=") and 0 < int(name.split("=")[1]) < run_id:
-                files.delete(entry.getPath(), True)
+        by_job = Window.partitionBy("job").orderBy(F.desc("run_id"))
+        crawls = commits.filter(F.col("kind") == "crawl").withColumn("n", F.row_number().over(by_job))
+        kept_snapshots = {row[0] for row in crawls.filter(F.col("n") <= keep).select("run_id").collect()}
+        self._delete("snapshot", lambda n: n not in kept_snapshots)
+        states = [r for r in commits.filter(F.col("kind") == "compact").orderBy(F.desc("run_id")).limit(keep).collect()]
+        if len(states) < keep:
+            return
+        oldest = states[-1]
+        self._delete("state", lambda n: n < oldest["run_id"])
+        covered = set(oldest["covers"])
+        committed = set(self._ids("commits"))
+        # Covered, or claimed before the oldest kept state and never committed.
+        gone = {n for n in self._ids("ops") if n in covered or (n < oldest["run_id"] and n not in committed)}
+        for table in ("ops", "responses"):
+            self._delete(table, gone.__contains__)
+        last = {row[0] for row in commits.groupBy("source").agg(F.max("run_id")).select(F.col("max(run_id)")).collect()}
+        needed = kept_snapshots | last | {r["run_id"] for r in states}
+        self._delete("commits", lambda n: n in covered and n not in needed)
+        self._delete("claims", lambda n: n in covered)
+
+    def _delete(self, table: str, unwanted: Callable[[int], bool]) -> None:
+        for run_id in self._ids(table):
+            if run_id > 0 and unwanted(run_id):
+                files, target = filesystem(self.spark, self._path(table, run_id))
+                files.delete(target, True)

@@ -75,7 +75,9 @@ NAMES = struct(path=_TEXT, is_dir=_FLAG, is_symlink=_FLAG, lineage=STRINGS, erro
 STATS = struct(length=_LONG, mtime=_DOUBLE, atime=_DOUBLE, birthtime=_DOUBLE)
 EXTRACTED = struct(metadata=RAW_METADATA, text=STRINGS, error=_TEXT)
 SNAPSHOT = struct(path=_TEXT, mtime=_DOUBLE)
-COMMITS = struct(source=_TEXT, batch_id=_LONG, kind=_TEXT)
+COMMITS = struct(
+    source=_TEXT, batch_id=_LONG, kind=_TEXT, job=_TEXT, started=T.TimestampNTZType(), covers=T.ArrayType(_LONG)
+)
 
 FILE = struct(
     content_type=_TEXT, filename=_TEXT, extension=_TEXT, filesize=_LONG, indexed_chars=_LONG,
@@ -94,6 +96,9 @@ OPS = struct(
     error=_TEXT, doc=DOCUMENT,
 )
 
+# A row of a compacted state keeps the run it came from.
+STATE = T.StructType([*OPS.fields, T.StructField("of_run", T.LongType())])
+
 RESPONSES = struct(
     upload_id=_LONG, filename=_TEXT, ok=_FLAG, error=_TEXT, url=_TEXT, doc=DOCUMENT
 )

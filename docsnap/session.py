@@ -93,11 +93,12 @@ def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
     return max(1, min(items, max(shuffle_width(spark), -(-items // per_task))))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a scan over all cores where it comes in fewer pieces than that.
 
+    Dealt by the keys of a later grouping, it saves that one its own shuffle.
     For steps that cost much per row on small or badly split inputs; a scan with enough
     pieces is returned as it is. Not for plans that shuffle: counting their pieces runs them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -104,16 +104,17 @@ def crawl_then_follow(
     extractor: Extractor = default_extractor,
     **follow,
 ) -> StreamingQuery:
-    """A full pass, then the stream from the moment before the pass began.
+    """A full pass, then the stream from the moment on in which the last committed pass began.
 
-    A failed pass does not keep the stream from starting. Events that the pass has seen
-    already come again and write the same documents.
+    A failed pass does not keep the stream from starting; events since the pass before it then
+    count, and all events where there was none. Events that a pass has seen already come again
+    and write the same documents.
     """
-    start = F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
     try:
         crawl(spark, options, store, extractor)
     except Exception:
         logger.exception("the first pass failed")
-    return follow_events(
-        events.filter(F.col("ts") >= start), store, options, checkpoint, extractor, **follow
-    )
+    start = store.last_start(options.job)
+    if start is not None:
+        events = events.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return follow_events(events, store, options, checkpoint, extractor, **follow)

@@ -12,6 +12,8 @@ from docsnap.operators.ops import bulk_requests, write_bulk_lines
 from docsnap.options import CrawlOptions
 from docsnap.plans.crawl import CrawlError, crawl
 from docsnap.plans.store import DocumentStore
+from docsnap.schema import DOCUMENT
+from docsnap.sources.snapshot import json_snapshot
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,7 +152,7 @@ def test_failures_stop_the_run_and_leave_no_trace(job, tree):
         job.run()
     assert job.docs() == {} and job.store.snapshot().collect() == []
     tree("b.txt", "mended")
-    assert job.run() == 1  # the failed run gave its id back
+    assert job.run() == 2  # ids are never used again
     assert len(job.docs()) == 2
 
 
@@ -360,3 +362,54 @@ def test_rejected_metadata_is_reported(spark, job, tree):
     doc = job.docs()[path]
     assert (doc.meta.date, doc.meta.rating) == (None, 7)
     assert [(r._id, r.field) for r in job.store.rejected_metadata().collect()] == [(path, "date")]
+
+
+def test_two_roots_in_one_store(spark, job, tree, tmp_path):
+    a = tree("a/one.txt", "one", mtime=1_700_000_000)
+    b = tree("b/two.txt", "two", mtime=1_700_000_000)
+    first, second = CrawlOptions(root=f"{tree.root}/a"), CrawlOptions(root=f"{tree.root}/b", prune_folders=True)
+    crawl(spark, first, job.store, EXTRACTOR)
+    crawl(spark, second, job.store, EXTRACTOR)
+    assert set(job.docs()) == {a, b} and job.store.folders().count() == 2
+    # Another source of the same job finds its snapshot; nothing is read again.
+    assert job.ops(crawl(spark, first, job.store, EXTRACTOR, source="again")) == []
+    os.remove(a)
+    assert job.ops(crawl(spark, first, job.store, EXTRACTOR)) == [("delete", "one.txt")]
+    assert set(job.docs()) == {b}
+
+
+def test_two_writers_at_once(spark, job, tree):
+    store = job.store
+    one, two = store.begin("x")[0], store.begin("y")[0]
+    assert (one, two) == (1, 2)
+    tree("a.txt", "crawled")
+    third = job.run()
+
+    def op(key, text):
+        return spark.range(1).select(
+            F.lit(1).alias("phase"), F.array(F.lit(key)).alias("ord"), F.lit("index").alias("op"),
+            F.lit("job_docs").alias("_index"), F.lit(key).alias("_id"), F.lit(key).alias("path"),
+            F.lit(None).cast("string").alias("error"),
+            F.from_json(F.to_json(F.struct(F.lit(text).alias("content"), F.struct(F.lit("n").alias("filename")).alias("file"))), DOCUMENT).alias("doc"),
+        )
+
+    store.write_ops(two, op("k", "second"))
+    store.commit(two, "y", "uploads")
+    store.compact()
+    store.write_ops(one, op("k", "first").unionByName(op("late", "late")))
+    assert {r.content for r in job.docs().values()} == {"second", "crawled\nend"}
+    store.commit(one, "x", "uploads")  # committed after a compaction that did not cover it
+    assert {r.content for r in job.docs().values()} == {"second", "crawled\nend", "late"}
+    store.compact()
+    assert {r.content for r in job.docs().values()} == {"second", "crawled\nend", "late"}
+    store.prune(keep=1)
+    assert {r.content for r in job.docs().values()} == {"second", "crawled\nend", "late"} and third == 3
+
+
+def test_a_snapshot_from_elsewhere(spark, job, tree, tmp_path):
+    path = tree("a.txt", "one", mtime=1_700_000_000)
+    tree("b.txt", "two")
+    (tmp_path / "old.json").write_text(json.dumps({path: 1_700_000_000.0}))
+    options = CrawlOptions(root=tree.root)
+    job.store.import_snapshot(options.job, json_snapshot(spark, str(tmp_path / "old.json")))
+    assert job.ops(job.run()) == [("index", "b.txt")]

@@ -279,3 +279,16 @@ def test_extractor_takes_the_first_of_several_answers():
     one = PythonExtractor(lambda data: [{"a": 1, "X-TIKA:content": ["x", "y"]}, {"b": 2}]).one
     assert one(b"") == ({"a": ["1"]}, ["x", "y"], None)
     assert PythonExtractor(lambda data: []).one(b"") == ({}, None, None)
+
+
+def test_equal_and_negative_upload_ids(spark):
+    schema = "upload_id long, filename string, content_type string, doc_id string, index string, simulate boolean, debug boolean, data binary"
+    rows = [(n, f, None, None, None, None, None, t) for n, f, t in (
+        (7, "a.txt", b"x"), (7, "a.txt", b"y"), (7, "b.txt", b"same"), (7, "b.txt", b"same"),
+        (-9, "c.txt", b"first"), (-1, "c.txt", b"last"), (-1, "d.txt", b"first"), (3, "d.txt", b"last"))]
+    options = CrawlOptions(root="/d")
+    built = uploads.build_uploads(spark.createDataFrame(rows, schema), text_extractor, options, F.lit("2024-01-01").cast("timestamp"))
+    now = state.current_state(upload_ops(built, options).withColumn("run_id", F.lit(1)))
+    found = sorted((r._id, r.doc.content) for r in now.collect())
+    assert [f for f, _ in found] == ["a.txt", "b.txt", "c.txt", "d.txt"]
+    assert dict(found)["c.txt"] == dict(found)["d.txt"] == "last" and dict(found)["a.txt"] in ("x", "y")

@@ -140,6 +140,28 @@ def test_stream_starts_after_a_failed_pass(spark, feed, tree, tmp_path):
     assert feed.docs() == {"b.txt": "fine"}
 
 
+def test_restart_with_a_backlog_and_a_failed_pass(spark, feed, tree, tmp_path):
+    def now(**shift):
+        return datetime.now(timezone.utc).replace(tzinfo=None) + timedelta(**shift)
+
+    def follow():
+        crawl_then_follow(
+            spark, read_events(spark, feed.place), feed.store, feed.options,
+            str(tmp_path / "checkpoint"), EXTRACTOR, trigger={"availableNow": True},
+        ).awaitTermination()
+
+    tree("a.txt", "one")
+    feed.send(("created", "a.txt"), at=now())
+    follow()
+    assert feed.docs() == {"a.txt": "one"}
+    tree("while_down.txt", "new")
+    feed.send(("created", "while_down.txt"), at=now())
+    tree("zz.txt", "broken")  # the pass at the restart fails
+    time.sleep(1.1)
+    follow()
+    assert feed.docs() == {"a.txt": "one", "while_down.txt": "new"}
+
+
 def test_recrawl(spark, feed, tree, tmp_path):
     tree("a.txt", "one")
     query = recrawl(
