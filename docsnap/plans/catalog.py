@@ -22,7 +22,7 @@ from docsnap.operators.uploads import build_uploads
 from docsnap.options import CrawlOptions
 from docsnap.functions.paths import walk_order
 from docsnap.plans import derived
-from docsnap.plans.crawl import next_snapshot
+from docsnap.plans.crawl import crawl, next_snapshot
 from docsnap.plans.store import DocumentStore
 from docsnap.session import shared_folder, spread
 from docsnap.streaming.events import follow_events
@@ -493,10 +493,96 @@ def event_latest(spark, folder):
     return latest_events(accepted).select("path", "event_id", "op")
 
 
+# -- whole passes over the tables, in a store --------------------------------------------------
+
+
+PASS = CrawlOptions(root="/data", name="job", excludes=("*.tmp",), continue_on_error=True)
+
+
+def _load(spark, folder, fails: str):
+    """A loader that takes texts from the table; some files cannot be read."""
+    texts = derived.files(spark, folder).select("path", "doc_id", F.col("text").alias("whole"))
+
+    def load(changed: DataFrame) -> DataFrame:
+        rows = changed.join(texts, "path", "left")
+        return rows.select(
+            "path", "length", "mtime",
+            F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>").alias("metadata"),
+            F.array(F.coalesce("whole", F.lit("gone"))).alias("text"),
+            F.expr(f"if({fails}, 'unreadable', null)").alias("error"),
+        )
+
+    return load
+
+
+def _passes(spark, folder, second: CrawlOptions = PASS, runs: int = 3, compact: bool = False) -> DocumentStore:
+    """The previous files, then the files of now with some failures, then the same without."""
+    store = DocumentStore(spark, f"{shared_folder(spark)}/passes-{uuid.uuid4().hex}")
+
+    def before(spark, _):
+        return derived.previous(spark, folder).withColumn("length", F.octet_length("path").cast("bigint"))
+
+    def now(spark, _):
+        return derived.files(spark, folder).select("path", "length", "mtime")
+
+    steps = ((before, PASS, "false"), (now, second, "doc_id % 13 = 0"), (now, second, "false"))
+    for listing, options, fails in steps[:runs]:
+        crawl(spark, options, store, listing=listing, load=_load(spark, folder, fails))
+        if compact:
+            store.compact()
+    return store
+
+
+def _contents(store: DocumentStore) -> DataFrame:
+    return store.documents().select("_index", "_id", F.md5("content").alias("content_md5"))
+
+
+@query
+def crawl_two_runs(spark, folder):
+    """New, modified, deleted, failed and retried files, as documents after three passes."""
+    return _contents(_passes(spark, folder))
+
+
+@query
+def crawl_keeps_deleted(spark, folder):
+    """The same where deleted files keep their documents, and every pass is compacted."""
+    options = CrawlOptions(root="/data", name="job", excludes=("*.tmp",), continue_on_error=True, remove_deleted=False)
+    return _contents(_passes(spark, folder, options, compact=True))
+
+
+@query
+def crawl_snapshot(spark, folder):
+    """The snapshot after the pass with failures: those are tried again, so their old time stays."""
+    return _passes(spark, folder, runs=2).snapshot(PASS.job)
+
+
+@query
+def crawl_errors(spark, folder):
+    return _passes(spark, folder).errors()
+
+
+@query
+def crawl_folders(spark, folder):
+    return _passes(spark, folder, runs=1).folders().select("_index", "_id", "path.virtual")
+
+
+@query
+def crawl_then_events(spark, folder):
+    """A pass, then the event table as a stream into the same store."""
+    store = _passes(spark, folder, runs=1)
+    _follow(spark, folder, store)
+    return store.documents().select("_index", "_id", F.md5("content").alias("content_md5"))
+
+
 @query
 def event_stream_state(spark, folder):
     """The event table as a stream into a store; the documents it leaves behind."""
     store = DocumentStore(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
+    _follow(spark, folder, store)
+    return store.documents().select("_index", "_id", "content")
+
+
+def _follow(spark, folder, store: DocumentStore) -> None:
     schema = derived.table(spark, folder, "events").schema
     # As a pattern the path may name a single file as well as a folder of files.
     rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
@@ -515,4 +601,3 @@ def event_stream_state(spark, folder):
         derived.events_from(rows), store, OPTIONS, f"{store.location}/checkpoint",
         load=load, pauses=derived.pauses(spark, folder), trigger={"availableNow": True},
     ).awaitTermination()
-    return store.documents().select("_index", "_id", "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,21 @@ from docsnap.functions.paths import clean_root
 from docsnap.operators.diff import change_feed
 from docsnap.operators.documents import with_document
 from docsnap.operators.extract import Extractor, default_extractor
-from docsnap.operators.filters import size_guard
+from docsnap.operators.filters import eligible_files, size_guard
+from docsnap.operators.folders import folders_of
 from docsnap.operators.ops import delete_ops, file_ops, folder_delete_ops, folder_ops
 from docsnap.options import CrawlOptions
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import DOCUMENT
 from docsnap.session import WorkTables
 from docsnap.sources.content import read_and_extract
-from docsnap.sources.tree import list_names, with_stats
+from docsnap.sources.tree import binary_file_listing, list_names, with_stats
+
+
+#: From a session and options to ``path, length, mtime`` of all files; no folders.
+Listing = Callable[[SparkSession, CrawlOptions], DataFrame]
+#: From rows with ``path, length, mtime`` to the same with ``metadata, text, error`` and ``data``.
+Loader = Callable[[DataFrame], DataFrame]
 
 
 class CrawlError(RuntimeError):
@@ -42,6 +50,11 @@ def extracted_documents(
     return with_document(loaded, options, F.lit(indexed_at).cast("timestamp"))
 
 
+def object_listing(spark: SparkSession, options: CrawlOptions) -> DataFrame:
+    """The files of any storage that Spark reads, by its built-in source."""
+    return binary_file_listing(spark, options.root)
+
+
 def next_snapshot(feed: DataFrame, failed: DataFrame, retry_failed: bool = True) -> DataFrame:
     """The snapshot after a run.
 
@@ -65,9 +78,13 @@ def crawl(
     extractor: Extractor = default_extractor,
     source: str = "crawl",
     batch_id: int | None = None,
+    listing: Listing | None = None,
+    load: Loader | None = None,
 ) -> int:
     """Bring the store in step with the tree; returns the run id.
 
+    ``listing`` and ``load`` replace the walk over a mounted tree and the reading of files, such
+    as by ``object_listing`` for an object store; folders then follow from the paths of files.
     The comparison is written once to the shared folder and feeds the reader, the deletions
     and the new snapshot. Contents are read only for new and modified files. The snapshot and
     the commit come after the operations: a run that fails before leaves no trace.
@@ -76,7 +93,7 @@ def crawl(
     run_id, done = store.begin(source, batch_id)
     if not done:
         with WorkTables(spark) as work:
-            feed = _write_ops(spark, options, store, extractor, run_id, work)
+            feed = _write_ops(spark, options, store, extractor, run_id, work, listing, load)
             failed = store.written_ops(run_id).filter("op = 'error'").select("path")
             store.write_snapshot(run_id, next_snapshot(feed, failed, options.retry_failed))
         store.commit(run_id, source, "crawl", batch_id, options.job, started)
@@ -90,15 +107,28 @@ def _write_ops(
     extractor: Extractor,
     run_id: int,
     work: WorkTables,
+    listing: Listing | None,
+    load: Loader | None,
 ) -> DataFrame:
     """Write the operations of a run; returns the comparison they came from."""
     indexed_at = datetime.now(timezone.utc)
-    names = list_names(
-        spark, options.root, options.follow_symlinks, options.continue_on_error, work.keep
-    )
-    feed = work.keep(change_feed(list_eligible(names, options), store.snapshot(options.job)))
+    if listing is None:
+        names = list_names(
+            spark, options.root, options.follow_symlinks, options.continue_on_error, work.keep
+        )
+        files = list_eligible(names, options)
+    else:
+        listed = work.keep(listing(spark, options).withColumn("mtime", F.col("mtime").cast("double")))
+        names = folders_of(listed, options.root).select(
+            "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("error")
+        )
+        files = eligible_files(listed, options)
+    feed = work.keep(change_feed(files, store.snapshot(options.job)))
     changed = feed.filter(F.col("status").isin("new", "modified"))
-    documents = extracted_documents(changed, extractor, options, indexed_at)
+    if load is None:
+        documents = extracted_documents(changed, extractor, options, indexed_at)
+    else:
+        documents = with_document(load(changed), options, F.lit(indexed_at).cast("timestamp"))
     unlisted = names.filter("error is not null").select(
         "path",
         "error",

@@ -111,6 +111,14 @@ def _content(text: str) -> str:
     return f"trim({text}, {_WS})"
 
 
+# What three passes make of each file: its status in the second, whether it failed there, and its
+# text after the first and after the last.
+PASSES = f"""passed as (
+  select c.path, c.status, c.mtime, c.previous_mtime, c.status in ('new', 'modified') and c.doc_id % 13 = 0 as failed,
+    case when c.status <> 'new' then coalesce({_content('f.text')}, 'gone') end as first,
+    case when c.status = 'deleted' then 'gone' else {_content('f.text')} end as content
+  from feed c left join files f on c.path = f.path where c.path not like '%.tmp')"""
+
 LOG = f"""log as (
   select 1 as run_id, 1 as phase, string_split(path, '/') as ord, 'index' as op,
     'job_docs' as _index, path as _id, path, concat('v1 ', path) as content,
@@ -343,6 +351,22 @@ ORACLES = {
       group by term""",
     "event_ops": _with(EVENTS) + "select event_id, op, src_path as _id from accepted",
     "event_latest": _with(EVENTS) + "select path, event_id, op from latest",
+    "crawl_two_runs": _with(FILES, PREV, FEED, PASSES)
+    + """select 'job_docs' as _index, path as _id, md5(content) as content_md5 from passed where status <> 'deleted'""",
+    "crawl_keeps_deleted": _with(FILES, PREV, FEED, PASSES)
+    + "select 'job_docs' as _index, path as _id, md5(content) as content_md5 from passed",
+    "crawl_snapshot": _with(FILES, PREV, FEED, PASSES)
+    + """select path, cast(case when failed then previous_mtime else mtime end as double) as mtime from passed
+      where status <> 'deleted' and not (failed and previous_mtime is null)""",
+    "crawl_errors": _with(FILES, PREV, FEED, PASSES)
+    + "select cast(2 as bigint) as run_id, path, 'unreadable' as error from passed where failed",
+    "crawl_folders": _with(FILES, PREV, FOLDERS)
+    + """select 'job_folder' as _index, path as _id, case when path = '/data' then '/' else substr(path, 6) end as virtual
+      from folders where exists (select 1 from prev p where starts_with(p.path, folders.path || '/'))""",
+    "crawl_then_events": _with(EVENTS, FILES, PREV, FEED, PASSES)
+    + """select 'job_docs' as _index, path as _id, md5(first) as content_md5 from passed where first is not null
+      union all
+      select 'job_docs', path, md5(concat('content of ', path)) from latest where op = 'index'""",
     "event_stream_state": _with(EVENTS)
     + """select 'job_docs' as _index, path as _id, concat('content of ', path) as content
       from latest where op = 'index'""",

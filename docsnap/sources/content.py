@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,14 @@ _BYTES_PER_TASK = 512 * 1024 * 1024
 _FILES_PER_TASK = 20_000
 
 
+def _opened(path: str):
+    """A mounted file by its path, one of another storage by its URI."""
+    if "://" not in path:
+        return open(path, "rb")
+    store, place = FileSystem.from_uri(path)
+    return store.open_input_stream(place)
+
+
 def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool) -> DataFrame:
     columns = files.columns
     added = [T.StructField("data", T.BinaryType())]
@@ -27,7 +36,7 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
 
     def load(row: tuple, at: int) -> tuple:
         try:
-            with open(row[at], "rb") as handle:
+            with _opened(row[at]) as handle:
                 data = handle.read()
         except OSError as problem:
             error = f"{type(problem).__name__}: {problem}"
@@ -42,7 +51,7 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
             at = frame.columns.get_loc("path")
             for row in frame.itertuples(index=False, name=None):
                 held.append(load(row, at))
-                size += len(held[-1][len(columns)] or b"")
+                size += _weight(held[-1][len(columns) :])
                 if size >= _BATCH_BYTES or len(held) >= _BATCH_ROWS:
                     yield pd.DataFrame(held, columns=names, dtype=object)
                     held, size = [], 0
@@ -52,6 +61,15 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
     return files.mapInPandas(read, schema)
 
 
+def _weight(values: tuple) -> int:
+    """Bytes and characters that were read or extracted, in lists and maps as well."""
+    if isinstance(values, (bytes, str)):
+        return len(values)
+    if isinstance(values, dict):
+        return _weight(tuple(values.values()))
+    return sum(map(_weight, values)) if isinstance(values, (tuple, list)) else 0
+
+
 def read_tasks(files: DataFrame) -> int:
     """Tasks to read the files with, by their number and their total ``length``."""
     load = files.agg(

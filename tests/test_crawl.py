@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docsnap.operators.extract import PythonExtractor, default_extractor
 from docsnap.operators.ops import bulk_requests, write_bulk_lines
 from docsnap.options import CrawlOptions
-from docsnap.plans.crawl import CrawlError, crawl
+from docsnap.plans.crawl import CrawlError, crawl, object_listing
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import DOCUMENT
 from docsnap.sources.snapshot import json_snapshot
@@ -413,3 +413,15 @@ def test_a_snapshot_from_elsewhere(spark, job, tree, tmp_path):
     options = CrawlOptions(root=tree.root)
     job.store.import_snapshot(options.job, json_snapshot(spark, str(tmp_path / "old.json")))
     assert job.ops(job.run()) == [("index", "b.txt")]
+
+
+def test_listing_of_an_object_store(spark, job, tree):
+    for n in range(6):
+        tree(f"d{n % 2}/f{n}.txt", f"text {n}", mtime=1_700_000_000)
+    tree("d0/x.tmp")
+    options = CrawlOptions(root=tree.root, excludes=["*.tmp"])
+    crawl(spark, options, job.store, EXTRACTOR, listing=object_listing)
+    assert {r.content for r in job.docs().values()} == {f"text {n}\nend" for n in range(6)}
+    assert {os.path.basename(r._id) for r in job.store.folders().collect()} == {"data", "d0", "d1"}
+    os.remove(f"{tree.root}/d0/f0.txt")
+    assert job.ops(crawl(spark, options, job.store, EXTRACTOR, listing=object_listing)) == [("delete", "f0.txt")]
