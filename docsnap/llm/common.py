@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -44,15 +45,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def remembered(name: str, key, make: Callable):
-    """What ``make`` gives for the key, kept in this process until another key is asked for.
+    """What ``make`` gives for the key, kept in this process until anything else is asked for.
 
     Functions travel to Python workers by value, so module variables start anew with every task;
-    this memory outlives them.
+    this memory outlives them. It holds one thing, so that what one operator needed does not stay
+    in a worker that has gone on to another.
     """
-    memory = vars(sys.modules.setdefault("docsnap_remembered", types.ModuleType("docsnap_remembered")))
-    if name not in memory or memory[name][0] != key:
-        memory[name] = (key, make())
-    return memory[name][1]
+    memory = sys.modules.setdefault("docsnap_remembered", types.ModuleType("docsnap_remembered"))
+    if getattr(memory, "held", None) != (name, key):
+        memory.held = memory.thing = None
+        memory.thing = make()
+        memory.held = (name, key)
+    return memory.thing
+
+
+def release() -> None:
+    """Gives memory that is free back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -60,6 +72,7 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release()
 
 
 def text_pieces(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,6 +109,7 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = values[start]
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def discard(kept: DataFrame) -> None:

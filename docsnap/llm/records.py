@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import keep, remembered, shuffle_width, work_folder
+from docsnap.llm.common import keep, parts, remembered, shuffle_width, work_folder
 
 MAGIC, VERSION = b"TOKREC\x00\x00", 1
 HEADER, LENGTH, CRC, DOC = "<8sII", "<Q", "<I", "<Bq"
@@ -113,7 +113,7 @@ def write_records(
         store.create_dir(top, recursive=True)
         name = f"{top}/part-{part:06d}-{uuid.uuid4().hex}"
         out, n_ids, index, at = None, 0, [], HEADER_SIZE
-        for batch in batches:
+        for batch in parts(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if out is None:
                     out = store.open_output_stream(f"{name}.rec")
