@@ -18,6 +18,7 @@ from docsnap.options import CrawlOptions
 from docsnap.plans.crawl import crawl
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import EVENTS
+from docsnap.session import materialised
 from docsnap.sources.content import read_and_extract
 from docsnap.sources.tree import with_stats
 
@@ -32,10 +33,14 @@ def read_events(spark: SparkSession, location: str, **options: str) -> DataFrame
 
 
 def file_loader(extractor: Extractor, options: CrawlOptions) -> Loader:
-    """Rows with a ``path`` to rows with size, times, text and metadata; gone files drop out."""
+    """Rows with a ``path`` to rows with size, times, text and metadata; gone files drop out.
+
+    Of a link it is the target that is looked at, as it is the target that is read. The files are
+    looked at once: how many tasks read them and the reading both follow from what was written.
+    """
 
     def load(paths: DataFrame) -> DataFrame:
-        stats = with_stats(paths, options.follow_symlinks)
+        stats = materialised(with_stats(paths, follow_symlinks=True))
         return read_and_extract(stats, extractor, options.needs_bytes, options.read_partitions)
 
     return load
