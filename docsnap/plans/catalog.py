@@ -24,7 +24,7 @@ from docsnap.functions.paths import walk_order
 from docsnap.plans import derived
 from docsnap.plans.crawl import crawl, next_snapshot
 from docsnap.plans.store import DocumentStore
-from docsnap.session import shared_folder, spread
+from docsnap.session import materialised, shared_folder, spread
 from docsnap.streaming.events import follow_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,7 +411,7 @@ def _log(spark, folder) -> DataFrame:
 
 @query
 def current_state(spark, folder):
-    return state.current_state(_log(spark, folder)).select(
+    return state.current_state(materialised(_log(spark, folder))).select(
         "_index", "_id", "run_id", F.md5(F.col("doc.content")).alias("content_md5")
     )
 
@@ -428,7 +428,7 @@ def run_summary(spark, folder):
 
 @query
 def alias_union(spark, folder):
-    return state.alias_view(state.current_state(_log(spark, folder))).select(
+    return state.alias_view(state.current_state(materialised(_log(spark, folder)))).select(
         "_index", "_id", "path.virtual", "file.filesize"
     )
 

@@ -16,6 +16,8 @@ runs it covers, so that one which was committed later is still read.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from docsnap.functions.metadata import rejected_fields, typed_meta
 from docsnap.operators.state import alias_view, current_state, settled_state
 from docsnap.schema import COMMITS, OPS, RESPONSES, SNAPSHOT, STATE
-from docsnap.session import WorkTables, filesystem
+from docsnap.session import WorkTables, filesystem, shuffle_width
 
 TABLES = {
     "ops": OPS, "snapshot": SNAPSHOT, "state": STATE, "responses": RESPONSES, "commits": COMMITS,
@@ -119,8 +121,9 @@ class DocumentStore:
         job: str | None = None,
         started: datetime | None = None,
         covers: list[int] | None = None,
+        buckets: int | None = None,
     ) -> None:
-        row = self.spark.createDataFrame([(source, batch_id, kind, job, started, covers)], COMMITS)
+        row = self.spark.createDataFrame([(source, batch_id, kind, job, started, covers, buckets)], COMMITS)
         row.coalesce(1).write.mode("overwrite").parquet(self._path("commits", run_id))
 
     # -- reading --------------------------------------------------------------------------
@@ -169,8 +172,7 @@ class DocumentStore:
         if compacted is None:
             return self.ops(), None
         covered = [*compacted["covers"], compacted["run_id"]]
-        base = self._read("state").filter(F.col("run_id") == compacted["run_id"])
-        base = base.drop("run_id").withColumnRenamed("of_run", "run_id")
+        base = self._state_table(compacted["run_id"], compacted["buckets"]).withColumnRenamed("of_run", "run_id")
         ops = self.ops(but=covered)
         late = [n for n in self._ids("commits") if 0 < n < compacted["run_id"] and n not in set(covered)]
         if not late:
@@ -179,6 +181,17 @@ class DocumentStore:
         # than those of the base, so all take part alike.
         return ops.unionByName(base, allowMissingColumns=True), None
 
+    def _state_table(self, run_id: int, buckets: int) -> DataFrame:
+        """A compacted state as a table in buckets by document, so that joins on the document leave
+        it where it is. Each session names it anew."""
+        name = f"docsnap_state_{hashlib.md5(self.location.encode()).hexdigest()}_{run_id}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STATE.fields)
+        self.spark.sql(
+            f"create table if not exists {name} ({columns}) using parquet clustered by (`_index`, `_id`) "
+            f"into {buckets} buckets location '{self._path('state', run_id)}'"
+        )
+        return self.spark.table(name)
+
     def state(self) -> DataFrame:
         """Index operations that make up the current documents and folders."""
         return current_state(*self._since_compaction())
@@ -209,12 +222,16 @@ class DocumentStore:
         """Write the current state as a table of its own, for later reads to build on."""
         run_id, _ = self.begin("compact")
         self.write_ops(run_id, self.spark.createDataFrame([], OPS))
+        buckets = shuffle_width(self.spark)
         covers = [n for n in self._ids("commits") if 0 < n < run_id]
         ops, base = self._since_compaction()
         with WorkTables(self.spark) as work:
             state = settled_state(ops, base, work.keep).withColumnRenamed("run_id", "of_run")
-            state.select(*STATE.fieldNames()).write.mode("overwrite").parquet(self._path("state", run_id))
-        self.commit(run_id, "compact", "compact", covers=covers)
+            rows = state.select(*STATE.fieldNames()).repartition(buckets, "_index", "_id")
+            name = f"docsnap_written_{uuid.uuid4().hex}"
+            rows.write.bucketBy(buckets, "_index", "_id").option("path", self._path("state", run_id)).saveAsTable(name)
+            self.spark.sql(f"drop table {name}")  # its files stay
+        self.commit(run_id, "compact", "compact", covers=covers, buckets=buckets)
         return run_id
 
     def prune(self, keep: int = 2) -> None:

@@ -76,7 +76,8 @@ STATS = struct(length=_LONG, mtime=_DOUBLE, atime=_DOUBLE, birthtime=_DOUBLE)
 EXTRACTED = struct(metadata=RAW_METADATA, text=STRINGS, error=_TEXT)
 SNAPSHOT = struct(path=_TEXT, mtime=_DOUBLE)
 COMMITS = struct(
-    source=_TEXT, batch_id=_LONG, kind=_TEXT, job=_TEXT, started=T.TimestampNTZType(), covers=T.ArrayType(_LONG)
+    source=_TEXT, batch_id=_LONG, kind=_TEXT, job=_TEXT, started=T.TimestampNTZType(), covers=T.ArrayType(_LONG),
+    buckets=_LONG,
 )
 
 FILE = struct(

@@ -356,6 +356,35 @@ def test_compaction_and_pruning_keep_the_state(spark, job, tree):
     assert job.ops(job.run()) == []
 
 
+def test_a_compacted_state_is_not_moved_to_be_read(spark, job, tree):
+    for n in range(8):
+        tree(f"{n}.txt", f"{n}", mtime=1_700_000_000)
+    job.run()
+    job.store.compact()
+    os.remove(f"{tree.root}/0.txt")
+    tree("1.txt", "again", mtime=1_700_000_100)
+    job.run()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = job.store.documents()._jdf.queryExecution().executedPlan().toString()
+        docs = job.docs()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "docsnap_state" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    above = []  # the nodes on the way from the scan to the top
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            above.append(line)
+            depth = own
+    assert above and not [line for line in above if "Exchange" in line]
+    assert {r.content for r in docs.values()} == {"again\nend", *(f"{n}\nend" for n in range(2, 8))}
+
+
 def test_rejected_metadata_is_reported(spark, job, tree):
     path = tree("a.txt")
     job.run(PythonExtractor(lambda _: {"dc:date": "soon", "xmpMM:Rating": "7"}))
