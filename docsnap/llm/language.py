@@ -6,8 +6,8 @@ their own numbers: a blended spectrum of presence. Landmark texts span the featu
 (Nyström); one ridge regression per language, against all others, is solved in it. Scoring is two
 matrix products per batch: presence of the landmarks' grams by landmarks, and kernels by weights.
 
-The model is fitted on a bounded sample of the labelled rows, ``SAMPLE`` texts spread over the
-languages alike, drawn by hash of the id; every gram of a whole text counts. Grams are over the
+The model is fitted on a bounded sample of the labelled rows, ``SAMPLE`` texts spread alike over at
+most as many languages, drawn by hash of the id; every gram of a whole text counts. Grams are over the
 ``ALPHABET`` most frequent letters of the sample; any other letter is one symbol of its own.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does every text where nothing
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import parts, remembered, text_pieces
+from docsnap.llm.common import keep, parts, remembered, text_pieces
 
 UNKNOWN = "und"
 SAMPLE, LANDMARKS = 1_200, 128
@@ -167,7 +167,8 @@ def sample_grams(docs: DataFrame) -> DataFrame:
     executors as distinct grams.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count()
+    # One text each at least: of more languages than the sample has texts the most frequent count.
+    counts = keep(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE), "languages")
     languages = counts.count()
     each = -(-SAMPLE // max(1, languages))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
