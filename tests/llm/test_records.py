@@ -68,3 +68,10 @@ def test_shuffled_reads_and_damage(spark, model, tmp_path):
 
 def test_empty_table(spark):
     assert records.token_records(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_small_memory_changes_nothing(spark, model, monkeypatch):
+    monkeypatch.setattr(records, "CACHED_WORDS", 3)
+    rows = [(i, " ".join(f"w{(i * k) % 11}, Ab{k % 5}!" for k in range(40))) for i in range(30)]
+    found = sorted(map(tuple, records.token_records(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == expected(rows, model)
