@@ -38,7 +38,7 @@ MAGIC, VERSION = b"TOKREC\x00\x00", 1
 HEADER, LENGTH, CRC, DOC = "<8sII", "<Q", "<I", "<Bq"
 HEADER_SIZE, LENGTH_SIZE, CRC_SIZE, DOC_SIZE = map(struct.calcsize, (HEADER, LENGTH, CRC, DOC))
 INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u8")])
-CACHED_WORDS = 200_000
+CACHED_WORDS = 450_000
 #: A small Latin-1 letter and the punctuation after it, but for what special tokens are made of.
 BORDER = re.compile(r"([a-zß-öø-ÿ])([!-&(-/:;=?@\[-`{}~])")
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -53,22 +53,15 @@ def masked(crc: int) -> int:
 
 
 class Words(dict):
-    """Ids of words, encoded when first asked for.
-
-    A full memory becomes the old one, from which words that are asked for again come back; so
-    frequent words stay known.
-    """
+    """Ids of words, encoded when first asked for; a full memory is emptied."""
 
     def __init__(self, model, kind: str) -> None:
-        self.model, self.kind, self.old = model, kind, {}
+        self.encode, self.kind = model.encode, kind
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = np.array(self.model.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         if len(self) >= CACHED_WORDS:
-            self.old = self.copy()
             self.clear()
+        ids = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         self[word] = ids
         return ids
 
