@@ -38,7 +38,7 @@ MAGIC, VERSION = b"TOKREC\x00\x00", 1
 HEADER, LENGTH, CRC, DOC = "<8sII", "<Q", "<I", "<Bq"
 HEADER_SIZE, LENGTH_SIZE, CRC_SIZE, DOC_SIZE = map(struct.calcsize, (HEADER, LENGTH, CRC, DOC))
 INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u8")])
-CACHED_WORDS = 450_000
+CACHED_WORDS = 700_000
 #: A small Latin-1 letter and the punctuation after it, but for what special tokens are made of.
 BORDER = re.compile(r"([a-zß-öø-ÿ])([!-&(-/:;=?@\[-`{}~])")
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
