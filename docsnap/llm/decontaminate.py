@@ -7,9 +7,8 @@ ASCII keep their UTF-8 bytes. An item is found where some stretch of a document
 A random walk reads a window: at each step it notes the byte it stands on and, as a random
 table says for that step and byte, moves on or stays. Two windows a few edits apart fall into
 step again after each edit, so their notes differ in few places. Bits of the notes are sampled
-into a key, and equal keys make candidates. Windows of item size start at every second word of a
-document and at every word of an item, so an item is met from many of its words, and it takes one
-of these to pass; only the first ``STEPS`` notes are sampled, so that a window costs no
+into a key, and equal keys make candidates. Windows start at every word of a document and of
+an item, so an item is met from many of its words, and it takes one of these to pass; only the first ``STEPS`` notes are sampled, so that a window costs no
 more than that. Several walks, each with a table and a sample of its own, raise the recall to the
 target: ``expected_recall`` gives it by trial. Every candidate is verified by exact edit distance.
 
@@ -34,7 +33,7 @@ from docsnap.llm.common import parts, remembered, text_pieces
 
 MAX_DISTANCE, TARGET_DISTANCE = 0.2, 0.1
 WALKS, STEPS, SAMPLES, EARLY = 6, 40, 20, 8
-SHORT, STRIDE = 32, 2
+SHORT = 32
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 32 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,11 +182,9 @@ class Items:
 
     def _near(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, object, int]]:
         starts = word_starts(text, bounds)
-        first = np.searchsorted(starts, bounds[:-1])
-        rank = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
         padded = np.concatenate([text, np.zeros(STEPS + 1, np.uint8)])
         done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for number, begin in self.candidates(padded, starts[rank % STRIDE == 0].astype(np.int32)).tolist():
+        for number, begin in self.candidates(padded, starts.astype(np.int32)).tolist():
             item, most = self.items[number][1], self.most[number]
             middle = min(max(begin + len(item) // 2, 0), len(text) - 1)
             row = int(np.searchsorted(bounds, middle, "right")) - 1

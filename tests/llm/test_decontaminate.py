@@ -92,6 +92,15 @@ def test_recall():
     assert D.expected_recall(items, D.TARGET_DISTANCE) >= 0.9
 
 
+@pytest.mark.parametrize("item", ["internationalization matters a lot", "unquestionably reproducible experiments done"])
+@pytest.mark.parametrize("before", range(4))
+def test_verbatim_item_behind_any_number_of_words(item, before):
+    assert D.SHORT <= len(item) <= 45
+    text = " ".join(["so", "it", "was", "then"][:before] + [item, "and so on"])
+    block = D.Items([(1, item)], D.MAX_DISTANCE)
+    assert list(block.matches(D.pa.array([text]))) == [(0, 1, 0)]
+
+
 @pytest.mark.parametrize("side", [0, 1])
 def test_empty_tables(spark, side):
     docs, items = corpus()
