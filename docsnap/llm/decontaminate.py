@@ -8,9 +8,11 @@ A random walk reads a window: at each step it notes the byte it stands on and, a
 table says for that step and byte, moves on or stays. Two windows a few edits apart fall into
 step again after each edit, so their notes differ in few places. Bits of the notes are sampled
 into a key, and equal keys make candidates. Windows start at every word of a document and of
-an item, so an item is met from many of its words, and it takes one of these to pass; only the first ``STEPS`` notes are sampled, so that a window costs no
-more than that. Several walks, each with a table and a sample of its own, raise the recall to the
-target: ``expected_recall`` gives it by trial. Every candidate is verified by exact edit distance.
+an item, so an item is met from many of its words, and it takes one of these to pass. Windows are
+shorter than items: most are torn by edits at the accepted distance, and short ones stay whole more
+often. ``CLASSES`` gives the walks by length of item, as many as measured recall at
+``TARGET_DISTANCE`` asks for: ``expected_recall`` gives it by trial. A candidate with too few grams of
+the item near their places cannot be within reach; every other is verified by exact edit distance.
 
 Items are spread to the tasks in blocks of bounded size, one pass over the documents per block.
 Items of fewer than ``SHORT`` bytes cannot fill a key; they are found verbatim, as whole words.
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 
 from docsnap.llm.common import parts, remembered, text_pieces
 
-MAX_DISTANCE, TARGET_DISTANCE = 0.2, 0.1
-WALKS, STEPS, SAMPLES, EARLY = 6, 40, 20, 8
-SHORT = 32
+MAX_DISTANCE = TARGET_DISTANCE = 0.2
+#: Items below so many bytes, with so many walks of so many steps and samples; by measured recall.
+CLASSES = ((64, 48, 12, 9), (160, 16, 20, 13), (1 << 60, 8, 28, 16))
+STEPS = max(steps for _, _, steps, _ in CLASSES)
+SHORT, GRAM = 32, 3
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 32 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,14 +49,21 @@ PLAIN[97:123] = PLAIN[65:91] = np.arange(97, 123)
 PLAIN[128:] = np.arange(128, 256)
 
 _RANDOM = np.random.Generator(np.random.PCG64(5))
-MOVES = _RANDOM.integers(0, 2, (WALKS, STEPS, 256), np.int8)
-#: Steps whose notes go into the key; the first few decide early whether a window goes on.
-SAMPLED = np.array(
-    [
-        np.sort(np.concatenate([_RANDOM.choice(STEPS // 2, EARLY, False), STEPS // 2 + _RANDOM.choice(STEPS // 2, SAMPLES - EARLY, False)]))
-        for _ in range(WALKS)
-    ]
-)
+
+
+def _walks(walks: int, steps: int, samples: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Moves by step and byte, and the steps whose notes go into the key, alike in both halves."""
+    made, half = [], steps // 2
+    for _ in range(walks):
+        # Who stays at a step moves at the next, so that no walk stands still and repeats its notes.
+        even = _RANDOM.integers(0, 2, (half, 256), np.int8)
+        moves = np.stack([even, 1 - even], axis=1).reshape(steps, 256)
+        early = _RANDOM.choice(half, samples // 2, False)
+        made.append((moves, np.sort(np.concatenate([early, half + _RANDOM.choice(half, samples - samples // 2, False)]))))
+    return made
+
+
+WALKS = [_walks(*kind) for _, *kind in CLASSES]
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +82,22 @@ def plain_text(text: str) -> bytes:
     return normalised(data, np.array([0, len(data)]))[0].tobytes().strip()
 
 
-def walk(text: np.ndarray, at: np.ndarray, walk_no: int, first: int, last: int, key: np.ndarray):
-    """Goes on with a walk from step ``first`` to ``last``; ``text`` is padded behind its end."""
-    sampled = set(SAMPLED[walk_no].tolist())
-    for step in range(first, last):
-        here = text[at]
-        if step in sampled:
+def walk(text: np.ndarray, at: np.ndarray, moves: np.ndarray, sampled: np.ndarray, key: np.ndarray, half: int):
+    """Goes on with a walk through its first or second half; ``text`` is padded behind its end."""
+    noted, middle = set(sampled.tolist()), len(moves) // 2
+    for step in range(half * middle, (half + 1) * middle):
+        here = text.take(at)
+        if step in noted:
             key = (key ^ here) * ODD
-        at = at + MOVES[walk_no, step][here]
+        at = at + moves[step].take(here)
     return at, key
 
 
+def grams(text: np.ndarray) -> np.ndarray:
+    text = text.astype(np.int32)
+    return text[:-2] | text[1:-1] << 8 | text[2:] << 16
+
+
 def slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
@@ -145,22 +161,28 @@ class Items:
         number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         start = np.concatenate(starts).astype(np.int32) if starts else np.zeros(0, np.int32)
         origin = np.concatenate(([0], np.cumsum([len(t) + STEPS + 1 for _, t in self.items])))
-        self.walks = []
-        for walk_no in range(WALKS):
-            at, early = walk(text, start, walk_no, 0, STEPS // 2, np.zeros(len(start), np.uint64))
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[slot(early)] = True
-            key = walk(text, at, walk_no, STEPS // 2, STEPS, early)[1]
-            order = np.argsort(key, kind="stable")
-            self.walks.append((table, key[order], number[order], (start - origin[number])[order]))
+        sizes = np.array([len(t) for _, t in self.items], np.int64)
+        self.grams = [grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        self.walks, least = [], 0
+        for (below, *_), walks in zip(CLASSES, WALKS, strict=True):
+            mine = np.flatnonzero((sizes[number] >= least) & (sizes[number] < below))
+            least = below
+            for moves, sampled in walks if len(mine) else []:
+                at, early = walk(text, start[mine], moves, sampled, np.zeros(len(mine), np.uint64), 0)
+                table = np.zeros(1 << TABLE_BITS, bool)
+                table[slot(early)] = True
+                key = walk(text, at, moves, sampled, early, 1)[1]
+                order = np.argsort(key, kind="stable")
+                inside = (start - origin[number])[mine]
+                self.walks.append((moves, sampled, table, key[order], number[mine][order], inside[order]))
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows of item number and the place in the text where the item would begin."""
-        found = []
-        for walk_no, (table, keys, numbers, inside) in enumerate(self.walks):
-            at, key = walk(text, starts, walk_no, 0, STEPS // 2, np.zeros(len(starts), np.uint64))
+        found = [np.zeros((2, 0), np.int64)]
+        for moves, sampled, table, keys, numbers, inside in self.walks:
+            at, key = walk(text, starts, moves, sampled, np.zeros(len(starts), np.uint64), 0)
             live = np.flatnonzero(table[slot(key)])
-            key = walk(text, at[live], walk_no, STEPS // 2, STEPS, key[live])[1]
+            key = walk(text, at[live], moves, sampled, key[live], 1)[1]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(high > low)
             many = (high - low)[hit]
@@ -169,6 +191,22 @@ class Items:
             found.append(np.stack([numbers[which], where - inside[which]]))
         return np.unique(np.concatenate(found, axis=1), axis=1).T
 
+    def possible(self, number: int, shift: int, text: np.ndarray) -> bool:
+        """False only where too few grams of the item are near their places in the text.
+
+        An edit spoils at most ``GRAM`` of them and shifts the others by one at most. The text begins
+        ``shift`` bytes behind the first place where a match may begin.
+        """
+        own, most = self.grams[number], self.most[number]
+        needed = len(own) - GRAM * most
+        if needed <= 0:
+            return True
+        there = np.full(len(own) + 4 * most, -1, np.int32)
+        given = grams(text)[: len(there) - most - shift]
+        there[most + shift : most + shift + len(given)] = given
+        near = np.lib.stride_tricks.sliding_window_view(there, len(own))
+        return np.count_nonzero((near == own).any(axis=0)) >= needed
+
     def matches(self, column: pa.Array) -> Iterator[tuple[int, object, int]]:
         """Row, item and distance of every item found, in a column of texts."""
         for row, _, data, offsets in text_pieces(pc.utf8_lower(column), PIECE_BYTES):
@@ -190,13 +228,14 @@ class Items:
             row = int(np.searchsorted(bounds, middle, "right")) - 1
             tried = done.setdefault((row, number), [])
             # A stretch within reach of one that was tried with a match needs no second trial.
-            if any(d <= most and abs(b - begin) <= most for b, d in tried) or (begin, None) in tried:
+            if any(d <= most and abs(b - begin) <= most for b, d in tried):
                 continue
             low = max(begin - most, int(bounds[row]))
             high = min(begin + len(item) + most, int(bounds[row + 1]))
-            tried.append((begin, least_edits(item, self.masks[number], text[low:high].tobytes())))
+            if self.possible(number, low - begin + most, text[low:high]):
+                tried.append((begin, least_edits(item, self.masks[number], text[low:high].tobytes())))
         for (row, number), tried in done.items():
-            distance = min(d for _, d in tried)
+            distance = min((d for _, d in tried), default=len(self.items[number][1]))
             if distance <= self.most[number]:
                 yield row, self.items[number][0], distance
 
@@ -257,16 +296,25 @@ def clean_documents(docs: DataFrame, items: DataFrame, max_distance: float = MAX
 
 
 def expected_recall(items: list[str], distance: float = TARGET_DISTANCE, trials: int = 200, seed: int = 0) -> float:
-    """The share of items found after random edits of that many bytes, by trial."""
+    """The share of items found after random edits of that many bytes, by trial.
+
+    Where edits break letters of several bytes, a text may end up farther off than is accepted;
+    such trials are drawn again.
+    """
     rng = np.random.default_rng(seed)
-    block, hits = Items(list(enumerate(items)), MAX_DISTANCE), 0
+    block, done, hits = Items(list(enumerate(items)), MAX_DISTANCE), 0, 0
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
-    for trial in range(trials):
+    for trial in range(10 * trials):
         number = trial % len(block.items)
         text = list(block.items[number][1])
         for _ in range(int(distance * len(text))):
             place, kind = rng.integers(len(text)), rng.integers(3)
             text[place : place + int(kind != 0)] = [int(rng.choice(letters))] * int(kind != 2)
-        column = pa.array(["so it begins " + bytes(text).decode(errors="replace") + " and ends"])
-        hits += any(i == block.items[number][0] for _, i, _ in block.matches(column))
-    return hits / trials
+        whole = "so it begins " + bytes(text).decode(errors="replace") + " and ends"
+        if least_edits(block.items[number][1], block.masks[number], plain_text(whole)) > block.most[number]:
+            continue
+        done += 1
+        hits += any(i == block.items[number][0] for _, i, _ in block.matches(pa.array([whole])))
+        if done == trials:
+            break
+    return hits / max(done, 1)

@@ -92,6 +92,29 @@ def test_recall():
     assert D.expected_recall(items, D.TARGET_DISTANCE) >= 0.9
 
 
+@pytest.mark.parametrize(("size", "least"), [(36, 0.6), (60, 0.9), (100, 0.9), (300, 0.95)])
+def test_recall_at_the_accepted_distance(size, least):
+    rng = random.Random(size)
+    items = [words(rng, size)[:size].rsplit(" ", 1)[0] for _ in range(40)]
+    assert D.TARGET_DISTANCE == D.MAX_DISTANCE
+    assert D.expected_recall([t for t in items if len(t) >= D.SHORT], D.MAX_DISTANCE, 150) >= least
+
+
+def test_grams_drop_nothing_within_reach():
+    rng = random.Random(8)
+    for _ in range(200):
+        item = words(rng, 20).encode()
+        text = bytearray(item)
+        for _ in range(rng.randrange(int(0.2 * len(item)) + 1)):
+            place = rng.randrange(len(text))
+            text[place : place + rng.randrange(2)] = rng.choice([b"", b"q", b"e"])
+        block = D.Items([(1, item.decode())], D.MAX_DISTANCE)
+        before = words(rng, 30).encode()[-block.most[0] :]
+        stretch = D.np.frombuffer(before + bytes(text) + b" and so on", D.np.uint8)
+        near = D.least_edits(item, block.masks[0], stretch.tobytes()) <= block.most[0]
+        assert block.possible(0, block.most[0] - len(before), stretch) or not near
+
+
 @pytest.mark.parametrize("item", ["internationalization matters a lot", "unquestionably reproducible experiments done"])
 @pytest.mark.parametrize("before", range(4))
 def test_verbatim_item_behind_any_number_of_words(item, before):
