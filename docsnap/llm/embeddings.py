@@ -8,8 +8,11 @@ verified in double precision. A shard above ``SHARD_POINTS`` is cut into slices
 and every pair of slices is a group of its own, so no shard has to fit in one task.
 
 A pair counts in the smallest shard that both points are in, so no pair is written: tasks give
-sums of links and a spanning forest. A bounded sample of points is compared with all others for
-an audit; while its recall is below ``TARGET_RECALL``, the search is repeated with more overlap.
+sums of links and a spanning forest. For an audit, points with a near one planted beside each are
+searched with the others, and more points are drawn until enough of them have links or ``MOST_AUDITED``
+are drawn; all are compared with the whole table. While the share of near points found, per point,
+is below ``TARGET_RECALL`` for either, the search is repeated with more overlap, and at last all
+points are compared in blocks. The recall of every search is logged.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so
 do rows without id. Vectors of different lengths never link. Rows that repeat an id are in
@@ -19,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -34,7 +38,13 @@ from docsnap.llm.graph import components
 COSINE = 0.95
 SHARD_POINTS = 2_000
 SAMPLE, CENTRES, ROUNDS = 65_536, 4_096, 6
-OVERLAPS, TARGET_RECALL, AUDITED = (3, 5, 8), 0.98, 256
+OVERLAPS, TARGET_RECALL = (3, 5, 8), 0.98
+AUDITED, LINKED, MOST_AUDITED = 256, 64, 4_096
+
+#: What a search gives, one row per point and group.
+LINKS = "key long, node long, links long, near long, root long, planted boolean"
+
+log = logging.getLogger(__name__)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -133,7 +143,7 @@ def adjacency(members: DataFrame) -> DataFrame:
     return lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
 
 
-def _found(rows: pa.Table, least: float) -> np.ndarray:
+def _found(rows: pa.Table, least: float, exact_search: bool) -> np.ndarray:
     """Verified links among the rows of one group: a slice, or two of them against each other."""
     exact = unit(matrix(rows["embedding"]))
     quick = exact.astype(np.float32)
@@ -146,6 +156,9 @@ def _found(rows: pa.Table, least: float) -> np.ndarray:
     for mine, theirs in ((left, right),) if rows["inner"][0].as_py() else ((left, right), (right, left)):
         if not len(mine) or not len(theirs):
             continue
+        if exact_search:
+            linked[np.ix_(mine, theirs)] |= quick[mine] @ quick[theirs].T >= least - 1e-5
+            continue
         place = np.full(len(keys), -1)
         place[theirs] = np.arange(len(theirs))
         near = []
@@ -167,12 +180,15 @@ def _found(rows: pa.Table, least: float) -> np.ndarray:
     return linked
 
 
-def links_of(dealt: DataFrame, least: float) -> DataFrame:
-    """Per point and group: its links there, and the point it hangs on."""
+def links_of(dealt: DataFrame, least: float, exact_search: bool = False) -> DataFrame:
+    """Per point and group: its links there, near points, and the point it hangs on.
+
+    Points without copies are planted: they have links, and are none of others.
+    """
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "grp"):
-            linked = _found(rows, least)
+            linked = _found(rows, least, exact_search)
             shards = matrix(rows["shards"])
             own = rows["shard"][0].as_py()
             # The smallest shard of both is where a pair counts.
@@ -183,7 +199,10 @@ def links_of(dealt: DataFrame, least: float) -> DataFrame:
                          for j in range(shards.shape[1])]
                 earlier = np.any(below, axis=0)
                 linked[row[part][earlier], at[part][earlier]] = False
-            links = linked @ rows["copies"].to_numpy()
+            copies = rows["copies"].to_numpy()
+            planted = copies == 0
+            links, near = linked @ copies, linked[:, ~planted].sum(axis=1)
+            linked[planted] = linked[:, planted] = False
             some = np.flatnonzero(links)
             if len(some):
                 root = np.arange(len(linked))
@@ -196,29 +215,33 @@ def links_of(dealt: DataFrame, least: float) -> DataFrame:
                         root[reached] = k
                 keys, nodes = rows["key"].to_numpy(), rows["node"].to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some]), pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[root[some]])],
-                    names=["key", "node", "links", "root"],
-                )
+                    [pa.array(keys[some]), pa.array(nodes[some]), pa.array(links[some]), pa.array(near[some]),
+                     pa.array(nodes[root[some]]), pa.array(planted[some])],
+                    names=["key", "node", "links", "near", "root", "planted"],
+                )
 
     columns = ["grp", "shard", "shards", "inner", "is_left", "is_right", "key", "node", "copies", "embedding", "neighbours"]
-    return dealt.select(columns).mapInArrow(search, "key long, node long, links long, root long")
+    return dealt.select(columns).mapInArrow(search, LINKS)
 
 
-def searched(points: DataFrame, size: int, overlap: int, least: float) -> DataFrame:
-    """All links between points, as sums and forests."""
-    homes = keep(sharded(points, centres(points, size, overlap), overlap), "vector-homes")
+def searched(points: DataFrame, size: int, overlap: int | None, least: float) -> DataFrame:
+    """All links between points, as sums and forests; without overlap by comparing all of them."""
+    middle = centres(points, size, overlap or 1)
+    homes = keep(sharded(points, middle if overlap else middle[:1], overlap or 1), "vector-homes")
     placed = homes.select("key", F.explode("shards").alias("shard"))
     slices = placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_POINTS).cast("int").alias("slices"))
     members = homes.withColumn("shard", F.explode("shards")).join(slices, "shard")
     members = members.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    lists = keep(adjacency(members), "vector-graph")
+    if overlap:
+        members = members.join(keep(adjacency(members), "vector-graph"), "key")
+    else:
+        members = members.withColumn("neighbours", F.array().cast("array<long>"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda k: F.struct(F.least(k, "slice").alias("x"), F.greatest(k, "slice").alias("y")),
     )
     dealt = (
-        members.join(lists, "key")
-        .withColumn("pair", F.explode(pairs))
+        members.withColumn("pair", F.explode(pairs))
         .withColumn("grp", F.xxhash64("shard", "pair.x", "pair.y"))
         .withColumn("inner", F.expr("pair.x = pair.y"))
         .withColumn("is_left", F.expr("slice = pair.x"))
@@ -226,11 +249,11 @@ def searched(points: DataFrame, size: int, overlap: int, least: float) -> DataFr
         .repartition(shuffle_width(points.sparkSession), "grp")
         .sortWithinPartitions("grp", "key")
     )
-    return keep(links_of(dealt, least), "vector-links")
+    return keep(links_of(dealt, least, not overlap), "vector-links")
 
 
 def exact_links(points: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """Links of a bounded set of points by comparison with all others, in blocks."""
+    """Near points of a bounded set of points by comparison with all others, in blocks."""
     asked = queries.select("key", "embedding").toArrow()
     ids, vectors = asked["key"].to_numpy(), matrix(asked["embedding"])
     sent = points.sparkSession.sparkContext.broadcast((ids, unit(vectors) if len(ids) else vectors))
@@ -241,21 +264,55 @@ def exact_links(points: DataFrame, queries: DataFrame, least: float) -> DataFram
             if batch.num_rows and len(ids):
                 linked = (vectors @ unit(matrix(batch["embedding"])).T >= least) & (ids[:, None] != batch["key"].to_numpy())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(linked @ batch["copies"].to_numpy())], names=["key", "true_links"]
+                    [pa.array(ids), pa.array(linked.sum(axis=1))], names=["key", "true_near"]
                 )
 
-    found = points.select("key", "copies", "embedding").mapInArrow(compare, "key long, true_links long")
-    return found.groupBy("key").agg(F.sum("true_links").alias("true_links"))
+    found = points.select("key", "embedding").mapInArrow(compare, "key long, true_near long")
+    return found.groupBy("key").agg(F.sum("true_near").alias("true_near")).filter("true_near > 0")
+
 
+def drawn(points: DataFrame, size: int, number: int) -> DataFrame:
+    """About that many points, drawn by hash; all of them if there are no more."""
+    share = min(1 << 40, (1 << 40) * number // max(size, 1))
+    return points.filter(F.pmod(F.xxhash64("key", F.lit("audit")), F.lit(1 << 40)) < share)
 
-def recall(points: DataFrame, size: int, links: DataFrame, least: float) -> float:
-    """The share of the links of a bounded sample of points that the search found."""
-    share = min(1 << 40, (1 << 40) * AUDITED // max(size, 1))
-    asked = points.filter(F.pmod(F.xxhash64("key", F.lit("audit")), F.lit(1 << 40)) < share)
-    found = links.groupBy("key").agg(F.sum("links").alias("links"))
-    both = exact_links(points, asked, least).join(found, "key", "left")
-    sums = both.agg(F.sum("true_links"), F.sum(F.least("links", "true_links"))).first()
-    return (sums[1] or 0) / sums[0] if sums[0] else 1.0
+
+def planted(points: DataFrame, size: int, least: float) -> DataFrame:
+    """New points without copies, each near one that was drawn, at any cosine from ``least`` to 1."""
+    rng = np.random.default_rng(1)
+    beside = unit(matrix(drawn(points, size, AUDITED).select("key", "embedding").toArrow().sort_by("key")["embedding"]))
+    aside = rng.normal(size=beside.shape)
+    aside -= (aside * beside).sum(axis=1, keepdims=True) * beside
+    aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-300)
+    cosine = rng.uniform(least + 1e-5, 1 - 1e-5, (len(beside), 1))
+    vectors = (cosine * beside + np.sqrt(1 - cosine * cosine) * aside).astype(np.float32)
+    kind = dict(points.dtypes)["embedding"]
+    made = points.sparkSession.createDataFrame([(v,) for v in vectors.tolist()], f"embedding {kind}")
+    made = made.select(F.xxhash64("embedding").alias("key"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), "embedding")
+    made = made.dropDuplicates(["key"])
+    known = [r["key"] for r in made.select("key").collect()]
+    taken = [r["key"] for r in points.filter(F.col("key").isin(known)).select("key").collect()]
+    return made.filter(~F.col("key").isin(taken))
+
+
+def recall(points: DataFrame, extra: DataFrame, size: int, links: DataFrame, least: float) -> float:
+    """The share of near points found, per point; the lower of planted points and points drawn."""
+    found = links.groupBy("key").agg(F.sum("near").alias("near"))
+
+    def audit(asked: DataFrame) -> tuple[int, float]:
+        both = exact_links(points, asked, least).join(found, "key", "left")
+        share = F.least(F.coalesce("near", F.lit(0)), F.col("true_near")) / F.col("true_near")
+        number, mean = both.agg(F.count("*"), F.avg(share)).first()
+        return number, 1.0 if mean is None else mean
+
+    number = AUDITED
+    linked, real = audit(drawn(points, size, number))
+    while linked < LINKED and number < min(size, MOST_AUDITED):
+        number *= 4
+        linked, real = audit(drawn(points, size, number))
+    beside, made = audit(extra)
+    log.info("recall %.4f of %d points with links among %d drawn, %.4f of %d planted", real, linked, number, made, beside)
+    return min(real, made)
 
 
 def vector_links(table: DataFrame, least: float = COSINE) -> DataFrame:
@@ -264,13 +321,17 @@ def vector_links(table: DataFrame, least: float = COSINE) -> DataFrame:
     found = []
     for length, size in sorted(points.groupBy(F.size("embedding")).count().collect()):
         part = points.filter(F.size("embedding") == length)
+        extra = keep(planted(part, size, least), "vector-planted")
         for overlap in OVERLAPS:
-            links = searched(part, size, overlap, least)
-            if recall(part, size, links, least) >= TARGET_RECALL:
+            links = searched(part.unionByName(extra), size, overlap, least)
+            if recall(part, extra, size, links, least) >= TARGET_RECALL:
                 break
-        found.append(links)
+        else:
+            log.warning("recall below %.2f at overlap %d; all points are compared", TARGET_RECALL, overlap)
+            links = searched(part, size, None, least)
+        found.append(links.filter("not planted"))
     if not found:
-        found.append(points.sparkSession.createDataFrame([], "key long, node long, links long, root long"))
+        found.append(points.sparkSession.createDataFrame([], LINKS))
     links = reduce(DataFrame.unionByName, found)
     near = links.groupBy("key").agg(F.sum("links").alias("near"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -56,6 +56,23 @@ def test_like_brute_force(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(found, expected, strict=True))
 
 
+def test_missed_pairs_are_noticed_where_pairs_are_rare(spark, monkeypatch, caplog):
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 24)).astype(np.float32).tolist())]
+    rows += [(3000 + i, [x * 1.01 + 0.01 for x in rows[i][1]]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    search = embeddings.links_of
+
+    def lossy(dealt, least, exact_search=False):
+        return search(dealt, least, exact_search) if exact_search else search(dealt, least).filter("false")
+
+    monkeypatch.setattr(embeddings, "links_of", lossy)
+    with caplog.at_level("WARNING", logger=embeddings.__name__):
+        found = sorted(map(tuple, embeddings.vector_links(df).collect()), key=str)
+    assert found == brute(rows) and sum(r[1] for r in found) == 6
+    assert "all points are compared" in caplog.text
+
+
 def test_search_on_one_graph():
     rng = np.random.default_rng(3)
     points = embeddings.unit(np.repeat(rng.normal(size=(60, 32)), 10, axis=0) + rng.normal(size=(600, 32)) * 0.1).astype(np.float32)
