@@ -1,21 +1,23 @@
 """Benchmark items in documents, by edit distance.
 
-Texts are lower-cased and runs of anything but letters and digits become one space; letters beyond
-ASCII keep their UTF-8 bytes. An item is found where some stretch of a document is within
+Texts are lower-cased and runs of anything but letters and digits become one space, in all scripts;
+letters beyond ASCII keep their UTF-8 bytes. An item is found where some stretch of a document is within
 ``max_distance`` edits per byte of it.
 
 A random walk reads a window: at each step it notes the byte it stands on and, as a random
 table says for that step and byte, moves on or stays. Two windows a few edits apart fall into
 step again after each edit, so their notes differ in few places. Bits of the notes are sampled
 into a key, and equal keys make candidates. Windows start at every word of a document and of
-an item, so an item is met from many of its words, and it takes one of these to pass. Windows are
+an item, in scripts from U+0800 on, many of which have no blanks, and behind ``LONG`` bytes without a
+blank at every letter, so an item is met from many of its words, and it takes one of these to pass. Windows are
 shorter than items: most are torn by edits at the accepted distance, and short ones stay whole more
 often. ``CLASSES`` gives the walks by length of item, as many as measured recall at
 ``TARGET_DISTANCE`` asks for: ``expected_recall`` gives it by trial. A candidate with too few grams of
 the item near their places cannot be within reach; every other is verified by exact edit distance.
 
 Items are spread to the tasks in blocks of bounded size, one pass over the documents per block.
-Items of fewer than ``SHORT`` bytes cannot fill a key; they are found verbatim, as whole words.
+Items of fewer than ``SHORT`` bytes cannot fill a key; they are found verbatim, as whole words;
+beside a letter of a script without blanks none is asked for.
 
 Null and empty texts contain nothing, null and empty items are nowhere. Rows that repeat a
 document id count as one document; null ids make a row of their own. Empty tables give no rows.
@@ -23,6 +25,9 @@ document id count as one document; null ids make a row of their own. Empty table
 
 from __future__ import annotations
 
+import sys
+import types
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +42,11 @@ MAX_DISTANCE = TARGET_DISTANCE = 0.2
 #: Items below so many bytes, with so many walks of so many steps and samples; by measured recall.
 CLASSES = ((64, 48, 12, 9), (160, 16, 20, 13), (1 << 60, 8, 28, 16))
 STEPS = max(steps for _, _, steps, _ in CLASSES)
-SHORT, GRAM = 32, 3
+SHORT, GRAM, LONG = 32, 3, 32
+#: The lead byte of U+0800, the first of three bytes.
+UNSPACED = 0xE0
+#: Thai to Tibetan, Burmese, Khmer, Chinese and Japanese.
+NO_BLANKS = ((0xE00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 32 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -66,9 +75,38 @@ def _walks(walks: int, steps: int, samples: int) -> list[tuple[np.ndarray, np.nd
 WALKS = [_walks(*kind) for _, *kind in CLASSES]
 
 
+def separators() -> np.ndarray:
+    """Of each code point beyond ASCII whether it is blank: not letter, mark or digit."""
+    memory = sys.modules.setdefault("docsnap_separators", types.ModuleType("docsnap_separators"))
+    if not hasattr(memory, "table"):
+        memory.table = _separators()
+    return memory.table
+
+
+def _separators() -> np.ndarray:
+    return np.array([k > 127 and unicodedata.category(chr(k))[0] in "ZPSC" for k in range(0x110000)])
+
+
+def blanked(data: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes with separators beyond ASCII as blanks."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return data
+    length = 2 + (data[lead] >= UNSPACED) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> length)
+    for k in range(1, 4):
+        more = length > k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+    blank = separators()[code]
+    data = data.copy()
+    for k in range(4):
+        data[lead[blank & (length > k)] + k] = 32
+    return data
+
+
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Plain bytes with single spaces, and the offsets of the texts in them."""
-    plain = PLAIN[data]
+    plain = PLAIN[blanked(data)]
     keep = plain != 32
     keep[1:] |= plain[:-1] != 32
     inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -108,7 +146,14 @@ def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first[1:] &= ~word[:-1]
     inner = offsets[offsets < len(text)]
     first[inner] = word[inner]
-    return np.flatnonzero(first)
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(text)), 0))
+    inside = (np.arange(len(text)) - begin >= LONG) & ((text & 0xC0) != 0x80)
+    return np.flatnonzero(first | word & (inside | (text >= UNSPACED)))
+
+
+def spaced(letter: str) -> bool:
+    """Whether words of this letter's script have blanks around them."""
+    return not any(low <= ord(letter) <= high for low, high in NO_BLANKS)
 
 
 def least_edits(item: bytes, masks: dict[int, int], text: bytes) -> int:
@@ -140,7 +185,7 @@ class Items:
     def __init__(self, rows: list[tuple], max_distance: float) -> None:
         texts = [(i, plain_text(t)) for i, t in rows if t]
         self.items = [(i, t) for i, t in texts if len(t) >= SHORT]
-        self.short = [(i, b" " + t + b" ") for i, t in texts if 0 < len(t) < SHORT]
+        self.short = [(i, b" " * spaced(t.decode()[0]) + t + b" " * spaced(t.decode()[-1])) for i, t in texts if 0 < len(t) < SHORT]
         self.most = [int(max_distance * len(t)) for _, t in self.items]
         self.masks = []
         for _, text in self.items:

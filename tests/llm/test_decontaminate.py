@@ -124,6 +124,17 @@ def test_verbatim_item_behind_any_number_of_words(item, before):
     assert list(block.matches(D.pa.array([text]))) == [(0, 1, 0)]
 
 
+def test_texts_without_blanks():
+    item = "下列哪一种语言没有空格也能被正确地找到"
+    block = D.Items([(1, item), (2, "短句子")], D.MAX_DISTANCE)
+    texts = ["我们先说几句别的话" + item + "然后继续", "前面，" + item + "。后面", "这里有短句子在中间", "没有关系的一段文字而已"]
+    assert set(block.matches(D.pa.array(texts))) == {(0, 1, 0), (1, 1, 0), (2, 2, 0)}
+    block = D.Items([(1, "下列哪一种语言，没有空格也能被正确地找到")], D.MAX_DISTANCE)
+    assert set(block.matches(D.pa.array(["下列哪一种语言 没有空格也能被正确地找到"]))) == {(0, 1, 0)}
+    item = "abcdefghijklmnopqrstuvwxyz0123456789abc"
+    assert set(D.Items([(1, item)], 0.2).matches(D.pa.array(["x" * 50 + item]))) == {(0, 1, 0)}
+
+
 @pytest.mark.parametrize("side", [0, 1])
 def test_empty_tables(spark, side):
     docs, items = corpus()
