@@ -4,11 +4,11 @@ Texts are lower-cased and everything but letters becomes single spaces. The kern
 the number of distinct 1-, 2- and 3-grams that they share, divided by the root of the product of
 their own numbers: a blended spectrum of presence. Landmark texts span the feature space
 (Nyström); one ridge regression per language, against all others, is solved in it. Scoring is two
-matrix products per batch: presence of the landmarks' grams by landmarks, and kernels by weights.
+matrix products per piece: presence of the landmarks' grams in it by landmarks, and kernels by weights.
 
 The model is fitted on a bounded sample of the labelled rows, ``SAMPLE`` texts spread alike over at
-most as many languages, drawn by hash of the id; every gram of a whole text counts. Grams are over the
-``ALPHABET`` most frequent letters of the sample; any other letter is one symbol of its own.
+most as many languages, drawn by hash of the id; every gram of a whole text counts. Grams are of
+code points, so letters of all scripts are told apart.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does every text where nothing
 could be learned. Rows with null id are scored, never learned from. Repeated rows are scored
@@ -29,7 +29,8 @@ from docsnap.llm.common import keep, parts, remembered, text_pieces
 UNKNOWN = "und"
 SAMPLE, LANDMARKS = 1_200, 128
 RIDGE, FLOOR = 1e-3, 1e-6
-ALPHABET = 96
+#: Every code point is a symbol of its own.
+ALPHABET = 0x110000
 PIECE_BYTES = 1 << 18
 FOLDS = 5
 
@@ -65,14 +66,17 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def exact_grams(text: np.ndarray) -> np.ndarray:
-    """The distinct grams of one folded text, three code points to a number."""
-    text = text.astype(np.int64)
-    two = text[:-1] | text[1:] << 21
-    return np.unique(np.concatenate([text, two, two[:-1] | text[2:] << 42]))
+    """The distinct grams of one folded text in order, up to three code points to a number."""
+    width = ALPHABET + 2
+    one = text.astype(np.int64)
+    two = one[:-1] + width * (one[1:] + 1)
+    found = np.concatenate([one, two, two[:-1] + width * (width + 1) * (one[2:] + 1)])
+    found.sort()
+    return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
 class Model:
-    """What is learned: alphabet, columns, landmarks and weights; small enough to send along."""
+    """What is learned: columns, landmarks as bits, and weights; small enough to send along."""
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -84,25 +88,14 @@ class Model:
     def __init__(self, languages: list[str], grams: list[np.ndarray]) -> None:
         """``grams`` are the distinct grams of the sample texts, languages[i] that of text i."""
         self.names = sorted(set(languages))
-        singles, counts = np.unique(np.concatenate([g[g < 1 << 21] for g in grams]), return_counts=True)
-        self.alphabet = self._common(singles, counts)
-        table = self.symbols()
-        width = ALPHABET + 2
-        slots = []
-        for g in grams:
-            a, b, c = g & 0x1FFFFF, g >> 21 & 0x1FFFFF, g >> 42
-            code = table[a] + width * np.where(b > 0, table[b] + 1, 0) + width * (width + 1) * np.where(c > 0, table[c] + 1, 0)
-            slots.append(np.unique(code))
         chosen = self._landmarks(languages)
-        self.columns = np.unique(np.concatenate([slots[i] for i in chosen]))
-        presence = np.zeros((len(grams), len(self.columns)), np.float32)
-        for row, found in enumerate(slots):
-            at = np.searchsorted(self.columns, found)
-            at[at == len(self.columns)] = 0
-            presence[row, at[self.columns[at] == found]] = 1
-        own = np.array([len(s) for s in slots], np.float32)
-        self.landmarks = (presence[chosen] / np.sqrt(own[chosen])[:, None]).T.copy()
-        kernel = self.kernel(presence, own).astype(np.float64)
+        self.columns = np.unique(np.concatenate([grams[i] for i in chosen]))
+        present = np.zeros((len(self.columns), len(chosen)), bool)
+        for k, i in enumerate(chosen):
+            present[np.searchsorted(self.columns, grams[i]), k] = True
+        self.landmarks = np.packbits(present, axis=1)
+        self.sizes = np.array([len(grams[i]) for i in chosen], np.float32)
+        kernel = np.concatenate([self.kernels(grams[k : k + 50]) for k in range(0, len(grams), 50)]).astype(np.float64)
         values, vectors = np.linalg.eigh(kernel[chosen])
         keep = values > FLOOR * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
@@ -111,47 +104,39 @@ class Model:
         gram = features.T @ features + RIDGE * len(grams) * np.eye(features.shape[1])
         self.weights = (root @ np.linalg.solve(gram, features.T @ target)).astype(np.float32)
 
-    @staticmethod
-    def _common(singles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        order = np.lexsort((singles, -counts))
-        return np.sort(singles[order][singles[order] != 32][:ALPHABET])
-
     def _landmarks(self, languages: list[str]) -> list[int]:
         """As many texts of each language as there is room for, in the order of the sample."""
         each = max(1, LANDMARKS // len(self.names))
         of = {name: [i for i, x in enumerate(languages) if x == name][:each] for name in self.names}
         return sorted(i for rows in of.values() for i in rows)
 
-    def symbols(self) -> np.ndarray:
-        table = np.full(0x110000, ALPHABET + 1, np.int32)
-        table[32] = 0
-        table[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
-        return table
-
-    def kernel(self, presence: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return (presence @ self.landmarks) / np.sqrt(np.maximum(own, 1))[:, None]
+    @staticmethod
+    def symbols() -> np.ndarray:
+        return np.arange(ALPHABET)
+
+    def kernel(self, presence: np.ndarray, own: np.ndarray, columns=slice(None)) -> np.ndarray:
+        """Kernels with the landmarks; ``presence`` is of those columns, ``own`` the numbers of grams."""
+        bits = np.unpackbits(self.landmarks[columns], axis=1, count=len(self.sizes)).astype(np.float32)
+        return (presence @ bits) / np.sqrt(self.sizes) / np.sqrt(np.maximum(own, 1))[:, None]
+
+    def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The same for sets of grams, over no more columns than occur in them."""
+        places = []
+        for found in sets:
+            at = np.minimum(np.searchsorted(self.columns, found), len(self.columns) - 1)
+            places.append(at[self.columns[at] == found])
+        used = np.unique(np.concatenate(places))
+        presence = np.zeros((len(sets), len(used)), np.float32)
+        for row, at in enumerate(places):
+            presence[row, np.searchsorted(used, at)] = 1
+        return self.kernel(presence, np.array([len(s) for s in sets], np.float32), used)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        table, width = self.symbols(), ALPHABET + 2
-        step = width * (width + 1)
-        seen = np.zeros(step * (width + 1), bool)
         names, scores = [], []
         for _, _, data, offsets in text_pieces(column, PIECE_BYTES):
             text, bounds = folded(data, offsets)
-            one = table[text]
-            two = one[:-1] + width * (one[1:] + 1)
-            three = two[:-1] + step * (one[2:] + 1)
-            presence = np.empty((len(bounds) - 1, len(self.columns)), np.float32)
-            own = np.empty(len(bounds) - 1, np.float32)
-            for row, (start, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                parts = one[start:end], two[start : max(start, end - 1)], three[start : max(start, end - 2)]
-                for part in parts:
-                    seen[part] = True
-                presence[row] = seen[self.columns]
-                own[row] = np.count_nonzero(seen)
-                for part in parts:
-                    seen[part] = False
-            values = self.kernel(presence, own) @ self.weights
+            sets = [exact_grams(text[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            values = self.kernels(sets) @ self.weights
             best = values.argmax(axis=1)
             letter = np.diff(np.concatenate(([0], np.cumsum(text != 32)))[bounds]) > 0
             names += [self.names[b] if x else UNKNOWN for b, x in zip(best.tolist(), letter.tolist(), strict=True)]

@@ -66,6 +66,18 @@ def test_odd_rows(spark):
     assert {500, 501, 502}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_many_scripts_at_once():
+    rng = random.Random(3)
+    starts = {"l": 0x61, "r": 0x430, "g": 0x3B1, "h": 0x5D0, "t": 0xE01, "d": 0x905, "k": 0x3042, "z": 0x4E00, "y": 0x5200, "o": 0xAC00}
+
+    def text(name):
+        return " ".join("".join(chr(starts[name] + rng.randrange(24)) for _ in range(rng.randrange(2, 7))) for _ in range(30))
+
+    names = [n for n in starts for _ in range(12)]
+    model = language.Model(names, [language.exact_grams(folded(text(n))) for n in names])
+    assert model.predict(pa.array([text(n) for n in names]))[0] == names
+
+
 def test_pieces_do_not_matter(monkeypatch):
     rng = random.Random(9)
     texts = [words(rng, n, rng.randrange(1, 40)) for n in ALPHABETS for _ in range(20)]
