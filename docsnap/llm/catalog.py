@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docsnap.llm import chat, decontaminate, embeddings, language, mixing, ngram_join, personal, quality, records, substrings
+from docsnap.llm import chat, decontaminate, dialogues, embeddings, language, lexical, mixing
+from docsnap.llm import ngram_join, personal, quality, records, substrings, subtrees
 from docsnap.llm.common import table
 
 
@@ -46,9 +47,45 @@ def op10_token_records(spark, folder):
     return records.token_records(table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark, folder):
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_substring_dedup(spark, folder):
+    return subtrees.without_earlier(table(spark, folder, "documents"))
+
+
+def op13_conversation_trie(spark, folder):
+    return dialogues.conversation_trie(table(spark, folder, "conversations"))
+
+
+QUERIES = (
+    op1_language,
+    op2_mixing,
+    op3_suffix_dedup,
+    op4_personal_data,
+    op5_decontaminate,
+    op6_quality,
+    op7_chat_format,
+    op8_ngram_join,
+    op9_embeddings,
+    op10_token_records,
+    op11_lexical_search,
+    op12_substring_dedup,
+    op13_conversation_trie,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_suffix_dedup, op4_personal_data, op5_decontaminate, op6_quality, op7_chat_format, op8_ngram_join, op9_embeddings, op10_token_records)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_ngram_join": ngram_join.SQL}
+    return {
+        "op2_mixing": mixing.SQL,
+        "op7_chat_format": chat.SQL,
+        "op8_ngram_join": ngram_join.SQL,
+        "op11_lexical_search": lexical.SQL,
+        "op12_substring_dedup": subtrees.SQL,
+        "op13_conversation_trie": dialogues.SQL,
+    }
