@@ -2,7 +2,7 @@
 
 A word window is the first ``LENGTH`` words of a suffix. Of every window the ``GRAM`` words of
 smallest hash are its anchor; equal windows have theirs at the same place, and neighbours mostly
-share one, so there is an anchor for every fifth word. Windows of one anchor are a stretch. Only
+share one, so there is an anchor for every fourth or fifth word. Windows of one anchor are a stretch. Only
 anchors whose gram occurs in several documents go on. Stretches that are equal as a whole count as
 one, that of the smallest document; all others of them repeat it.
 
@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsnap.llm.common import discard, keep, mix, release, runs, shuffle_width, text_pieces
+from docsnap.llm.common import discard, keep_lean, mix, release, shuffle_width, text_pieces
 from docsnap.llm.substrings import sliding
 from docsnap.llm.words import PLACE, powers, word_hashes
 
-LENGTH, GRAM = 13, 4
+LENGTH, GRAM = 13, 5
 REACH = LENGTH - GRAM + 1
 GROUP = 20_000
-LEVELS = (1, 2, 4, 8)
+LEVELS = (3, 6, 9)
 LONG = 64
 PIECE_BYTES = 1 << 19
 BLOCK_WORDS = 1 << 17
@@ -50,8 +50,10 @@ def rank_of(doc_id: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``d``, the rank of the id, and ``r``, which tells texts of one id apart."""
-    return docs.select("doc_id", "text", rank_of(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("r"))
+    """The documents with ``d``, the rank of the id, and ``r``, 29 bits that tell texts of one id apart."""
+    return docs.select(
+        "doc_id", "text", rank_of(F.col("doc_id")).alias("d"), F.shiftrightunsigned(F.xxhash64("text"), 35).alias("r")
+    )
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,29 +102,39 @@ def stretches(words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarra
         yield of, low + begin - bounds[of], count, grams[anchor], prints
 
 
-def packed(low: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return low << 8 | count
+def packed(text: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What tells the text, the first window (texts end at 2**31 bytes) and the number of windows, in 63 bits."""
+    return text << 34 | low << 4 | count
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window and the number of windows."""
+    return at >> 4 & (1 << 30) - 1, at & 15
+
+
+def text_of(at: Column) -> Column:
+    return F.shiftright(at, 34)
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """One row per stretch: gram, fingerprint, document, first window and number of windows."""
+    """One row per stretch: gram, fingerprint, document, and text, first window and number of windows in one."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in text_pieces(batch["text"], PIECE_BYTES):
+            texts = batch["r"].to_numpy()
+            for row, _, data, offsets in text_pieces(batch["text"], PIECE_BYTES):
                 words, bounds = hashed_words(data, offsets)
                 for of, low, count, grams, prints in stretches(words, bounds):
-                    at = pa.array(of + row)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(grams.view(np.int64)), pa.array(prints.view(np.int64)),
-                            batch["d"].take(at), batch["r"].take(at), pa.array(packed(low, count)),
+                            batch["d"].take(pa.array(of + row)), pa.array(packed(texts[of + row], low, count)),
                         ],
-                        names=["g", "fp", "d", "r", "at"],
+                        names=["g", "fp", "d", "at"],
                     )
         release()
 
-    return rows.select("d", "r", "text").mapInArrow(find, "g long, fp long, d long, r long, at long")
+    return rows.select("d", "r", "text").mapInArrow(find, "g long, fp long, d long, at long")
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                 words = [w if len(w) <= LONG else b"\0" + hashlib.sha256(w).hexdigest().encode() for w in words]
                 wanted = batch["wanted"][k].values
                 places = wanted.field("at").to_numpy(zero_copy_only=False)
-                low, count = places >> 8, places & 255
+                low, count = unpacked(places)
                 of = np.repeat(np.arange(len(low)), count)
                 number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                 start = (low[of] + number).tolist()
@@ -166,7 +178,7 @@ def grouped(suffixes: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None
     parts, rest = [], suffixes
     for words in (*LEVELS, LENGTH):
         rest = rest.withColumn("group", prefix_key(words))
-        heavy = keep(rest.groupBy("group").count().filter(F.col("count") > most).select("group"), "prefixes")
+        heavy = keep_lean(rest.groupBy("group").count().filter(F.col("count") > most).select("group"), "prefixes")
         if heavy.isEmpty():
             return reduce(DataFrame.unionByName, [*parts, rest]), None
         parts.append(rest.join(heavy, "group", "left_anti"))
@@ -196,41 +208,51 @@ class Subtree:
         return first[inner], end[inner]
 
 
-def _groups(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Whole groups, small ones together."""
-    held, rows = [], 0
-    for table in runs(batches, "group"):
-        if table.num_rows > 1:
-            held.append(table)
-            rows += table.num_rows
-        if rows >= most:
-            yield pa.concat_tables(held)
-            held, rows = [], 0
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows a batch at a time, but for a last group that the next batch may go on with."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        groups = batch["group"].to_numpy()
+        if not len(groups):
+            continue
+        cut = int(np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))[-1])
+        if cut or (held and held[-1]["group"][-1].as_py() != groups[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield pa.concat_tables(held)
+        yield pa.Table.from_batches(held)
 
 
 MARKS = "g long, fp long, j int"
 
 
-def _settled(groups: DataFrame, most: int) -> DataFrame:
+def _settled(groups: DataFrame) -> DataFrame:
     """The windows of kinds of stretches that a smaller document holds, from subtrees."""
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, most):
+        for table in _whole_groups(batches):
             texts = table["suffix"].combine_chunks().cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             hashes, _ = word_hashes(data, offsets - offsets[0])
-            tree = Subtree(hashes.reshape(-1, LENGTH))
-            documents = table["d"].to_numpy()[tree.order]
+            words = hashes.reshape(-1, LENGTH)
+            # A suffix whose first words have no twin is a leaf of its own above the depth asked for.
+            whole = mix((words * PLACE[:LENGTH]).sum(axis=1, dtype=np.uint64))
+            order = np.argsort(whole, kind="stable")
+            same = whole[order[1:]] == whole[order[:-1]]
+            twin = np.zeros(len(order), bool)
+            twin[order[1:][same]] = twin[order[:-1][same]] = True
+            rows = np.flatnonzero(twin)
+            tree = Subtree(words[rows])
+            documents = table["d"].to_numpy()[rows[tree.order]]
             first, end = tree.nodes(LENGTH)
             if not len(first):
                 continue
             sizes = end - first
             inside = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             least = np.repeat(np.minimum.reduceat(documents[inside], np.cumsum(sizes) - sizes), sizes)
-            later = pa.array(tree.order[inside[documents[inside] > least]])
+            later = pa.array(rows[tree.order[inside[documents[inside] > least]]])
             yield from table.select(["g", "fp", "j"]).take(later).to_batches()
         release()
 
@@ -247,30 +269,30 @@ def _minima(suffixes: DataFrame) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, most: int = GROUP) -> DataFrame:
     """``d``, ``r``, ``low``, ``high``: runs of windows (word numbers, end exclusive) that repeat."""
-    every = keep(anchor_rows(rows), "word-anchors")
+    every = keep_lean(anchor_rows(rows), "word-anchors")
     several = every.groupBy("g").agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least < most")
     # Written, so that the join below may split a gram of very many anchors.
-    again = keep(several.select("g"), "word-grams")
-    shared = keep(every.join(again, "g", "left_semi"), "word-stretches")
+    again = keep_lean(several.select("g"), "word-grams")
+    shared = keep_lean(every.join(again, "g", "left_semi"), "word-stretches")
     discard(every)
-    kinds = keep(
+    kinds = keep_lean(
         shared.groupBy("g", "fp").agg(
-            F.min(F.struct("d", "r", "at")).alias("one"), F.max("d").alias("last")
+            F.min(F.struct("d", "at")).alias("one"), F.max("d").alias("last")
         ),
         "word-kinds",
     )
     open_grams = kinds.groupBy("g").agg(F.min("one.d").alias("least"), F.max("one.d").alias("most"))
-    open_grams = keep(open_grams.filter("least < most").select("g"), "open-grams")
+    open_grams = keep_lean(open_grams.filter("least < most").select("g"), "open-grams")
     wanted = (
         kinds.join(open_grams, "g", "left_semi")
-        .select("one.d", "one.r", F.struct("g", "fp", "one.at").alias("w"))
+        .select("one.d", text_of(F.col("one.at")).alias("r"), F.struct("g", "fp", "one.at").alias("w"))
         .groupBy("d", "r")
         .agg(F.collect_list("w").alias("wanted"))
     )
     texts = rows.join(wanted, ["d", "r"]).dropDuplicates(["d", "r"])
-    suffixes = keep(_suffixes(texts), "suffixes")
+    suffixes = keep_lean(_suffixes(texts), "suffixes")
     small, large = grouped(suffixes, most)
-    marks = _settled(small, most)
+    marks = _settled(small)
     if large is not None:
         marks = marks.unionByName(_minima(large))
     bits = marks.groupBy("g", "fp").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
@@ -280,11 +302,12 @@ def repeated_windows(rows: DataFrame, most: int = GROUP) -> DataFrame:
         .filter("last > least or mask is not null")
         .select("g", "fp", "least", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     )
-    known = keep(known, "known-kinds")
-    whole = F.expr("shiftleft(1L, cast(at & 255L as int)) - 1L")
+    known = keep_lean(known, "known-kinds")
+    whole = F.expr("shiftleft(1L, cast(at & 15L as int)) - 1L")
+    low = F.shiftright("at", 4).bitwiseAND((1 << 30) - 1)
     return (
         shared.join(known, ["g", "fp"])
-        .select("d", "r", F.shiftright("at", 8).alias("low"), F.when(F.col("d") > F.col("least"), whole).otherwise(F.col("mask")).alias("mask"))
+        .select("d", text_of(F.col("at")).alias("r"), low.alias("low"), F.when(F.col("d") > F.col("least"), whole).otherwise(F.col("mask")).alias("mask"))
         .filter("mask <> 0")
     )
 
@@ -325,7 +348,7 @@ def without_earlier(docs: DataFrame, most: int = GROUP) -> DataFrame:
     rows = keyed(docs)
     found = repeated_windows(rows, most)
     windows = found.groupBy("d", "r").agg(F.collect_list(F.struct("low", "mask")).alias("windows"))
-    windows = keep(windows, "repeated-windows")
+    windows = keep_lean(windows, "repeated-windows")
     return _cut(rows.join(windows, ["d", "r"], "left"), dict(docs.dtypes)["doc_id"])
 
 
