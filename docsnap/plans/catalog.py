@@ -21,11 +21,16 @@ from docsnap.operators.position import with_position
 from docsnap.operators.uploads import build_uploads
 from docsnap.options import CrawlOptions
 from docsnap.functions.paths import walk_order
-from docsnap.plans import derived
+from docsnap.plans import derived, trees
 from docsnap.plans.crawl import crawl, next_snapshot
 from docsnap.plans.store import DocumentStore
 from docsnap.session import materialised, shared_folder, spread
-from docsnap.streaming.events import follow_events
+from docsnap.schema import TEXT_KEY
+from docsnap.sources.content import read_and_extract
+from docsnap.sources.storage import list_storage, storage_listing
+from docsnap.sources.tree import list_names, with_stats
+from docsnap.streaming.events import crawl_then_follow, follow_events
+from docsnap.streaming.recrawl import recrawl
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -582,22 +587,161 @@ def event_stream_state(spark, folder):
     return store.documents().select("_index", "_id", "content")
 
 
-def _follow(spark, folder, store: DocumentStore) -> None:
-    schema = derived.table(spark, folder, "events").schema
-    # As a pattern the path may name a single file as well as a folder of files.
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
-
+def _event_load(fails: str):
     def load(paths: DataFrame) -> DataFrame:
-        return paths.select(
+        return paths.withColumn("user_id", F.regexp_extract("path", "u([0-9]+)", 1).cast("long")).select(
             "path",
             F.lit(0).alias("length"),
             F.lit(None).cast("double").alias("mtime"),
             F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>").alias("metadata"),
             F.array(F.concat(F.lit(" content of "), "path")).alias("text"),
-            F.lit(None).cast("string").alias("error"),
+            F.expr(f"if({fails}, 'unreadable', null)").alias("error"),
         )
 
+    return load
+
+
+def _follow(spark, folder, store: DocumentStore, fails: str = "false") -> None:
+    schema = derived.table(spark, folder, "events").schema
+    # As a pattern the path may name a single file as well as a folder of files.
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+
     follow_events(
         derived.events_from(rows), store, OPTIONS, f"{store.location}/checkpoint",
-        load=load, pauses=derived.pauses(spark, folder), trigger={"availableNow": True},
+        load=_event_load(fails), pauses=derived.pauses(spark, folder), trigger={"availableNow": True},
     ).awaitTermination()
+
+
+# -- trees of files ------------------------------------------------------------------------------
+
+
+def _below(root: str, path: str = "path") -> Column:
+    return F.substring(F.col(path), len(root) + 2, 1 << 20).alias("path")
+
+
+@query
+def tree_listing(spark, folder):
+    """Files and directories of a tree, by the data source; few directories a task, so in rounds."""
+    root = trees.written_tree(spark, folder)
+    return list_storage(spark, root, most=3).select(_below(root), "is_dir", "length")
+
+
+@query
+def tree_names(spark, folder):
+    """The same by level, with sizes looked up after a name pattern."""
+    root = trees.written_tree(spark, folder)
+    options = CrawlOptions(root=root, excludes=EXCLUDES)
+    names = list_names(spark, root).filter("not is_dir")
+    return filters.eligible_files(with_stats(names.select("path")), options).select(_below(root), "length")
+
+
+@query
+def tree_links(spark, folder):
+    """Links are followed, but not back up; what they name is listed under their names."""
+    root = trees.written_tree(spark, folder, links=True)
+    listed = list_storage(spark, root, follow_symlinks=True).filter("not is_dir")
+    return listed.select(_below(root)).groupBy(F.col("path").endswith("a_link.txt").alias("link")).agg(
+        F.count("*").alias("files")
+    )
+
+
+@query
+def tree_without_links(spark, folder):
+    root = trees.written_tree(spark, folder, links=True)
+    return list_names(spark, root).select(_below(root), "is_dir", "is_symlink")
+
+
+@query
+def vanished_files(spark, folder):
+    """Files that go between the listing and the look at their sizes drop out without an error."""
+    root = trees.written_tree(spark, folder)
+    names = list_names(spark, root).filter("not is_dir").select("path")
+    trees.removed(spark, names.filter("path like '%.tmp'"))
+    return with_stats(names).select(_below(root), "length")
+
+
+@query
+def read_files(spark, folder):
+    """Contents as read from files; one that has gone meanwhile has an error instead."""
+    root = trees.written_tree(spark, folder)
+    files = list_storage(spark, root).filter("not is_dir").select("path", "length", "mtime")
+    trees.removed(spark, files.filter("path like '%.tmp'"))
+    read = read_and_extract(files, extract.text_extractor, keep_data=True)
+    return read.select(
+        _below(root), F.md5("data").alias("md5"), F.substring_index("error", ":", 1).alias("error")
+    )
+
+
+@query
+def python_extractor(spark, folder):
+    """Documents by a Python function, which fails for some; the others go on."""
+
+    def parse(data: bytes) -> dict:
+        text = data.decode()
+        if len(text) % 7 == 0:
+            raise ValueError(len(text))
+        return {"dc:title": text[:20], "Keywords": [text[20:25], "more"], TEXT_KEY: [text[:50], text[50:80]]}
+
+    rows = _file_rows(derived.files(spark, folder)).select("doc_id", "path", "length", "mtime", "data")
+    built = with_document(extract.PythonExtractor(parse)(rows), OPTIONS, _indexed_at())
+    good = built.withColumn("doc", F.when(F.col("error").isNull(), F.col("doc")))
+    return good.select(
+        "doc_id", "error", "doc.meta.title", "doc.meta.keywords", F.md5("doc.content").alias("content_md5")
+    )
+
+
+@query
+def crawl_tree(spark, folder):
+    """A pass over files: listed by the data source, read, extracted and stored."""
+    root = trees.written_tree(spark, folder)
+    options = CrawlOptions(root=root, name="job", excludes=("*.tmp", "*.html"))
+    store = DocumentStore(spark, f"{shared_folder(spark)}/passes-{uuid.uuid4().hex}")
+    crawl(spark, options, store, extract.text_extractor, listing=storage_listing)
+    return store.alias().select(
+        "_index", F.col("path.virtual").alias("virtual"), "file.filesize", F.md5("content").alias("content_md5")
+    )
+
+
+# -- passes and streams together --------------------------------------------------------------
+
+
+@query
+def bootstrap_then_stream(spark, folder):
+    """A pass, then the events from its beginning on; those of before are left out."""
+    store = DocumentStore(spark, f"{shared_folder(spark)}/passes-{uuid.uuid4().hex}")
+    rows = derived.events_from(spark.readStream.schema(derived.table(spark, folder, "events").schema).parquet(f"{folder}/event[s].parquet"))
+    late = rows.withColumn("ts", F.expr("if(event_id % 2 = 0, ts + interval 900 years, ts)"))
+
+    def now(spark, _):
+        return derived.files(spark, folder).select("path", "length", "mtime")
+
+    crawl_then_follow(
+        spark, late, store, PASS, f"{store.location}/checkpoint", listing=now, load_files=_load(spark, folder, "false"),
+        load=_event_load("user_id % 5 = 0"), trigger={"availableNow": True},
+    ).awaitTermination()
+    return _contents(store)
+
+
+@query
+def periodic_passes(spark, folder):
+    """One pass for each tick of a stream, over the files of now."""
+    store = DocumentStore(spark, f"{shared_folder(spark)}/passes-{uuid.uuid4().hex}")
+    schema = derived.table(spark, folder, "region").schema
+    ticks = spark.readStream.schema(schema).parquet(f"{folder}/regio[n].parquet")
+
+    def now(spark, _):
+        return derived.files(spark, folder).select("path", "length", "mtime")
+
+    recrawl(
+        spark, PASS, store, f"{store.location}/checkpoint", listing=now, load=_load(spark, folder, "doc_id % 13 = 0"),
+        ticks=ticks, trigger={"availableNow": True},
+    ).awaitTermination()
+    return _contents(store)
+
+
+@query
+def stream_errors(spark, folder):
+    """Files of events that cannot be processed become error rows; the others go on."""
+    store = DocumentStore(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
+    _follow(spark, folder, store, "user_id % 5 = 0")
+    return store.errors().select("path", "error").unionByName(store.documents().select(F.col("_id").alias("path"), F.lit("").alias("error")))

@@ -24,7 +24,8 @@ from docsnap.sources.content import read_and_extract
 from docsnap.sources.tree import binary_file_listing, list_names, with_stats
 
 
-#: From a session and options to ``path, length, mtime`` of all files; no folders.
+#: From a session and options to ``path, length, mtime`` of all files, or with ``is_dir`` and ``error`` of all
+#: that a tree holds.
 Listing = Callable[[SparkSession, CrawlOptions], DataFrame]
 #: From rows with ``path, length, mtime`` to the same with ``metadata, text, error`` and ``data``.
 Loader = Callable[[DataFrame], DataFrame]
@@ -84,7 +85,8 @@ def crawl(
     """Bring the store in step with the tree; returns the run id.
 
     ``listing`` and ``load`` replace the walk over a mounted tree and the reading of files, such
-    as by ``object_listing`` for an object store; folders then follow from the paths of files.
+    as by ``storage_listing`` for an object store; folders follow from the paths of files where a
+    listing has none.
     The comparison is written once to the shared folder and feeds the reader, the deletions
     and the new snapshot. Contents are read only for new and modified files. The snapshot and
     the commit come after the operations: a run that fails before leaves no trace.
@@ -119,9 +121,13 @@ def _write_ops(
         files = list_eligible(names, options)
     else:
         listed = work.keep(listing(spark, options).withColumn("mtime", F.col("mtime").cast("double")))
-        names = folders_of(listed, options.root).select(
-            "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("error")
-        )
+        if "is_dir" in listed.columns:
+            names = listed.filter("is_dir or error is not null").select("path", "is_dir", "error")
+            listed = listed.filter("not is_dir and error is null").select("path", "length", "mtime")
+        else:
+            names = folders_of(listed, options.root).select(
+                "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("error")
+            )
         files = eligible_files(listed, options)
     feed = work.keep(change_feed(files, store.snapshot(options.job)))
     changed = feed.filter(F.col("status").isin("new", "modified"))

@@ -119,6 +119,15 @@ PASSES = f"""passed as (
     case when c.status = 'deleted' then 'gone' else {_content('f.text')} end as content
   from feed c left join files f on c.path = f.path where c.path not like '%.tmp')"""
 
+# Files written from the documents, and the directories above them.
+TREE = """tree as (
+  select doc_id, source, lang, text, cast(strlen(text) as bigint) as length,
+    concat(source, '/', lang, '/', case doc_id % 6 when 0 then '_' when 3 then '.' else '' end, 'doc_', cast(doc_id as varchar),
+      case doc_id % 5 when 3 then '.tmp' when 4 then '.html' else '.txt' end) as path
+  from documents),
+tree_folders as (
+  select distinct unnest(['', source, concat(source, '/', lang), concat(source, '/', lang, '/none')]) as path from tree)"""
+
 LOG = f"""log as (
   select 1 as run_id, 1 as phase, string_split(path, '/') as ord, 'index' as op,
     'job_docs' as _index, path as _id, path, concat('v1 ', path) as content,
@@ -370,6 +379,50 @@ ORACLES = {
     "event_stream_state": _with(EVENTS)
     + """select 'job_docs' as _index, path as _id, concat('content of ', path) as content
       from latest where op = 'index'""",
+    "tree_listing": _with(TREE)
+    + """select path, false as is_dir, length from tree
+      union all select path, true, null from tree_folders""",
+    "tree_names": _with(TREE)
+    + r"""select path, length from tree
+      where not regexp_matches(path, '(\.tmp|/doc_.5[^/]*)$')""",
+    "tree_links": _with(TREE)
+    + """select false as link, count(*) as files from tree
+      union all select true, count(distinct (source, lang)) from tree""",
+    "tree_without_links": _with(TREE)
+    + """select path, false as is_dir, false as is_symlink from tree
+      union all select path, true, false from tree_folders""",
+    "vanished_files": _with(TREE) + "select path, length from tree where path not like '%.tmp'",
+    "read_files": _with(TREE)
+    + """select path, case when path not like '%.tmp' then md5(text) end as md5,
+        case when path like '%.tmp' then 'FileNotFoundError' end as error from tree""",
+    "python_extractor": f"""select doc_id,
+        case when length(text) % 7 = 0 then concat('ValueError: ', cast(length(text) as varchar)) end as error,
+        case when length(text) % 7 > 0 then left(text, 20) end as title,
+        case when length(text) % 7 > 0 then substr(text, 21, 5) end as keywords,
+        case when length(text) % 7 > 0 then md5({_content("concat(left(text, 50), chr(10), substr(text, 51, 30))")}) end as content_md5
+      from documents""",
+    "crawl_tree": _with(TREE)
+    + f"""select 'job_docs' as _index, concat('/', path) as virtual, length as filesize, md5({_content('text')}) as content_md5
+      from tree where path like '%.txt'
+      union all select 'job_folder', concat('/', path), null, null from tree_folders""",
+    "bootstrap_then_stream": _with(FILES)
+    + f""", late as (
+        select event_id, user_id, case event_type when 'error' then 'delete' else 'index' end as op,
+          concat('/data/u', cast(user_id as varchar),
+            case event_id % 4 when 0 then '.pdf' when 1 then '.txt' when 2 then '.tmp' else '' end) as path,
+          ts + interval 900 years as ts
+        from events where event_id % 2 = 0 and event_id % 9 > 0),
+      last as (
+        select * from late where op = 'delete' or path not like '%.tmp'
+        qualify row_number() over (partition by path order by ts desc, event_id desc) = 1)
+      select 'job_docs' as _index, path as _id, md5({_content('text')}) as content_md5 from files where path not like '%.tmp'
+      union all select 'job_docs', path, md5(concat('content of ', path)) from last where op = 'index' and user_id % 5 > 0""",
+    "periodic_passes": _with(FILES)
+    + f"""select 'job_docs' as _index, path as _id, md5({_content('text')}) as content_md5 from files
+      where path not like '%.tmp' and doc_id % 13 > 0""",
+    "stream_errors": _with(EVENTS)
+    + """, found as (select path, cast(regexp_extract(path, 'u([0-9]+)', 1) as bigint) % 5 = 0 as failed from latest where op = 'index')
+      select path, case when failed then 'unreadable' else '' end as error from found""",
 }
 
 

@@ -72,6 +72,8 @@ _TEXT, _LONG, _DOUBLE, _FLAG = T.StringType(), T.LongType(), T.DoubleType(), T.B
 _MOMENT = T.TimestampType()
 
 NAMES = struct(path=_TEXT, is_dir=_FLAG, is_symlink=_FLAG, lineage=STRINGS, error=_TEXT)
+# A row with ``todo`` is a directory that is still to be listed.
+LISTED = struct(path=_TEXT, is_dir=_FLAG, length=_LONG, mtime=_DOUBLE, error=_TEXT, todo=STRINGS)
 STATS = struct(length=_LONG, mtime=_DOUBLE, atime=_DOUBLE, birthtime=_DOUBLE)
 EXTRACTED = struct(metadata=RAW_METADATA, text=STRINGS, error=_TEXT)
 SNAPSHOT = struct(path=_TEXT, mtime=_DOUBLE)
@@ -80,6 +82,7 @@ COMMITS = struct(
     buckets=_LONG,
 )
 
+# Fields of a document.
 FILE = struct(
     content_type=_TEXT, filename=_TEXT, extension=_TEXT, filesize=_LONG, indexed_chars=_LONG,
     indexing_date=_MOMENT, last_modified=_MOMENT, created=_MOMENT, last_accessed=_MOMENT,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
         try:
             with _opened(row[at]) as handle:
                 data = handle.read()
-        except OSError as problem:
+        except (OSError, MemoryError, pa.ArrowException) as problem:
             error = f"{type(problem).__name__}: {problem}"
             return (*row, None, None, None, error) if extractor else (*row, None, error)
         if extractor is None:

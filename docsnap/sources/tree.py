@@ -25,7 +25,7 @@ _FOLDERS_PER_TASK = 500
 _FILES_PER_TASK = 50_000
 
 
-def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+def frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
@@ -36,12 +36,12 @@ def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
-def _identity(path: str) -> str:
+def identity(path: str) -> str:
     info = os.stat(path)
     return f"{info.st_dev}:{info.st_ino}"
 
 
-def _children(
+def children(
     path: str, lineage: list[str], follow_symlinks: bool, continue_on_error: bool, is_root: bool
 ) -> Iterator[tuple]:
     """Entries of one directory; one error row where it may not be read."""
@@ -73,7 +73,7 @@ def _children(
                     continue
                 above = lineage
                 if is_dir and follow_symlinks:
-                    here = _identity(entry.path)
+                    here = identity(entry.path)
                     if here in lineage:
                         continue  # a link back to a directory on the way down
                     above = [*lineage, here]
@@ -98,17 +98,17 @@ def list_names(
     if not os.path.isabs(base):
         raise ValueError("the root must be an absolute path")
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
-            for frame in frames:
+            for frame in batches:
                 for path, lineage in zip(frame["path"], frame["lineage"]):
-                    yield from _children(
+                    yield from children(
                         path, list(lineage), follow_symlinks, continue_on_error, path == base
                     )
 
-        yield from _frames(rows(), NAMES.fieldNames())
+        yield from frames(rows(), NAMES.fieldNames())
 
-    top = [_identity(base)] if follow_symlinks else []
+    top = [identity(base)] if follow_symlinks else []
     level = spark.createDataFrame([(base, True, False, top, None)], NAMES)
     listed, waiting = level, 1
     while waiting:
@@ -130,9 +130,9 @@ def with_stats(
     columns = files.columns
     schema = T.StructType(files.schema.fields + STATS.fields)
 
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
-            for frame in frames:
+            for frame in batches:
                 at = frame.columns.get_loc("path")
                 for row in frame.itertuples(index=False, name=None):
                     try:
@@ -142,7 +142,7 @@ def with_stats(
                     born = getattr(info, "st_birthtime", None)
                     yield *row, info.st_size, info.st_mtime, info.st_atime, born
 
-        yield from _frames(rows(), [*columns, *STATS.fieldNames()])
+        yield from frames(rows(), [*columns, *STATS.fieldNames()])
 
     if tasks is None:
         tasks = tasks_for(files.sparkSession, files.count(), _FILES_PER_TASK)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from docsnap.operators.events import accepted_events, latest_events
 from docsnap.operators.extract import Extractor, default_extractor
 from docsnap.operators.ops import delete_ops, file_ops
 from docsnap.options import CrawlOptions
-from docsnap.plans.crawl import crawl
+from docsnap.plans.crawl import Listing, Loader, crawl
 from docsnap.plans.store import DocumentStore
 from docsnap.schema import EVENTS
 from docsnap.session import materialised
@@ -24,9 +23,6 @@ from docsnap.sources.tree import with_stats
 
 logger = logging.getLogger(__name__)
 
-Loader = Callable[[DataFrame], DataFrame]
-
-
 def read_events(spark: SparkSession, location: str, **options: str) -> DataFrame:
     """A stream over a folder of Parquet files with event rows."""
     return spark.readStream.schema(EVENTS).options(**options).parquet(location)
@@ -107,16 +103,19 @@ def crawl_then_follow(
     options: CrawlOptions,
     checkpoint: str,
     extractor: Extractor = default_extractor,
+    listing: Listing | None = None,
+    load_files: Loader | None = None,
     **follow,
 ) -> StreamingQuery:
     """A full pass, then the stream from the moment on in which the last committed pass began.
 
-    A failed pass does not keep the stream from starting; events since the pass before it then
+    ``listing`` and ``load_files`` are those of the pass, as ``crawl`` takes them; ``load`` among the other
+    options is that of the events. A failed pass does not keep the stream from starting; events since the pass before it then
     count, and all events where there was none. Events that a pass has seen already come again
     and write the same documents.
     """
     try:
-        crawl(spark, options, store, extractor)
+        crawl(spark, options, store, extractor, listing=listing, load=load_files)
     except Exception:
         logger.exception("the first pass failed")
     start = store.last_start(options.job)

@@ -1,0 +1,146 @@
+"""The data source of trees next to the listing by level, on mounted and other storage."""
+
+import os
+
+import pytest
+from pyarrow import fs
+from pyspark.sql import functions as F
+
+from docsnap.operators.extract import text_extractor
+from docsnap.options import CrawlOptions
+from docsnap.plans.crawl import CrawlError, crawl
+from docsnap.plans.store import DocumentStore
+from docsnap.sources import content, storage
+from docsnap.sources.storage import TreeSource, list_storage, storage_listing
+from docsnap.sources.tree import list_names, with_stats
+
+NAMES = [".h.txt", "_u/x.txt", ".git/config", "a b.txt", "new\nline.txt", "é/ü.txt", "deep/er/est/file", "deep/er/two"]
+
+
+def rows(df):
+    return sorted((r.path, r.is_dir, r.length, r.mtime, r.error) for r in df.collect())
+
+
+def by_level(spark, root, **options):
+    names = list_names(spark, root, **options)
+    files = with_stats(names.filter("not is_dir"), options.get("follow_symlinks", False))
+    columns = ["path", "is_dir", "length", "mtime", "error"]
+    none = [F.lit(None).cast("long").alias("length"), F.lit(None).cast("double").alias("mtime")]
+    return rows(files.select(*columns).unionByName(names.filter("is_dir or error is not null").select("path", "is_dir", "error", *none)))
+
+
+@pytest.fixture
+def full_tree(tree):
+    for k, name in enumerate(NAMES):
+        tree(name, "x" * k, 1_700_000_000.123456 + k)
+    os.mkdir(f"{tree.root}/empty")
+    for k in range(12):
+        tree(f"many/{k}/{k % 3}/f.txt")
+    return tree
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_same_rows_as_by_level(spark, full_tree, most):
+    found = rows(list_storage(spark, full_tree.root + "/", most=most))
+    assert found == by_level(spark, full_tree.root)
+    assert len(found) == len({r[0] for r in found})
+    assert found == rows(list_storage(spark, f"file://{full_tree.root}", most=most))
+
+
+@pytest.mark.parametrize("splits", ["1", "4", "500"])
+def test_one_read_lists_all(spark, full_tree, splits):
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("tree").option("root", full_tree.root).option("splits", splits).load()
+    assert rows(found) == by_level(spark, full_tree.root)
+    assert found.rdd.getNumPartitions() >= min(int(splits), 10)
+
+
+def test_links(spark, full_tree, tmp_path):
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "far.txt").write_text("far away")
+    os.symlink(outside / "far.txt", f"{full_tree.root}/link.txt")
+    os.symlink(outside, f"{full_tree.root}/linked")
+    os.symlink("/nowhere", f"{full_tree.root}/broken")
+    os.symlink(full_tree.root, f"{full_tree.root}/deep/loop")
+    for follow in (False, True):
+        found = rows(list_storage(spark, full_tree.root, follow, most=2))
+        assert found == by_level(spark, full_tree.root, follow_symlinks=follow)
+        assert any(r[0].endswith("linked/far.txt") for r in found) == follow
+
+
+def test_errors(spark, full_tree):
+    with open(os.fsencode(full_tree.root) + b"/deep/bad\xff.txt", "wb"):
+        pass
+    found = rows(list_storage(spark, full_tree.root, continue_on_error=True))
+    assert [r[4] for r in found if r[4]] == ["the name is not UTF-8"]
+    assert found == by_level(spark, full_tree.root)
+    with pytest.raises(Exception, match="No such file"):
+        list_storage(spark, full_tree.root + "/none").collect()
+    with pytest.raises(Exception, match="absolute path"):
+        list_storage(spark, "some/place").collect()
+
+
+def _elsewhere(base, closed=()):
+    """A storage under ``far://store``, which only Arrow opens; some directories may not be listed."""
+
+    class Far:
+        @staticmethod
+        def from_uri(uri):
+            files = fs.SubTreeFileSystem(base, fs.LocalFileSystem())
+
+            class Store:
+                @staticmethod
+                def get_file_info(selector):
+                    if selector.base_dir in closed:
+                        raise PermissionError(13, "not allowed")
+                    return files.get_file_info(selector)
+
+                open_input_stream = files.open_input_stream
+
+            return Store, uri.removeprefix("far://store/").rstrip("/")
+
+    return Far
+
+
+def test_storage_that_is_not_mounted(spark, full_tree, monkeypatch):
+    base, name = os.path.split(full_tree.root)
+    monkeypatch.setattr(storage, "FileSystem", _elsewhere(base))
+    found = rows(list_storage(spark, f"far://store/{name}/", most=2))
+    assert found == sorted((r[0].replace(base, "far://store"), *r[1:]) for r in by_level(spark, full_tree.root))
+
+
+def test_crawl_of_storage_that_is_not_mounted(spark, full_tree, tmp_path, monkeypatch):
+    base, name = os.path.split(full_tree.root)
+    far = _elsewhere(base, closed=(f"{name}/many",))
+    monkeypatch.setattr(storage, "FileSystem", far)
+    monkeypatch.setattr(content, "FileSystem", far)
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    options = CrawlOptions(root=f"far://store/{name}", includes=("*.txt",), continue_on_error=True)
+    crawl(spark, options, store, text_extractor, listing=storage_listing)
+    found = {r.path.virtual: r.content for r in store.documents().collect()}
+    assert found == {"/.h.txt": "", "/_u/x.txt": "x", "/a b.txt": "xxx", "/new\nline.txt": "xxxx", "/é/ü.txt": "xxxxx"}
+    assert "/empty" in {r.path.virtual for r in store.folders().collect()}
+    assert [(r.path, r.error[:15]) for r in store.errors().collect()] == [(f"far://store/{name}/many", "PermissionError")]
+    with pytest.raises(Exception, match="not allowed"):
+        crawl(spark, CrawlOptions(root=f"far://store/{name}", name="strict"), store, listing=storage_listing)
+    assert CrawlError
+
+
+def test_unreadable_contents_are_error_rows(spark, full_tree, monkeypatch):
+    class Full:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            raise MemoryError("too large")
+
+    opened = content._opened
+    monkeypatch.setattr(content, "_opened", lambda path: Full() if path.endswith("two") else opened(path))
+    files = list_storage(spark, full_tree.root).filter("not is_dir").select("path", "length", "mtime")
+    found = {r.path: r.error for r in content.read_and_extract(files, text_extractor, True).collect()}
+    assert {p.rsplit("/", 1)[1]: e for p, e in found.items() if e} == {"two": "MemoryError: too large"}
+    assert len(found) == len(NAMES) + 12
