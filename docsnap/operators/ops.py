@@ -74,18 +74,23 @@ def requested_deletes(requests: DataFrame, options: CrawlOptions) -> DataFrame:
     return _deletes(keys, F.col("index"), F.col("path"))
 
 
-def upload_ops(uploads: DataFrame, options: CrawlOptions) -> DataFrame:
+def upload_ops(uploads: DataFrame, options: CrawlOptions, unique: bool = False) -> DataFrame:
     """``index`` rows of built uploads, in the order of ``upload_id``; simulated ones stay out.
 
-    Equal ids are ordered by what they hold, and of uploads alike in all one stays: no two
-    operations on a document share a place.
+    Uploads of one number are ordered by their bytes, then by their row, so no two operations
+    share a place; their rows must have been written for that. Where numbers are ``unique`` they are all
+    it takes, and a count of the operations reads no content.
     """
     written = ~F.coalesce("simulate", F.lit(False)) & F.col("error").isNull()
     # From the lowest number on, so that text sorts like numbers.
     number = F.col("upload_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
-    place = F.array(F.lpad(number.cast("string"), 20, "0"), F.md5(document_json(F.col("doc"))))
-    rows = uploads.filter(written).withColumn("ord", place).dropDuplicates(["_index", "_id", "ord"])
-    return rows.select(
+    place = [F.lpad(number.cast("string"), 20, "0")]
+    if not unique:
+        row = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+        place += [F.coalesce(F.md5("data"), F.lit("")), row]
+    return uploads.select(
+        "*", F.array(*place).alias("ord")
+    ).filter(written).select(
         F.lit(PHASE_FILE).alias("phase"),
         "ord",
         F.lit("index").alias("op"),

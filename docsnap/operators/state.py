@@ -25,14 +25,28 @@ def last_operations(ops: DataFrame) -> DataFrame:
     return last.select(*KEY, "last.*")
 
 
-def current_state(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def newer_operations(last: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Last operations without those that come before what is ``known`` of their document.
+
+    For operations that turn up late; ``known`` has the key and order, and nothing else moves.
+    """
+    if known is None:
+        return last
+    order = known.select(*KEY, F.struct(*ORDER).alias("_known"))
+    marked = last.join(order.groupBy(*KEY).agg(F.max("_known").alias("_known")), KEY, "left")
+    return marked.filter(F.col("_known").isNull() | (F.struct(*ORDER) > F.col("_known"))).drop("_known")
+
+
+def current_state(
+    ops: DataFrame, base: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Rows of ``ops`` that make up the current state, on top of an earlier state.
 
     The documents join their winners on key *and* order: that key is unique on both sides, so
     a document rewritten a million times does not meet itself in one task. ``base`` only loses
     the ids that the operations touch.
     """
-    last = last_operations(ops)
+    last = newer_operations(last_operations(ops), known)
     winners = last.filter(F.col("op") == "index").drop("op")
     rows = ops.filter(F.col("op") == "index").join(winners, KEY + ORDER)
     if base is None:
@@ -41,24 +55,25 @@ def current_state(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
-def settled_state(
-    ops: DataFrame, base: DataFrame | None, keep: Callable[[DataFrame], DataFrame]
+def settled_rows(
+    ops: DataFrame, last: DataFrame, keep: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """The current state with as few documents shuffled as possible, for writing it out.
+    """The documents of the last operations with as few shuffled as possible, for writing them out.
 
-    The narrow work comes first: which operations were last, and which ``index`` operations
-    were superseded. ``keep`` stores both, so their true sizes are known when the documents
-    meet them. Usually few are superseded; then the planner broadcasts those and the documents
-    stay where they are, else it falls back to a shuffle on a unique key.
+    ``last`` is stored, and ``keep`` stores which ``index`` operations were superseded, so their
+    true sizes are known when the documents meet them. Usually few are superseded; then the planner
+    broadcasts those and the documents stay where they are, else it falls back to a shuffle on a
+    unique key.
     """
-    last = keep(last_operations(ops))
     indexed = ops.filter(F.col("op") == "index")
     winners = last.filter(F.col("op") == "index").drop("op")
     superseded = keep(_without(indexed.select(*KEY, *ORDER), winners, KEY + ORDER))
-    rows = _without(indexed, superseded, KEY + ORDER)
-    if base is None:
-        return rows
-    return _without(base, last.select(*KEY), KEY).unionByName(rows, allowMissingColumns=True)
+    return _without(indexed, superseded, KEY + ORDER)
+
+
+def untouched(base: DataFrame, last: DataFrame) -> DataFrame:
+    """Stored rows that no later operation concerns."""
+    return _without(base, last.select(*KEY), KEY)
 
 
 def _without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:

@@ -348,7 +348,7 @@ def upload_docs(spark, folder):
 @query
 def upload_state(spark, folder):
     """What the uploads leave behind: the last one per index and id."""
-    log = ops.upload_ops(_uploads(spark, folder), OPTIONS).withColumn("run_id", F.lit(1))
+    log = ops.upload_ops(_uploads(spark, folder), OPTIONS, unique=True).withColumn("run_id", F.lit(1))
     return state.current_state(log).select(
         "_index", "_id", F.md5(F.col("doc.content")).alias("content_md5")
     )
@@ -410,7 +410,7 @@ def _log(spark, folder) -> DataFrame:
         .unionByName(run(2, ops.folder_ops(folders_of(now, "/data"), OPTIONS)))
         .unionByName(run(2, ops.file_ops(with_document(second, OPTIONS, _indexed_at()), OPTIONS)))
         .unionByName(run(2, ops.delete_ops(gone, OPTIONS)))
-        .unionByName(run(3, ops.upload_ops(_uploads(spark, folder), OPTIONS)))
+        .unionByName(run(3, ops.upload_ops(_uploads(spark, folder), OPTIONS, unique=True)))
     )
 
 

@@ -79,7 +79,8 @@ EXTRACTED = struct(metadata=RAW_METADATA, text=STRINGS, error=_TEXT)
 SNAPSHOT = struct(path=_TEXT, mtime=_DOUBLE)
 COMMITS = struct(
     source=_TEXT, batch_id=_LONG, kind=_TEXT, job=_TEXT, started=T.TimestampNTZType(), covers=T.ArrayType(_LONG),
-    buckets=_LONG,
+    buckets=_LONG, pieces=T.ArrayType(_LONG), since=T.ArrayType(_LONG), rows=T.ArrayType(_LONG),
+    dead=T.ArrayType(_LONG),
 )
 
 # Fields of a document.
@@ -103,6 +104,11 @@ OPS = struct(
 # A row of a compacted state keeps the run it came from.
 STATE = T.StructType([*OPS.fields, T.StructField("of_run", T.LongType())])
 
+# Keys of stored rows that a later piece of the state has replaced or deleted, and deletions that an older
+# operation may still meet.
+DEAD = struct(_index=_TEXT, _id=_TEXT)
+TOMBS = struct(_index=_TEXT, _id=_TEXT, of_run=_LONG, phase=T.IntegerType(), ord=STRINGS)
+
 RESPONSES = struct(
     upload_id=_LONG, filename=_TEXT, ok=_FLAG, error=_TEXT, url=_TEXT, doc=DOCUMENT
 )
