@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsnap.functions.names import extension, file_name
+from docsnap.operators.isolated import Child
 from docsnap.schema import CONTENT_TYPE_KEY, EXTRACTED, RAW_METADATA, TEXT_KEY
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -209,21 +210,42 @@ class PythonExtractor:
 
     The mapping holds raw keys with a text or a list of texts; the content sits under
     ``schema.TEXT_KEY``. Of a list of mappings the first counts. A failure becomes the row's
-    error and leaves the other rows alone.
+    error and leaves the other rows alone. ``isolated`` runs the function in a process of its own, which
+    is killed at the time limit and may take ``memory_limit`` bytes: that stops native code too.
     """
 
     def __init__(
         self,
         function: Callable[[bytes], Mapping[str, Any] | list[Mapping[str, Any]]],
         time_limit: float | None = None,
+        isolated: bool = False,
+        memory_limit: int | None = None,
     ) -> None:
         self.function = function
         self.time_limit = time_limit
+        self.isolated = isolated or memory_limit is not None
+        self.memory_limit = memory_limit
+        self._child: Child | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_child": None}
+
+    def _found(self, data: bytes) -> Any:
+        if not self.isolated:
+            with _deadline(self.time_limit):
+                return self.function(data)
+        if self._child is None:
+            self._child = Child(self.function, self.time_limit, self.memory_limit)
+        return self._child.call(data)
+
+    def close(self) -> None:
+        """Ends the process of an isolated extractor; the next call starts another."""
+        if self._child is not None:
+            self._child.end()
 
     def one(self, data: bytes) -> tuple[dict | None, list | None, str | None]:
         try:
-            with _deadline(self.time_limit):
-                found = self.function(data)
+            found = self._found(data)
             if isinstance(found, list):
                 found = found[0] if found else {}
             raw = {
@@ -236,7 +258,7 @@ class PythonExtractor:
             return None, None, f"{type(problem).__name__}: {problem}"
 
     def __call__(self, files: DataFrame) -> DataFrame:
-        one = self.one
+        one, close = self.one, self.close
 
         def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -244,5 +266,6 @@ class PythonExtractor:
                 for at, name in enumerate(EXTRACTED.fieldNames()):
                     frame[name] = pd.Series([r[at] for r in rows], index=frame.index, dtype=object)
                 yield frame
+            close()
 
         return files.mapInPandas(batches, T.StructType(files.schema.fields + EXTRACTED.fields))

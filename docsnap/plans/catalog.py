@@ -13,6 +13,7 @@ from docsnap.functions.names import extension, file_name
 from docsnap.functions.paths import virtual_path
 from docsnap.operators import diff, extract, filters, ops, state, terms
 from docsnap.operators.batches import bulk_batches
+from docsnap.operators.digests import DigestSnapshot
 from docsnap.operators.documents import with_document
 from docsnap.operators.events import accepted_events, latest_events
 from docsnap.operators.facets import path_tree_facets
@@ -24,7 +25,7 @@ from docsnap.functions.paths import walk_order
 from docsnap.plans import derived, trees
 from docsnap.plans.crawl import crawl, next_snapshot
 from docsnap.plans.store import DocumentStore
-from docsnap.session import materialised, shared_folder, spread
+from docsnap.session import WorkTables, materialised, shared_folder, spread
 from docsnap.schema import TEXT_KEY
 from docsnap.sources.content import read_and_extract
 from docsnap.sources.storage import list_storage, storage_listing
@@ -111,6 +112,15 @@ def change_feed(spark, folder):
     return diff.change_feed(now, derived.previous(spark, folder))
 
 
+@query
+def change_feed_by_digest(spark, folder):
+    """The same from digests of directories and parts; files of unchanged directories are not compared."""
+    now = derived.files(spark, folder).select("path", F.col("mtime").cast("double"))
+    snapshot = DigestSnapshot(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}")
+    snapshot.write(derived.previous(spark, folder))
+    return snapshot.change_feed(now, WorkTables(spark))
+
+
 @query
 def new_or_modified(spark, folder):
     now = derived.files(spark, folder).select("path", "mtime")

@@ -199,6 +199,8 @@ ORACLES = {
     + """select event_id, src_path from fs_events e where not exists (
       select 1 from pauses p where p.start_ts <= e.ts and e.ts < p.end_ts)""",
     "change_feed": _with(FILES, PREV, FEED) + "select path, status, mtime, previous_mtime from feed",
+    "change_feed_by_digest": _with(FILES, PREV, FEED)
+    + "select path, status, cast(mtime as double) as mtime, cast(previous_mtime as double) as previous_mtime from feed",
     "new_or_modified": _with(FILES, PREV)
     + """select f.path, f.mtime from files f left join prev p on f.path = p.path
       where p.mtime is null or p.mtime <> f.mtime""",

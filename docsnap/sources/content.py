@@ -19,6 +19,9 @@ _BATCH_BYTES = 32 * 1024 * 1024
 _BATCH_ROWS = 1_000
 _BYTES_PER_TASK = 512 * 1024 * 1024
 _FILES_PER_TASK = 20_000
+_PIECE_BYTES = 16 * 1024 * 1024
+#: Bytes of the largest file that is taken as a whole; its text must fit in a row and in a worker.
+MOST_BYTES = 512 * 1024 * 1024
 
 
 def _opened(path: str):
@@ -29,16 +32,36 @@ def _opened(path: str):
     return store.open_input_stream(place)
 
 
+class FileTooLarge(OSError):
+    """A file above the limit, which is not read to its end."""
+
+
+def _whole(path: str, most: int) -> bytes:
+    """The bytes of a file, read in pieces, so that one above the limit costs no more than the limit
+    whatever size it was listed with."""
+    pieces, size = [], 0
+    with _opened(path) as handle:
+        while piece := handle.read(min(_PIECE_BYTES, most + 1 - size)):
+            pieces.append(piece)
+            size += len(piece)
+            if size > most:
+                raise FileTooLarge(f"more than {most} bytes")
+    return b"".join(pieces)
+
+
 def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool) -> DataFrame:
     columns = files.columns
     added = [T.StructField("data", T.BinaryType())]
     added += EXTRACTED.fields if extractor else [T.StructField("read_error", T.StringType())]
     schema = T.StructType(files.schema.fields + added)
 
+    most, length = MOST_BYTES, columns.index("length") if "length" in columns else None
+
     def load(row: tuple, at: int) -> tuple:
         try:
-            with _opened(row[at]) as handle:
-                data = handle.read()
+            if length is not None and (row[length] or 0) > most:
+                raise FileTooLarge(f"more than {most} bytes")
+            data = _whole(row[at], most)
         except (OSError, MemoryError, pa.ArrowException) as problem:
             error = f"{type(problem).__name__}: {problem}"
             return (*row, None, None, None, error) if extractor else (*row, None, error)
@@ -58,6 +81,8 @@ def _read(files: DataFrame, extractor: PythonExtractor | None, keep_data: bool)
                     held, size = [], 0
         if held:
             yield pd.DataFrame(held, columns=names, dtype=object)
+        if extractor is not None:
+            extractor.close()
 
     return files.mapInPandas(read, schema)
 
