@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsnap.functions.names import extension, file_name
+from docsnap.operators.encodings import decoded
 from docsnap.operators.isolated import Child
 from docsnap.schema import CONTENT_TYPE_KEY, EXTRACTED, RAW_METADATA, TEXT_KEY
 
@@ -30,24 +31,16 @@ def _plain_metadata() -> Column:
     return F.create_map(F.lit(CONTENT_TYPE_KEY), F.array(F.lit("text/plain"))).cast(RAW_METADATA)
 
 
-def decoded(data: Column) -> Column:
-    """UTF-8 text; malformed sequences become replacement characters."""
-    return F.make_valid_utf8(data.cast("string"))
-
-
-# Labels under which Web pages declare the Western single-byte encoding, and the
-# characters it has where Latin-1 has control codes (a space where it has none).
-_WESTERN = ("iso-8859-1", "iso8859-1", "latin1", "l1", "us-ascii", "ascii", "windows-1252", "cp1252", "x-cp1252")
+# The characters that the Western single-byte encoding has where Latin-1 has control codes.
 _CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 _WESTERN_MARKS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
 
 def decoded_html(data: Column) -> Column:
-    """The page in the encoding its first kilobyte declares; UTF-8 without a known one."""
+    """The page in the encoding its first kilobyte declares, or in which it is found to be."""
     head = F.decode(F.substring(data, 1, 1024), "ISO-8859-1")
-    declared = F.lower(F.regexp_extract(head, r"""(?is)<meta\b[^>]*?charset\s*=\s*["']?\s*([a-z0-9_-]+)""", 1))
-    western = F.translate(F.decode(data, "ISO-8859-1"), _CONTROLS, _WESTERN_MARKS)
-    return F.when(declared.isin(*_WESTERN), western).otherwise(decoded(data))
+    declared = F.regexp_extract(head, r"""(?is)<meta\b[^>]*?charset\s*=\s*["']?\s*([a-z0-9_-]+)""", 1)
+    return decoded(data, declared)
 
 
 # The names are those of the standard library; legacy ones also count without a semicolon.
@@ -164,9 +157,9 @@ def text_extractor(files: DataFrame) -> DataFrame:
 
 
 def html_extractor(files: DataFrame) -> DataFrame:
-    html = decoded_html(F.col("data"))
-    return files.select(
-        "*",
+    html = F.col("_html")
+    return files.withColumn("_html", decoded_html(F.col("data"))).select(
+        *files.columns,
         html_metadata(html).alias("metadata"),
         F.array(html_text(html)).alias("text"),
         F.lit(None).cast("string").alias("error"),
@@ -174,12 +167,14 @@ def html_extractor(files: DataFrame) -> DataFrame:
 
 
 def default_extractor(files: DataFrame) -> DataFrame:
-    """HTML by file extension, everything else as UTF-8 text; ``path`` decides."""
+    """HTML by file extension, everything else as text; ``path`` decides."""
     is_html = extension(file_name(F.col("path"))).isin("html", "htm", "xhtml")
-    plain = decoded(F.col("data"))
-    html = F.when(is_html, decoded_html(F.col("data")))
-    return files.select(
-        "*",
+    html, plain = F.col("_html"), F.col("_plain")
+    read = files.withColumns(
+        {"_html": decoded_html(F.when(is_html, F.col("data"))), "_plain": decoded(F.when(~is_html, F.col("data")))}
+    )
+    return read.select(
+        *files.columns,
         F.when(is_html, html_metadata(html)).otherwise(_plain_metadata()).alias("metadata"),
         F.array(F.when(is_html, html_text(html)).otherwise(plain)).alias("text"),
         F.lit(None).cast("string").alias("error"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -333,6 +334,40 @@ def html_text(spark, folder):
     )
 
 
+#: Letters that stand for those of the texts, and the encodings the texts are written in.
+ALPHABETS = {
+    "cp932": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひ",
+    "euc_jp": "アイウエオカキクケコサシスセソタチツテト日本語文字東京",
+    "gb18030": "的一是在不了有和人这中大为上个国我以要他时来用们生到",
+    "big5hkscs": "的一是在不了有和人這中大為上個國我以要他時來用們生到",
+    "cp949": "가나다라마바사아자차하고노도로모보소오조호구누두무부",
+    "cp1251": "абвгдежзийклмнопрстуфхцчшщ",
+    "koi8_r": "абвгдежзийклмнопрстуфхцчшщ",
+    "utf-16": "αβγδεζηθικλμνξοπρστυφχψωάέ",
+}
+
+
+@query
+def found_encodings(spark, folder):
+    """Texts in eight alphabets, written in the encodings these are used with and read without a hint."""
+
+    @F.pandas_udf("binary")
+    def written(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        names = list(ALPHABETS)
+        return pd.Series([text.encode(names[n % len(names)], "replace") for text, n in zip(texts, numbers)])
+
+    turned = F.lower("text")
+    names = list(ALPHABETS)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    for n, name in enumerate(names):
+        turned = F.when(F.col("doc_id") % len(names) == n, F.translate(F.lower("text"), small, ALPHABETS[name])).otherwise(turned)
+    # What an alphabet cannot write stays out.
+    kept = F.regexp_replace(turned, r"[\x7f-\u02ff\u2000-\u2fff]", "")
+    rows = derived.table(spark, folder, "documents").select("doc_id", kept.alias("text")).filter("length(text) >= 40")
+    read = rows.select("doc_id", extract.decoded(written("text", "doc_id")).alias("text"))
+    return read.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # -- uploads and requests -----------------------------------------------------------------
 
 

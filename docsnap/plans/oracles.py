@@ -6,7 +6,7 @@ Independent statements of the results: none of them is used by a Spark job.
 from __future__ import annotations
 
 from docsnap.functions.content import WHITE_SPACE
-from docsnap.plans.catalog import BULK_SIZE, BYTE_SIZE
+from docsnap.plans.catalog import ALPHABETS, BULK_SIZE, BYTE_SIZE
 from docsnap.plans.derived import RAW_TEXTS
 
 FILES = """files as (
@@ -403,6 +403,10 @@ ORACLES = {
         case when length(text) % 7 > 0 then substr(text, 21, 5) end as keywords,
         case when length(text) % 7 > 0 then md5({_content("concat(left(text, 50), chr(10), substr(text, 51, 30))")}) end as content_md5
       from documents""",
+    "found_encodings": "with turned as (select doc_id, regexp_replace(case doc_id % 8 "
+    + " ".join(f"when {n} then translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{a}')" for n, a in enumerate(ALPHABETS.values()))
+    + r""" end, '[\x{7f}-\x{2ff}\x{2000}-\x{2fff}]', '', 'g') as text from documents)
+      select doc_id, length(text) as n_chars, md5(text) as text_md5 from turned where length(text) >= 40""",
     "crawl_tree": _with(TREE)
     + f"""select 'job_docs' as _index, concat('/', path) as virtual, length as filesize, md5({_content('text')}) as content_md5
       from tree where path like '%.txt'
