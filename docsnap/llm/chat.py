@@ -1,10 +1,11 @@
 """Chat formatting that reads back to the same turns, with built-in functions only.
 
 A conversation is rendered as one text: every turn is ``<|turn|>``, its role, a line end, its text, and
-``<|end|>``. A reader needs no more than that: it cuts at the ends, and each turn at its first line
-end. After rendering as it is, every conversation is read back and compared with its source; where
-they differ, because a text or role holds what the reader looks for, it is rendered again with
-its contents escaped and ``<|esc|>`` in front, and compared again. Escaping writes ``%`` as ``%25``,
+``<|end|>``. The grammar knows these marks in these places alone: the reader cuts at the ends, takes the turn mark off
+each piece, cuts at the first line end, and reads nothing at all where a piece lacks its mark or line end
+or holds any mark within. After rendering as it is, every conversation is read back and compared with its
+source; where they differ, because a text or role holds a mark or a role a line end, it is rendered again
+with its contents escaped and ``<|esc|>`` in front, and compared again. Escaping writes ``%`` as ``%25``,
 ``<|`` as ``%3C|``, and a line end in a role as ``%0A``; no marks are left then, and undoing it in the
 opposite order gives the source. Should a conversation still differ, its row says so in ``same``.
 
@@ -16,6 +17,8 @@ whatever its length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +58,31 @@ def is_escaped(formatted: Column) -> Column:
     return F.startswith(formatted, F.lit(ESCAPED))
 
 
+def cut_at_ends(formatted: Column) -> Column:
+    """The turns without their end marks, and what is behind the last."""
+    body = F.when(is_escaped(formatted), F.substr(formatted, F.lit(len(ESCAPED) + 1))).otherwise(formatted)
+    return F.split(body, r"<\|end\|>", -1)
+
+
 def pieces(formatted: Column) -> Column:
     """The turns without their end marks."""
-    body = F.when(is_escaped(formatted), F.substr(formatted, F.lit(len(ESCAPED) + 1))).otherwise(formatted)
-    cut = F.split(body, r"<\|end\|>", -1)
+    cut = cut_at_ends(formatted)
     return F.slice(cut, 1, F.size(cut) - 1)
 
 
+def well_formed(formatted: Column) -> Column:
+    """Whether a text follows the grammar: every mark in its place, and no other."""
+
+    def turn(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(len(TURN) + 1))
+        marks = [F.contains(inner, F.lit(mark)) for mark in (TURN, END, ESCAPED)]
+        return F.startswith(piece, F.lit(TURN)) & F.contains(inner, F.lit("\n")) & ~reduce(Column.__or__, marks)
+
+    return F.forall(pieces(formatted), turn) & (F.element_at(cut_at_ends(formatted), -1) == "")
+
+
 def parsed(formatted: Column) -> Column:
-    """The turns of a rendered conversation, from its text alone."""
+    """The turns of a rendered conversation, from its text alone; null where it breaks the grammar."""
     safe = is_escaped(formatted)
 
     def turn(piece: Column) -> Column:
@@ -75,7 +94,7 @@ def parsed(formatted: Column) -> Column:
             F.when(safe, unescaped(text)).otherwise(text).alias("text"),
         )
 
-    return F.transform(pieces(formatted), turn)
+    return F.when(well_formed(formatted), F.transform(pieces(formatted), turn))
 
 
 def loss_mask(formatted: Column) -> Column:
@@ -113,13 +132,13 @@ def formatted_conversations(table: DataFrame) -> DataFrame:
         .select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("source"))
     )
     plain = source.withColumn("plain", rendered(F.col("source"), False))
-    checked = plain.withColumn("alike", parsed(F.col("plain")) == F.col("source"))
+    checked = plain.withColumn("alike", parsed(F.col("plain")).eqNullSafe(F.col("source")))
     final = checked.select(
         "conv_id", "source",
         F.when(F.col("alike"), F.col("plain")).otherwise(rendered(F.col("source"), True)).alias("formatted"),
     )
     read = final.withColumn("turns", parsed(F.col("formatted"))).withColumn("mask", loss_mask(F.col("formatted")))
-    return read.select("conv_id", "formatted", "turns", "mask", (F.col("turns") == F.col("source")).alias("same"))
+    return read.select("conv_id", "formatted", "turns", "mask", F.col("turns").eqNullSafe(F.col("source")).alias("same"))
 
 
 def with_extra(table: DataFrame) -> DataFrame:
@@ -161,7 +180,7 @@ whole as (
     coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
     sum(16 + length(role) + length(text))::bigint as plain,
     7 + sum(16 + length(safe_role) + length(safe_text))::bigint as safe,
-    bool_or(contains(text, '<|end|>') or contains(role, '<|end|>') or contains(role, chr(10))) as conflict
+    bool_or(regexp_matches(text, '<\|(turn|end|esc)\|>') or regexp_matches(role, '<\|(turn|end|esc)\|>|\n')) as conflict
   from safe group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
   case when conflict then safe else plain end as formatted_chars
