@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsnap.functions.names import file_name, passes_patterns
+from docsnap.operators.intervals import with_open_intervals
 from docsnap.options import CrawlOptions
 
 
@@ -34,55 +35,12 @@ def file_events(events: DataFrame, options: CrawlOptions) -> DataFrame:
     )
 
 
-def _hour(moment: str) -> str:
-    """Hours since 1970 of a moment without zone, whatever the zone of the session."""
-    return f"datediff(cast({moment} as date), date'1970-01-01') * 24 + hour({moment})"
-
-
-def merged_by_hour(pauses: DataFrame) -> DataFrame:
-    """``hour, start_ts, end_ts``: what pauses cover of each hour, as disjoint intervals."""
-    pieces = (
-        pauses.filter("start_ts < end_ts")
-        .select("start_ts", "end_ts")
-        .distinct()
-        .withColumn("hour", F.explode(F.expr(f"sequence({_hour('start_ts')}, {_hour('end_ts')})")))
-        .withColumn("begin", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, hour)"))
-        .select(
-            "hour",
-            F.greatest("start_ts", "begin").alias("start_ts"),
-            F.least("end_ts", F.col("begin") + F.expr("interval 1 hour")).alias("end_ts"),
-        )
-        .filter("start_ts < end_ts")
-        .distinct()
-    )
-    in_hour = Window.partitionBy("hour").orderBy("start_ts", "end_ts")
-    before = F.max("end_ts").over(in_hour.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("start_ts") > before).cast("int"), F.lit(1))
-    return (
-        pieces.withColumn("opens", opens)
-        .withColumn("part", F.sum("opens").over(in_hour))
-        .groupBy("hour", "part")
-        .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
-        .drop("part")
-    )
-
-
 def outside_pauses(events: DataFrame, pauses: DataFrame) -> DataFrame:
     """Drop events with ``start_ts <= ts < end_ts`` of any pause; one without an end goes on.
 
-    Pauses are merged hour by hour into intervals that do not overlap, so an event meets only
-    those of its hour, and at most one of them covers it. A pause is cut at its hours; of one that
-    covers whole hours these are one interval each. Whether the intervals are broadcast is left to
-    their measured size; if they are shuffled, an hour that holds many events is split by the
-    adaptive skew join. Of the pauses without an end only the earliest start matters.
+    However long a pause is, it is two borders in time, and an event looks up how many pauses are
+    open where it stands (see ``with_open_intervals``). Events without a time stay, as do pauses without
+    a start without effect.
     """
-    hours = merged_by_hour(pauses)
-    closed_out = events.join(
-        hours,
-        (F.expr(_hour("ts")) == hours["hour"])
-        & (events["ts"] >= hours["start_ts"])
-        & (events["ts"] < hours["end_ts"]),
-        "left_anti",
-    )
-    since = pauses.filter("end_ts is null").agg(F.min("start_ts")).scalar()
-    return closed_out.filter(since.isNull() | (F.col("ts") < since))
+    found = with_open_intervals(events, "ts", pauses, "start_ts", "end_ts")
+    return found.filter("open_intervals = 0").drop("open_intervals")

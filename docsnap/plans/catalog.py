@@ -104,6 +104,17 @@ def pause_filter(spark, folder):
     return kept.select("event_id", "src_path")
 
 
+@query
+def pauses_of_years(spark, folder):
+    """Pauses of up to thirty years and of minutes; a third of all events fall on one day, many at one moment."""
+    day = F.expr("timestamp_ntz'2024-01-10 00:00:00' + make_dt_interval(0, 0, 0, if(event_id % 2 = 0, 0, event_id % 86400))")
+    rows = derived.events(spark, folder).withColumn("ts", F.when(F.col("event_id") % 3 == 0, day).otherwise(F.col("ts")))
+    short = derived.pauses(spark, folder)
+    long = short.selectExpr("start_ts - interval 30 years as start_ts", "start_ts - interval 20 days as end_ts")
+    kept = filters.outside_pauses(rows, short.unionByName(long))
+    return kept.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
 # -- comparison with the snapshot ---------------------------------------------------------
 
 

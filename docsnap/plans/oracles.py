@@ -198,6 +198,15 @@ ORACLES = {
     "pause_filter": _with(EVENTS)
     + """select event_id, src_path from fs_events e where not exists (
       select 1 from pauses p where p.start_ts <= e.ts and e.ts < p.end_ts)""",
+    "pauses_of_years": _with(EVENTS)
+    + """, moved as (
+        select event_id, case when event_id % 3 = 0 then timestamp '2024-01-10 00:00:00' + to_seconds(case when event_id % 2 = 0 then 0 else event_id % 86400 end)
+          else ts end as ts from fs_events),
+      either as (
+        select start_ts, end_ts from pauses
+        union all select start_ts - interval 30 years, start_ts - interval 20 days from pauses)
+      select event_id, epoch_us(ts) as ts_us from moved e where not exists (
+        select 1 from either p where p.start_ts <= e.ts and e.ts < p.end_ts)""",
     "change_feed": _with(FILES, PREV, FEED) + "select path, status, mtime, previous_mtime from feed",
     "change_feed_by_digest": _with(FILES, PREV, FEED)
     + "select path, status, cast(mtime as double) as mtime, cast(previous_mtime as double) as previous_mtime from feed",
