@@ -24,6 +24,7 @@ from docsnap.operators.uploads import build_uploads
 from docsnap.options import CrawlOptions
 from docsnap.functions.paths import walk_order
 from docsnap.plans import derived, trees
+from docsnap.plans.counts import KeptCounts, index_deltas, path_deltas
 from docsnap.plans.crawl import crawl, next_snapshot
 from docsnap.plans.store import DocumentStore
 from docsnap.session import WorkTables, materialised, shared_folder, spread
@@ -32,6 +33,7 @@ from docsnap.sources.content import read_and_extract
 from docsnap.sources.storage import list_storage, storage_listing
 from docsnap.sources.tree import list_names, with_stats
 from docsnap.streaming.events import crawl_then_follow, follow_events
+from docsnap.streaming.operations import OperationsSource
 from docsnap.streaming.recrawl import recrawl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +528,20 @@ def path_tree_counts(spark, folder):
     return path_tree_facets(derived.files(spark, folder), "path")
 
 
+@query
+def kept_path_counts(spark, folder):
+    """Counts after three runs, kept up by what came and went in each."""
+    counts = KeptCounts(spark, f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}")
+    listings = [derived.previous(spark, folder), derived.files(spark, folder), derived.files(spark, folder).filter("doc_id % 4 <> 1")]
+    listings = [rows.select("path", "mtime") for rows in listings]
+    for run_id, (before, now) in enumerate(zip([listings[0].limit(0), *listings], listings, strict=False), 1):
+        feed = diff.change_feed(now, before)
+        counts.add(run_id, path_deltas(feed).unionByName(index_deltas(feed, OPTIONS.index)))
+        if run_id == 2:
+            counts.fold()
+    return counts.counts()
+
+
 @query
 def term_postings(spark, folder):
     return terms.term_postings(derived.texts(spark, folder), "doc_id", "text")
@@ -801,3 +817,27 @@ def stream_errors(spark, folder):
     store = DocumentStore(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
     _follow(spark, folder, store, "user_id % 5 = 0")
     return store.errors().select("path", "error").unionByName(store.documents().select(F.col("_id").alias("path"), F.lit("").alias("error")))
+
+
+@query
+def operations_stream(spark, folder):
+    """The operations of three passes as a stream that is read in two goes, with a compaction between."""
+    spark.dataSource.register(OperationsSource)
+    place = f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
+    store = _passes(spark, folder, runs=2)
+
+    def follow() -> None:
+        operations = spark.readStream.format("operations").option("location", store.location).load()
+        operations.select("run_id", "op", "path", F.md5("doc.content").alias("content_md5")).writeStream.option(
+            "checkpointLocation", f"{place}/checkpoint"
+        ).trigger(availableNow=True).start(f"{place}/rows", format="parquet").awaitTermination()
+
+    follow()
+    store.compact()
+    crawl(
+        spark, PASS, store, listing=lambda spark, _: derived.files(spark, folder).select("path", "length", "mtime"),
+        load=_load(spark, folder, "false"),
+    )
+    follow()
+    rows = spark.read.schema("run_id long, op string, path string, content_md5 string").parquet(f"{place}/rows")
+    return rows.filter("path like '/data/%/%/%'")

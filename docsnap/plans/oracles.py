@@ -363,6 +363,17 @@ ORACLES = {
         select unnest(list_transform(range(2, len(string_split(path, '/')) + 1),
           lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as node from files)
       group by node""",
+    "kept_path_counts": _with(FILES)
+    + """select node as key, count(*) as count from (
+        select unnest(list_transform(range(2, len(string_split(path, '/')) + 1),
+          lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as node from files where doc_id % 4 <> 1)
+      group by node union all select 'job_docs', count(*) from files where doc_id % 4 <> 1""",
+    "operations_stream": _with(FILES, PREV, FEED, PASSES)
+    + """select 1 as run_id, 'index' as op, path, md5(first) as content_md5 from passed where first is not null
+      union all select 2, case when status = 'deleted' then 'delete' when failed then 'error' else 'index' end, path,
+        case when status <> 'deleted' and not failed then md5(content) end
+      from passed where status <> 'unchanged'
+      union all select 4, 'index', path, md5(content) from passed where failed""",
     "term_postings": """select term, doc_id, count(*) as tf from (
         select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents)
       group by term, doc_id""",
