@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docsnap.options import CrawlOptions
 from docsnap.plans.crawl import list_eligible
+from docsnap.sources import snapshot
 from docsnap.sources.snapshot import json_snapshot
 from docsnap.sources.tree import binary_file_listing, list_names, with_stats
 
@@ -148,8 +149,26 @@ def test_json_snapshot(spark, tmp_path, indent):
     assert {r.path: r.mtime for r in rows} == entries
 
 
+@pytest.mark.parametrize("size", [5, 13, 64, 1 << 20])
+def test_json_snapshot_in_ranges(spark, tmp_path, monkeypatch, size):
+    import json
+    import random
+
+    rng = random.Random(size)
+    letters = ['"', "\\", ",", "{", "}", ":", " ", "é", "日", "\n", "a", "1.5", "\\\\"]
+    entries = {"/" + "".join(rng.choices(letters, k=rng.randrange(12))): rng.random() * 1e9 for _ in range(40)}
+    monkeypatch.setattr(snapshot, "RANGE_BYTES", size)
+    monkeypatch.setattr(snapshot, "_BLOCK", 7)
+    for k, text in enumerate([json.dumps(entries), json.dumps(entries, ensure_ascii=False, indent=1), " \n" + json.dumps(entries, separators=(",", ":")) + "\n "]):
+        place = tmp_path / f"{k}.json"
+        place.write_text(text)
+        read = snapshot._entries(spark, f"file://{place}", len(text.encode()))
+        assert {r.path: r.mtime for r in read.collect()} == entries
+    assert {r.path: r.mtime for r in json_snapshot(spark, str(place)).collect()} == entries
+
+
 @pytest.mark.parametrize(
-    "text", ["", "{}", "{ not json", '{\n  "/a": 1.0,\n', '{"/a": "x"}', '{"/a": null}', "[1]"]
+    "text", ["", "{}", "{ not json", '{\n  "/a": 1.0,\n', '{"/a": "x"}', '{"/a": null}', "[1]", '{"/a": 1} x', 'x {"/a": 1}', '{"/a": {"b": 1}}', '{"/a": 1, "/b}', '{"/a": 1}{"/b": 2}']
 )
 def test_damaged_json_snapshot_is_empty(spark, tmp_path, text):
     place = tmp_path / "s.json"
