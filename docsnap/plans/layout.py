@@ -66,8 +66,9 @@ class Layout:
         found = _FILE.search(name.rpartition("/")[2])
         return int(found[1]) if found else None
 
-    def uses(self, piece: int, buckets: Iterable[int]) -> bool:
-        return any(self.since[bucket] <= piece for bucket in buckets)
+    def used(self, piece: int, buckets: Iterable[int]) -> list[int]:
+        """Those of the buckets for which the piece counts."""
+        return [bucket for bucket in buckets if self.since[bucket] <= piece]
 
     def counted(self, rows: DataFrame, piece: int) -> DataFrame:
         """The documents of a piece in those buckets for which it counts."""

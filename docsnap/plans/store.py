@@ -308,8 +308,10 @@ class DocumentStore:
         anew = before.to_rewrite(new, dead, dead_share)
         merged = before.pieces[1:] if len(before.pieces) >= most_pieces else ()
         parts = []
-        if anew:
-            parts += [self._alive(self._bucket_files(p, anew), before, p) for p in before.pieces if before.uses(p, anew)]
+        for piece in before.pieces:
+            wanted = before.used(piece, anew)
+            if wanted:
+                parts.append(self._alive(self._bucket_files(piece, wanted), before, piece))
         if merged:
             parts.append(self._base(before, merged).withColumnRenamed("run_id", "of_run").filter(~bucket.isin(anew)))
         gone = gone.filter(~F.col("bucket").isin(anew)).select(*KEY)

@@ -109,6 +109,20 @@ def test_many_pieces_become_one(log):
     assert log.layout().pieces[0] == first and log.layout().pieces[-1] == last
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_states_that_change_much(log, seed):
+    """Some buckets are written anew in one piece and others in the next."""
+    rng = random.Random(seed)
+    for step in range(7):
+        log.write({k: rng.choice([None, f"step {step}", f"step {step}"]) for k in keys(*rng.sample(range(14), 4))})
+        log.store.compact(most_pieces=4)
+        log.check()
+        layout = log.layout()
+        stored = sum(layout.counted(log.store._state_table(p, layout.buckets), p).count() for p in layout.pieces)
+        assert sum(layout.rows) == stored
+        assert stored - sum(layout.dead) == sum(v is not None for v in log.docs.values())
+
+
 def test_another_number_of_buckets_writes_the_whole(log, spark):
     log.write({k: "one" for k in keys(*range(20))})
     log.store.compact()
