@@ -30,6 +30,7 @@ from docsnap.plans.store import DocumentStore
 from docsnap.session import WorkTables, materialised, shared_folder, spread
 from docsnap.schema import TEXT_KEY
 from docsnap.sources.content import read_and_extract
+from docsnap.sources.snapshot import json_snapshot
 from docsnap.sources.storage import list_storage, storage_listing
 from docsnap.sources.tree import list_names, with_stats
 from docsnap.streaming.events import crawl_then_follow, follow_events
@@ -762,6 +763,13 @@ def python_extractor(spark, folder):
     )
 
 
+@query
+def snapshot_import(spark, folder):
+    """The previous snapshot from a JSON object on one line, read in ranges of 16 kB."""
+    place = trees.written_json(spark, derived.previous(spark, folder).select("path", F.col("mtime").cast("double")))
+    return json_snapshot(spark, place, 1 << 14)
+
+
 @query
 def crawl_tree(spark, folder):
     """A pass over files: listed by the data source, read, extracted and stored."""

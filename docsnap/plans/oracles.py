@@ -427,6 +427,7 @@ ORACLES = {
     + " ".join(f"when {n} then translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{a}')" for n, a in enumerate(ALPHABETS.values()))
     + r""" end, '[\x{7f}-\x{2ff}\x{2000}-\x{2fff}]', '', 'g') as text from documents)
       select doc_id, length(text) as n_chars, md5(text) as text_md5 from turned where length(text) >= 40""",
+    "snapshot_import": _with(FILES, PREV) + "select path, cast(mtime as double) as mtime from prev",
     "crawl_tree": _with(TREE)
     + f"""select 'job_docs' as _index, concat('/', path) as virtual, length as filesize, md5({_content('text')}) as content_md5
       from tree where path like '%.txt'

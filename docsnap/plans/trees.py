@@ -7,7 +7,9 @@ shared place may be a mounted folder or any storage Arrow opens.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +25,13 @@ PLACE = """concat(source, '/', lang, '/', case doc_id % 6 when 0 then '_' when 3
   cast(doc_id as {string}), case doc_id % 5 when 3 then '.tmp' when 4 then '.html' else '.txt' end)"""
 
 
+def plain(uri: str) -> str:
+    """A mounted place by its path, another by its URI."""
+    return re.sub(r"\Afile:/+", "/", uri)
+
+
 def opened(uri: str) -> tuple[FileSystem, str]:
+    uri = plain(uri)
     return FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
@@ -55,7 +63,7 @@ def written_tree(spark: SparkSession, folder: str, links: bool = False) -> str:
     rows = derived.table(spark, folder, "documents").selectExpr(f"{PLACE.format(string='string')} as place", "text")
     dealt = rows.repartition(shuffle_width(spark), "place")
     dealt.mapInPandas(write, "files long").agg({"files": "sum"}).collect()
-    return root.removeprefix("file://")
+    return plain(root)
 
 
 def removed(spark: SparkSession, paths: DataFrame) -> None:
@@ -69,3 +77,24 @@ def removed(spark: SparkSession, paths: DataFrame) -> None:
             yield pd.DataFrame({"files": [len(batch)]})
 
     paths.select("path").mapInPandas(remove, "files long").agg({"files": "sum"}).collect()
+
+
+def written_json(spark: SparkSession, snapshot: DataFrame) -> str:
+    """The place of a file with ``path, mtime`` as one JSON object on one line, as another program may leave it."""
+    place = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}.json"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, target = opened(place)
+        entries = 0
+        with store.open_output_stream(target) as handle:
+            handle.write(b"{")
+            for batch in batches:
+                for path, mtime in zip(batch["path"], batch["mtime"], strict=True):
+                    handle.write(f"{', ' if entries else ''}{json.dumps(path)}: {mtime!r}".encode())
+                    entries += 1
+            handle.write(b"}")
+        yield pd.DataFrame({"entries": [entries]})
+
+    # One stream of bytes has one writer.
+    snapshot.coalesce(1).mapInPandas(write, "entries long").collect()
+    return place

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+logger = logging.getLogger(__name__)
+
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 SETTINGS = {
@@ -40,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        logger.warning("spark.checkpoint.dir is unset: %s of this machine takes its place", LOCAL_FOLDER)
         folder = LOCAL_FOLDER
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -27,9 +27,9 @@ _BLOCK = 1024 * 1024
 _QUOTE, _ESCAPE, _COMMA, _OPEN, _CLOSE = b'"\\,{}'
 
 
-def json_snapshot(spark: SparkSession, location: str) -> DataFrame:
+def json_snapshot(spark: SparkSession, location: str, range_bytes: int | None = None) -> DataFrame:
     """``path, mtime`` of the file; nothing where it is missing or damaged. Of a path that comes twice, one
-    entry stays."""
+    entry stays. Ranges are of ``RANGE_BYTES`` unless told otherwise."""
     nothing = spark.createDataFrame([], SNAPSHOT)
     files, target = filesystem(spark, location)
     if not files.exists(target):
@@ -37,7 +37,7 @@ def json_snapshot(spark: SparkSession, location: str) -> DataFrame:
     status = files.getFileStatus(target)
     uri, size = status.getPath().toString(), status.getLen()
     uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    entries = materialised(_entries(spark, uri, size))
+    entries = materialised(_entries(spark, uri, size, range_bytes))
     check = entries.agg(
         F.count_if("outside").alias("outside"), F.count_if(F.expr("path is not null and mtime is null")).alias("damaged")
     ).first()
@@ -47,14 +47,16 @@ def json_snapshot(spark: SparkSession, location: str) -> DataFrame:
     return entries.filter("path is not null").groupBy("path").agg(F.max("mtime").alias("mtime"))
 
 
-def _entries(spark: SparkSession, uri: str, size: int) -> DataFrame:
+def _entries(spark: SparkSession, uri: str, size: int, range_bytes: int | None = None) -> DataFrame:
     """Rows of ``path, mtime``; without mtime where an entry is damaged, ``outside`` where the object is."""
+    width = range_bytes or RANGE_BYTES
+    parts = max(1, -(-size // width))
 
     def quotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             with _opened(uri) as handle:
                 counts = [
-                    sum(int(_marks(block, escaped)[0].sum()) for block, escaped in _blocks(handle, n * RANGE_BYTES, min(size, (n + 1) * RANGE_BYTES)))
+                    sum(int(_marks(block, escaped)[0].sum()) for block, escaped in _blocks(handle, n * width, min(size, (n + 1) * width)))
                     for n in batch["id"]
                 ]
             yield pd.DataFrame({"id": batch["id"], "quotes": counts})
@@ -63,15 +65,15 @@ def _entries(spark: SparkSession, uri: str, size: int) -> DataFrame:
         for batch in batches:
             for n, inside in zip(batch["id"], batch["inside"], strict=True):
                 with _opened(uri) as handle:
-                    rows = list(_of_range(handle, int(n) * RANGE_BYTES, size, bool(inside)))
+                    rows = list(_of_range(handle, int(n) * width, width, size, bool(inside)))
                 yield pd.DataFrame(rows, columns=["path", "mtime", "outside"], dtype=object).astype({"mtime": "float64", "outside": bool})
 
-    ranges = spark.range(0, -(-size // RANGE_BYTES), 1, max(1, -(-size // RANGE_BYTES)))
+    ranges = spark.range(0, -(-size // width), 1, parts)
     counted = materialised(ranges.mapInPandas(quotes, "id long, quotes long"))
     # One row per range: a thousandth of a thousandth of the file.
     before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     parity = counted.withColumn("inside", F.coalesce(F.sum("quotes").over(before) % 2 == 1, F.lit(False)))
-    dealt = parity.repartition(max(1, -(-size // RANGE_BYTES)), "id")
+    dealt = parity.repartition(parts, "id")
     return dealt.mapInPandas(read, "path string, mtime double, outside boolean")
 
 
@@ -118,9 +120,9 @@ def _marks(block: np.ndarray, escaped: bool) -> tuple[np.ndarray, np.ndarray]:
     return quotes, np.cumsum(quotes)
 
 
-def _of_range(handle, low: int, size: int, inside: bool) -> Iterator[tuple]:
+def _of_range(handle, low: int, width: int, size: int, inside: bool) -> Iterator[tuple]:
     """The entries whose comma or brace lies in the range that begins at ``low``."""
-    high, place = min(size, low + RANGE_BYTES), low
+    high, place = min(size, low + width), low
     held: bytes | None = None  # what has been read of entries, from the first that begins here
     for block, escaped in _blocks(handle, low, size):
         _, total = _marks(block, escaped)
